@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import bpe, quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(_documents(spark, sf_dir)), "v2")
     base = F.col("failed").bitwiseAND(F.lit(quality_rules.mask(quality_rules.POLICIES["base"]))) != 0
@@ -56,6 +61,7 @@ from f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {"op10_quality_rules": _OP10}
