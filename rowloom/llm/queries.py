@@ -5,16 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules
+from . import bpe, lang_id, quality_rules, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _left_out(of: int, which: int) -> Column:
+    """Rows that are never learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % of == which
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = secrets.scan_versions(_documents(spark, sf_dir), path_col="doc_id")
+    spans = F.col("spans")
+    counts = [F.size(secrets.of_kinds(spans, k)).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    base = F.sha2(secrets.joined(secrets.of_kinds(spans, *secrets.BASE_KINDS)), 256)
+    return rows.select("doc_id", *counts, base.alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = lang_id.fit(docs.where(~_left_out(4, 2)))
+    return lang_id.identify(docs, model).select("doc_id", _left_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -61,6 +80,8 @@ from f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_secrets": op6_secrets,
+    "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
