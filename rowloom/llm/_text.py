@@ -50,13 +50,14 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, _U)
-    out = np.zeros(n, _U)
-    for j in range(width):
-        out = out * _U(_BASE) + h[j : j + n] if width <= 8 else out
-    if width > 8:
+    if width <= 8:
+        out = np.zeros(n, _U)
+        for j in range(width):
+            out = out * _U(_BASE) + h[j : j + n]
+    else:
         sums = np.zeros(len(h) + 1, _U)
-        np.cumsum(h * powers(_BASE, len(h)), out=sums[1:])
-        out = (sums[width:] - sums[:n]) * powers(_INVERSE, n)
+        np.cumsum(h * powers(_INVERSE, len(h)), out=sums[1:])
+        out = (sums[width:] - sums[:n]) * powers(_BASE, n)
     return mix(out)
 
 

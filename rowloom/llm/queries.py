@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, quality_rules, secrets
+from . import bpe, lang_id, near_dedup, quality_rules, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _left_out(of: int, which: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % of == which
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), width=4)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = secrets.scan_versions(_documents(spark, sf_dir), path_col="doc_id")
     spans = F.col("spans")
@@ -47,6 +51,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP1 = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[i:i+3], ' ') end as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.s = b.s and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id),
+e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+r(doc_id, root) as (
+  select doc_id, doc_id from documents union select e.b, r.root from r join e on e.a = r.doc_id),
+c as (select doc_id, min(root) as component_id from r group by doc_id)
+select c.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, c.doc_id = component_id as kept
+from c left join n using (doc_id)
+"""
+
 _OP10 = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 m as (
@@ -80,9 +105,10 @@ from f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op6_secrets": op6_secrets,
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {"op10_quality_rules": _OP10}
+ORACLE: dict[str, str] = {"op1_near_dedup": _OP1, "op10_quality_rules": _OP10}
