@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, near_dedup, quality_rules, secrets
+from . import bpe, lang_id, near_dedup, quality_rules, secrets, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, base.alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(_documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = lang_id.fit(docs.where(~_left_out(4, 2)))
@@ -72,6 +77,21 @@ select c.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, c.doc_id
 from c left join n using (doc_id)
 """
 
+_OP7 = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, w, unnest(range(1, len(w) - 33)) as i from w where len(w) >= 35),
+k as (select doc_id, i, count(*) over (partition by array_to_string(w[i:i+34], ' ')) as n from s),
+g as (select distinct doc_id, unnest(range(i, i + 35)) as p from k where n > 1),
+gone as (select doc_id, list(p) as p from g group by doc_id),
+r as (
+  select doc_id, len(w) as n_words, coalesce(len(p), 0) as n_removed,
+    list_filter(w, lambda x, j: p is null or not list_contains(p, j)) as kept
+  from w left join gone using (doc_id))
+select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed,
+  sha256(array_to_string(kept, ' ')) as kept_sha256
+from r
+"""
+
 _OP10 = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 m as (
@@ -107,8 +127,9 @@ from f
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op6_secrets": op6_secrets,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {"op1_near_dedup": _OP1, "op10_quality_rules": _OP10}
+ORACLE: dict[str, str] = {"op1_near_dedup": _OP1, "op7_substring_dedup": _OP7, "op10_quality_rules": _OP10}
