@@ -35,11 +35,11 @@ PER_LANG = 800
 _PAD = 10  # a text is preceded by line feeds
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For every byte, it and the ORDER bytes before it in its text, as one number."""
+def byte_runs(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """For every byte, it and the ``order`` bytes before it in its text, as one number."""
     key = data.astype(np.uint64)
     place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    for j in range(1, ORDER + 1):
+    for j in range(1, order + 1):
         back = np.full(len(data), _PAD, np.uint64)
         back[j:] = data[: len(data) - j]
         back[place < j] = _PAD
@@ -60,7 +60,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         for at, to, data, offsets in _chunks(batch.column(1)):
-            keys, who = _runs(data, offsets), np.repeat(langs[at:to], np.diff(offsets))
+            keys, who = byte_runs(data, offsets), np.repeat(langs[at:to], np.diff(offsets))
             for lang in set(langs[at:to]):
                 key, n = np.unique(keys[who == lang], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -68,67 +68,85 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-class Model:
-    """Frozen code lengths of all languages, by order."""
+class ByteTables:
+    """Bits of every byte after its context, for several models at once.
 
-    def __init__(self, langs: list[str], lang: np.ndarray, run: np.ndarray, n: np.ndarray):
-        self.langs = langs
-        many = len(langs)
-        cost = np.full((256, many), 8.0)
-        self.index: list[HashIndex | None] = [None]
+    A known run costs ``own``; any other costs the escape from its context, if
+    that is known, and what it costs one order below.
+    """
+
+    def __init__(self, order: int, columns: int):
+        self.order, self.columns = order, columns
+        self.index: list[HashIndex | None] = []
         self.cost: list[np.ndarray] = []
-        self.escape: list[tuple[HashIndex, np.ndarray] | None] = [None]
-        for order in range(ORDER + 1):
-            keys = run & np.uint64((1 << 8 * (order + 1)) - 1)
-            cells, place = np.unique(keys, return_inverse=True)
-            c = np.zeros((len(cells), many))
-            np.add.at(c, (place, lang), n)
-            contexts, of = np.unique(cells >> np.uint64(8), return_inverse=True)
-            total, kinds = (np.zeros((len(contexts), many)) for _ in range(2))
-            np.add.at(total, of, c)
-            np.add.at(kinds, of, c > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(kinds > 0, np.log2((total + kinds) / kinds), 0.0)
-                own = np.where(c > 0, np.log2((total + kinds)[of] / c), 0.0)
-            if order == 0:
-                dense = escape[0] + cost if len(contexts) else cost
-                dense[cells.astype(int)] = np.where(c > 0, own, dense[cells.astype(int)])
-                self.cost.append(dense.astype(np.float32))
-                continue
-            shorter = self._lower(order - 1, cells)
+        self.escape: list[tuple[HashIndex, np.ndarray] | None] = []
+
+    def add(self, cells: np.ndarray, known: np.ndarray, own: np.ndarray, contexts: np.ndarray, of: np.ndarray, escape: np.ndarray) -> None:
+        """The next order's runs: bits where ``known``, context and bits to escape from it."""
+        order = len(self.cost)
+        if order == 0:
+            cost = np.full((256, self.columns), 8.0) + (escape[0] if len(contexts) else 0)
+            at = cells.astype(int)
+            cost[at] = np.where(known, own, cost[at])
+            self.index.append(None)
+            self.escape.append(None)
+        else:
+            cost = np.where(known, own, escape[of] + self.lookup(cells, order - 1))
             self.index.append(HashIndex(cells))
-            self.cost.append(np.where(c > 0, own, escape[of] + shorter).astype(np.float32))
             self.escape.append((HashIndex(contexts), escape.astype(np.float32)))
+        self.cost.append(cost.astype(np.float32))
 
-    def _lower(self, order: int, keys: np.ndarray) -> np.ndarray:
-        """Code lengths at ``order`` of any runs, by language."""
+    def lookup(self, keys: np.ndarray, order: int | None = None) -> np.ndarray:
+        """Bits of any runs, a column for each model."""
+        order = self.order if order is None else order
         keys = keys & np.uint64((1 << 8 * (order + 1)) - 1)
         if order == 0:
             return self.cost[0][keys.astype(int)]
+        if not len(self.cost[order]):
+            return self.lookup(keys, order - 1)
         at = self.index[order].get(keys)
         out = self.cost[order][at]
         lost = np.flatnonzero(at < 0)
         if len(lost):
             index, escape = self.escape[order]
             context = index.get(keys[lost] >> np.uint64(8))
-            out[lost] = self._lower(order - 1, keys[lost]) + np.where((context >= 0)[:, None], escape[context], np.float32(0))
+            out[lost] = self.lookup(keys[lost], order - 1) + np.where((context >= 0)[:, None], escape[context], np.float32(0))
         return out
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length of each text under each language."""
-        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        """Code length of each text under each model."""
+        out = np.zeros((len(offsets) - 1, self.columns))
         full = np.flatnonzero(np.diff(offsets))
-        piece = _text.CHUNK
-        for a in range(0, len(data), piece):  # a very long text comes in pieces
-            b, lead = min(len(data), a + piece), min(a, ORDER)
+        for a in range(0, len(data), _text.CHUNK):  # a very long text comes in pieces
+            b, lead = min(len(data), a + _text.CHUNK), min(a, self.order)
             own = np.clip(offsets, a - lead, b) - (a - lead)
-            cost = self._lower(ORDER, _runs(data[a - lead : b], own))[lead:]
-            starts = offsets[full]
-            inside = full[(starts < b) & (offsets[full + 1] > a)]
+            cost = self.lookup(byte_runs(data[a - lead : b], own, self.order))[lead:]
+            inside = full[(offsets[full] < b) & (offsets[full + 1] > a)]
             out[inside] += np.add.reduceat(cost, np.maximum(offsets[inside] - a, 0), axis=0, dtype=np.float64)
         return out
 
 
+class Model(ByteTables):
+    """Frozen code lengths of all languages, from counts of runs."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, run: np.ndarray, n: np.ndarray):
+        super().__init__(ORDER, len(langs))
+        self.langs = langs
+        for order in range(ORDER + 1):
+            keys = run & np.uint64((1 << 8 * (order + 1)) - 1)
+            cells, place = np.unique(keys, return_inverse=True)
+            c = np.zeros((len(cells), len(langs)))
+            np.add.at(c, (place, lang), n)
+            contexts, of = np.unique(cells >> np.uint64(8), return_inverse=True)
+            total, kinds = (np.zeros((len(contexts), len(langs))) for _ in range(2))
+            np.add.at(total, of, c)
+            np.add.at(kinds, of, c > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(kinds > 0, np.log2((total + kinds) / kinds), 0.0)
+                own = np.where(c > 0, np.log2((total + kinds)[of] / c), 0.0)
+            self.add(cells, c > 0, own, contexts, of, escape)
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> Model:
     """Count a bounded sample of each language's rows; the tables come to the driver.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, near_dedup, quality_rules, secrets, substring_dedup
+from . import bpe, decontaminate, lang_id, near_dedup, pitman_yor, quality_rules, secrets, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,19 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), width=4)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = pitman_yor.fit(docs.where(~_left_out(7, 2)))
+    rows = pitman_yor.score(docs, model)
+    return rows.select(
+        "doc_id", _left_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"
+    )
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = secrets.scan_versions(_documents(spark, sf_dir), path_col="doc_id")
     spans = F.col("spans")
@@ -126,6 +139,8 @@ from f
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_lm_score": op5_lm_score,
     "op6_secrets": op6_secrets,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
