@@ -7,10 +7,19 @@ Candidates come from inverted lists of retained values. Two sets as alike as
 the threshold share at least ``_shared(...)`` retained values (five standard
 deviations below the mean for sets beyond the sketch, exactly for smaller
 ones), so they share one among each one's rarest values, and only those are
-listed. In each list first every class is paired with the list's least class,
-one partner a class; after these links are known, classes of one list that
-are not yet connected are paired. Groups of copies thus make as many pairs as
-members, and no link between classes that would join two components is lost.
+listed. Classes are paired in three passes, each of which leaves out pairs
+that the links before have connected, so that groups of copies make about as
+many pairs as members and no link that would join two components is lost:
+
+1. each class with the most central class of its lists, the one whose
+   retained values are the most common;
+2. classes of lists that are still not one component list the rarest of all
+   their shingles, as many as must meet those of any partner; each is paired
+   with the class of such a list that has the fewest shingles to itself;
+3. all other classes that meet in such a list. Those before a common shingle
+   in both lists' order bound what two classes can share, which rules out
+   most pairs.
+
 The union sketch of a pair estimates its Jaccard similarity and drops
 hopeless pairs; full sets confirm the rest.
 
@@ -40,6 +49,7 @@ from ._shared import small_batches, stored
 SKETCH = 48
 WIDTH = 5
 PERCENT = 80
+_ALL = 1 << 40  # a sketch of all values
 _U = np.uint64
 
 
@@ -121,21 +131,36 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _inverted(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows (value, class, n): the listed values that at least two classes retain."""
-    values = classes.select("class", "n", F.explode("sketch").alias("value"))
+def _inverted(sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (value, class, n, at, alone, weight): the listed values that at least two classes retain.
+
+    ``at`` is the value's place among its class's values, the rarest first;
+    ``alone`` counts those that no other class has; ``weight`` grows with the
+    number of classes that share the class's values.
+    """
+    values = sets.select("class", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("class")
     ranked = values.join(common, "value").withColumns(
         {
-            "place": F.row_number().over(Window.partitionBy("class").orderBy("df", "value")),
-            "found": F.count("*").over(Window.partitionBy("class")),
+            "place": F.row_number().over(own.orderBy("df", "value")),
+            "alone": F.least("n", F.lit(k)) - F.count("*").over(own),
+            "weight": F.round(F.sum(F.log2("df")).over(own), 3),
         }
     )
-    alone = F.least("n", F.lit(k)) - F.col("found")  # values of this class only come first
-    return ranked.where(F.col("place") + alone <= _listed(F.col("n"), k, percent)).select("value", "class", "n")
+    ranked = ranked.withColumn("at", F.col("place") + F.col("alone"))
+    return ranked.where(F.col("at") <= _listed(F.col("n"), k, percent)).select("value", "class", "n", "at", "alone", "weight")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, k: int, percent: int) -> DataFrame:
+def _sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Rows (class, shingles) of the wanted classes."""
+    asked = classes.join(wanted, "class", "left_semi").select("class", F.col("doc").alias("asked"))
+    texts = asked.join(docs, F.col("asked").eqNullSafe(F.col("doc_id"))).select("class", "text")
+    made = texts.mapInArrow(_full_sets(width), "class long, shingles array<long>")
+    return stored(made.dropDuplicates(["class"]), "near-sets")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike, after the estimate from union sketches."""
     one = classes.select(F.col("class").alias("a"), F.col("sketch").alias("sa"))
     two = classes.select(F.col("class").alias("b"), F.col("sketch").alias("sb"))
@@ -145,16 +170,36 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     full = F.size(union) < k  # then the estimate is exact
     enough = F.when(full, inside * 100 >= F.size(union) * percent).otherwise(inside >= _shared(k, percent))
     hopeful = stored(both.where(enough).select("a", "b"), "near-pairs")
-    wanted = hopeful.select(F.col("a").alias("class")).unionByName(hopeful.select(F.col("b").alias("class"))).distinct()
-    asked = classes.join(wanted, "class", "left_semi").select("class", F.col("doc").alias("asked"))
-    texts = asked.join(docs, F.col("asked").eqNullSafe(F.col("doc_id"))).select("class", "text")
-    sets = stored(
-        texts.mapInArrow(_full_sets(width), "class long, shingles array<long>").dropDuplicates(["class"]), "near-sets"
-    )
     left = hopeful.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
     whole = left.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return whole.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
+    return stored(whole.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b"), "near-links")
+
+
+def _stars(lists: DataFrame, head: Column, apart: Column) -> DataFrame:
+    """Each class with one head of its lists, the one that it meets most often."""
+    heads = lists.groupBy("value").agg(F.max(head).alias("h"))
+    met = lists.join(heads, "value").where((F.col("class") != F.col("h.class")) & apart)
+    return (
+        met.groupBy(F.col("class").alias("a"), F.col("h.class").alias("b"))
+        .agg(F.count("*").alias("n"))
+        .groupBy("a")
+        .agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    )
+
+
+def _open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists that hold several components, with each class's root."""
+    roots = components(links).withColumnRenamed("node", "class")
+    known = lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    several = known.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("value")
+    return stored(known.join(several, "value", "left_semi"), "near-open")
+
+
+def _can_link(n: Column, at: Column, m: Column, place: Column, percent: int) -> Column:
+    """Whether sets of n and m values whose first common one has these places can be alike."""
+    most = F.least(n - at, m - place) + 1
+    return most * 100 >= (n + m - most) * percent
 
 
 def near_duplicates(
@@ -171,29 +216,25 @@ def near_duplicates(
     )
     lists = stored(_inverted(classes, k, percent), "near-lists")
 
-    heads = lists.groupBy("value").agg(F.min(F.struct("class", "n")).alias("h"))
-    stars = (
-        lists.join(heads, "value")
-        .where((F.col("class") != F.col("h.class")) & _alike(F.col("n"), F.col("h.n"), percent))
-        .groupBy(F.col("class").alias("a"), F.col("h.class").alias("b"))
-        .agg(F.count("*").alias("n"))
-        .groupBy("a")
-        .agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    )
-    links = stored(_confirmed(stars, classes, docs, width, k, percent), "near-links")
-    roots = components(links)
-
-    known = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
-        "value", "class", "n", F.coalesce("root", "class").alias("root")
-    )
-    split = known.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("value")
-    left = known.join(split, "value", "left_semi")
-    one = left.select("value", F.col("class").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = left.select("value", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    apart = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & _alike(F.col("na"), F.col("nb"), percent)
-    pairs = one.join(two, "value").where(apart).select("a", "b").distinct()
-    more = _confirmed(pairs, classes, docs, width, k, percent)
-    roots = components(links.unionByName(more)).withColumnRenamed("node", "class")
+    near = _alike(F.col("n"), F.col("h.n"), percent)
+    sets = _sets(classes, lists.select("class").distinct(), docs, width)
+    links = _confirmed(_stars(lists, F.struct("weight", "class", "n"), near), classes, sets, k, percent)
+
+    left = _open_lists(lists, links).select("class").distinct()
+    whole = sets.join(left, "class", "left_semi").select("class", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("sketch"))
+    lists = stored(_inverted(whole, _ALL, percent), "near-lists")
+    left = _open_lists(lists, links)
+    apart = (F.col("root") != F.col("h.root")) & _can_link(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at"), percent)
+    central = F.struct((-F.col("alone") / F.col("n")).alias("share"), "class", "n", "at", "root")
+    links = links.unionByName(_confirmed(_stars(left, central, apart), classes, sets, k, percent))
+
+    left = _open_lists(lists, links)
+    one = left.select("value", F.col("class").alias("a"), F.col("n").alias("na"), F.col("at").alias("ta"), F.col("root").alias("ra"))
+    two = left.select("value", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("at").alias("tb"), F.col("root").alias("rb"))
+    apart = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb"))
+    rest = one.join(two, "value").where(apart & _can_link(F.col("na"), F.col("ta"), F.col("nb"), F.col("tb"), percent))
+    links = links.unionByName(_confirmed(rest.select("a", "b").distinct(), classes, sets, k, percent))
+    roots = components(links).withColumnRenamed("node", "class")
 
     placed = classes.join(roots, "class", "left").select("class", "doc", F.coalesce("root", "class").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
