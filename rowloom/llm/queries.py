@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lang_id, near_dedup, pitman_yor, quality_rules, secrets, substring_dedup
+from . import bpe, decontaminate, lang_id, licenses, near_dedup, pitman_yor, quality_model, quality_rules, secrets, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +24,22 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), width=4)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality_model.score_documents(_documents(spark, sf_dir), labels, ~_left_out(5, 0))
+    return rows.select(
+        "doc_id", _left_out(5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = pitman_yor.fit(docs.where(~_left_out(7, 2)))
@@ -139,7 +151,9 @@ from f
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_licenses": op2_licenses,
     "op3_decontaminate": op3_decontaminate,
+    "op4_quality_model": op4_quality_model,
     "op5_lm_score": op5_lm_score,
     "op6_secrets": op6_secrets,
     "op7_substring_dedup": op7_substring_dedup,
