@@ -8,10 +8,16 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class HashIndex:
-    """Places of distinct keys; open addressing, at most a quarter full."""
+    """Places of distinct keys; open addressing, at most a quarter full.
+
+    Only the keys are pickled; the slots are filled again where it arrives.
+    """
+
+    def __reduce__(self):
+        return HashIndex, (self.keys,)
 
     def __init__(self, keys: np.ndarray):
-        keys = np.ascontiguousarray(keys, np.uint64)
+        self.keys = keys = np.ascontiguousarray(keys, np.uint64)
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
         self.at = np.full(1 << bits, -1, np.int32)
