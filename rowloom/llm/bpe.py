@@ -23,7 +23,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -39,7 +41,7 @@ from ._shared import small_batches, stored
 
 LONG = 1 << 14
 SEGMENT = 1 << 10
-_MEMO = 300_000
+_MEMO = 500_000
 
 
 class Codec:
@@ -62,19 +64,44 @@ class Codec:
         self.name = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
         special = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        # " token" of each id: the decoded text is its tokens, joined by blanks, where the file has no decoder
+        self.shown = [(" " + self.name.get(i, "")).encode() for i in range(max(self.name) + 1)]
+        steps = spec.get("normalizer") or {}
+        self.lowers = any(n.get("type") == "Lowercase" for n in [steps, *steps.get("normalizers", [])]) and all(
+            "<" in t for t in special
+        )
+        self.plain = self.whole.decoder is None
         self.ids: dict[bytes, bytes] = {}
-        self.shown: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        """Put words into the memo."""
-        new = [w for w in set(words) if w not in self.ids]
-        if len(self.ids) + len(new) > _MEMO and self.ids:
-            self.ids.clear()
-            self.shown.clear()
-            new = list(set(words))
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Put words into the memo; when it is full, those not used since it last was full go."""
+        need = words.difference(self.ids)
+        if len(self.ids) + len(need) > _MEMO // 2:
+            self.ids, self.old, need = {}, self.ids, words
+        new = []
+        for w in need:
+            known = self.old.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                self.ids[w] = known
         for w, e in zip(new, self.whole.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
-            self.shown[w] = "".join(" " + t for t in e.tokens).encode()
+            ids = array("I", e.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            self.ids[w] = ids.tobytes()
+
+    def fold(self, text: bytes) -> bytes:
+        """``text`` with A-Z lower-cased, if the file does so anyway and no special token can come of it."""
+        return text.lower() if self.lowers and b"<" not in text else text
+
+    def decoded(self, ids: bytes) -> bytes:
+        """The decoded text of ids as bytes."""
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        if self.plain:
+            return b"".join(map(self.shown.__getitem__, numbers))[1:]
+        return self.decode(numbers).encode() if numbers else b""
 
     def decode(self, ids: list[int]) -> str:
         return self.whole.decode(ids, skip_special_tokens=False)
@@ -134,17 +161,16 @@ def _first_pass(path: str, long: int):
             at = 0
             while at < len(offsets) - 1:  # about CHUNK bytes at a time
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _text.CHUNK, "right")) - 1)
-                texts = [data[offsets[i] : offsets[i + 1]].split() for i in range(at, to)]
+                texts = [c.fold(data[offsets[i] : offsets[i + 1]]).split() for i in range(at, to)]
                 over = {i for i, ws in enumerate(texts) if ws and max(map(len, ws)) > long}
-                c.learn([w for i, ws in enumerate(texts) if i not in over for w in ws])
+                c.learn(set().union(*(ws for i, ws in enumerate(texts) if i not in over)))
                 for i, ws in enumerate(texts):
                     if i in over:
                         n += 1
                         rows.append((f"{own}-{n}", data[offsets[at + i] : offsets[at + i + 1]].decode(), None, None, None))
                     else:
                         ids = b"".join(map(c.ids.__getitem__, ws))
-                        shown = b"".join(map(c.shown.__getitem__, ws))[1:]
-                        rows.append((None, None, len(ids) // 4, sha256(ids).hexdigest(), sha256(shown).hexdigest()))
+                        rows.append((None, None, len(ids) // 4, sha256(ids).hexdigest(), sha256(c.decoded(ids)).hexdigest()))
                 at = to
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
