@@ -1,5 +1,7 @@
 """Language identification by prediction by partial matching over bytes.
 
+Texts are lower-cased (A-Z and Latin-1 letters), and words with a digit are
+blanked, since they are of no language; blanks after blanks cost nothing.
 Each language has a context tree of orders 0 to ``ORDER`` over UTF-8 bytes,
 kept as counts of runs of ``ORDER + 1`` bytes; those of lower orders are
 their sums. A byte costs log2((n + q) / c) bits in the longest context that
@@ -48,12 +50,25 @@ def byte_runs(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.n
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    raw, offsets = _text.buffers(column)
-    at = 0
-    while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _text.CHUNK, "right")) - 1)
-        yield at, to, raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
+    """Row numbers from and to, and those rows' canonical bytes."""
+    for w in _text.words(column, _text.LOWER):
+        data = w.data
+        if len(data):
+            data[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 0x20
+            digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+            marked = np.flatnonzero(digits[w.end] > digits[w.start])
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[w.start[marked]] += 1
+            edge[w.end[marked]] -= 1
+            data[np.cumsum(edge[:-1]) > 0] = 32
+        yield w.row, w.row + len(w.first) - 1, data, w.offsets
+
+
+def _counted(data: np.ndarray) -> np.ndarray:
+    """Bytes that cost: all but blanks after blanks."""
+    out = np.ones(len(data), bool)
+    out[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,6 +76,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column(0).to_pylist(), object)
         for at, to, data, offsets in _chunks(batch.column(1)):
             keys, who = byte_runs(data, offsets), np.repeat(langs[at:to], np.diff(offsets))
+            keys, who = keys[_counted(data)], who[_counted(data)]
             for lang in set(langs[at:to]):
                 key, n = np.unique(keys[who == lang], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -113,14 +129,16 @@ class ByteTables:
             out[lost] = self.lookup(keys[lost], order - 1) + np.where((context >= 0)[:, None], escape[context], np.float32(0))
         return out
 
-    def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length of each text under each model."""
+    def bits(self, data: np.ndarray, offsets: np.ndarray, counted: np.ndarray | None = None) -> np.ndarray:
+        """Code length of each text under each model; ``counted``: bytes that cost."""
         out = np.zeros((len(offsets) - 1, self.columns))
         full = np.flatnonzero(np.diff(offsets))
         for a in range(0, len(data), _text.CHUNK):  # a very long text comes in pieces
             b, lead = min(len(data), a + _text.CHUNK), min(a, self.order)
             own = np.clip(offsets, a - lead, b) - (a - lead)
             cost = self.lookup(byte_runs(data[a - lead : b], own, self.order))[lead:]
+            if counted is not None:
+                cost[~counted[a:b]] = 0
             inside = full[(offsets[full] < b) & (offsets[full + 1] > a)]
             out[inside] += np.add.reduceat(cost, np.maximum(offsets[inside] - a, 0), axis=0, dtype=np.float64)
         return out
@@ -169,7 +187,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, lang_pred, score (share of the best language), bits_per_byte."""
+    """Per row: doc_id, lang_pred, score (share of the best language), bits_per_byte (null without words)."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -181,13 +199,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             pred, score, per = ["und"] * n, np.zeros(n), np.full(n, np.nan)
             letters = batch.column(2).to_numpy(zero_copy_only=False)
             for at, to, data, offsets in _chunks(batch.column(1)) if m.langs else ():
-                bits = m.bits(data, offsets)
+                counted = _counted(data)
+                bits = m.bits(data, offsets, counted)
+                sizes = np.concatenate([[0], np.cumsum(counted & (data != 32))])
+                sizes = sizes[offsets[1:]] - sizes[offsets[:-1]]
                 best = bits.argmin(axis=1)
                 low = bits[np.arange(to - at), best]
                 share = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
                 for i in np.flatnonzero(letters[at:to]):
                     pred[at + i], score[at + i] = m.langs[best[i]], share[i]
-                    per[at + i] = low[i] / (offsets[i + 1] - offsets[i])
+                    per[at + i] = low[i] / sizes[i] if sizes[i] else np.nan
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(pred), pa.array(score), pa.array(per, from_pandas=True)],
                 names=["doc_id", "lang_pred", "score", "bits_per_byte"],
