@@ -91,10 +91,16 @@ def unused_by(items: DataFrame, column: str) -> DataFrame:
     return items.where("state = 'unused'").groupBy(column).agg(F.count("*").alias("n"))
 
 
-def blocked_until(failures: DataFrame, base: float = 60.0, most: int = 6) -> DataFrame:
-    """Failures of each dataset, and when its back-off ends: twice as long each time."""
+def blocked_until(failures: DataFrame, wait: float, after: int = 1) -> DataFrame:
+    """Failures (dataset, at) of each dataset, and when its pause ends; no pause before ``after`` failures."""
     out = failures.groupBy("dataset").agg(F.count("*").alias("n"), F.max("at").alias("last"))
-    return out.withColumn("until", F.col("last") + F.lit(base) * F.pow(F.lit(2.0), F.least(F.col("n") - 1, F.lit(most))))
+    return out.withColumn("until", F.when(F.col("n") >= max(1, after), F.col("last") + F.lit(wait)))
+
+
+def reset_labels(items: DataFrame) -> DataFrame:
+    """Unused items lose their rates, to be rolled out anew."""
+    stale = (F.col("state") == "unused") & (F.col("rollout_count") > 0)
+    return items.withColumns({"pass_rate": F.when(stale, 0.0).otherwise(F.col("pass_rate")), "rollout_count": F.when(stale, 0).otherwise(F.col("rollout_count"))})
 
 
 def window_offset(index: Column, size: int) -> Column:

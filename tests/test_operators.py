@@ -280,3 +280,44 @@ def test_sources(spark, tmp_path):
 def test_catalog_search(spark):
     cat = spark.createDataFrame([("math-hard", 0), ("Math-easy", 1), ("code", 2)], "name string, position int")
     assert [r.name for r in files.search_catalog(cat, ["math easy", "math", "code"], 2).collect()] == ["Math-easy", "math-hard"]
+
+
+def test_cleaners_report_failures(spark):
+    from rowloom.operators import cleaning
+
+    @cleaning.register("picky")
+    def picky(record, context):
+        if record["q"] == "bad":
+            raise ValueError("no")
+        return None if record["q"] == "drop" else {"question_text": record["q"] + context["tail"], "gold_answer": record["a"]}
+
+    df = spark.createDataFrame([(1, "why", "x"), (2, "bad", "x"), (3, "drop", "x"), (4, "12", " ")], "seq long, q string, a string")
+    out = cleaning.clean(df, "picky", {"tail": "?"})
+    assert rows(cleaning.accepted(out), "position", "question_text", "train_output") == [(1, "why?", "x")]
+    assert rows(cleaning.readiness(out), "cleaned", "failed", "ready") == [(2, 1, False)]
+    said = cleaning.predict(df, "q", lambda ps: [p.upper() for p in ps])
+    assert rows(said, "prediction")[0] == ("12",)
+    assert rows(cleaning.classify(df, "q"), "module", "confidence")[0] == ("arithmetic_misc", 0.7)
+
+
+def test_decisions(spark):
+    from rowloom.operators import decisions
+
+    logs = spark.createDataFrame([(0, 8, 2, 500), (1, 8, 2, 500), (3, 1, 2, 150)], "oom_lines int, batch long, accumulation long, samples long")
+    assert rows(decisions.resources(logs), "action", "new_batch", "new_accumulation", "new_samples") == [
+        ("keep", 8, 2, 500), ("reduce_batch", 4, 4, 500), ("reduce_samples", 1, 4, 100),
+    ]
+    asked = spark.createDataFrame([("a", "promote", "0.5", "1"), ("z", "fly", "x", "2"), (None, None, None, None)], "action_key string, decision string, replay_ratio string, confidence string")
+    assert sorted(r.errors for r in decisions.proposal_errors(asked, ["a"]).collect()) == [
+        [], ["invalid_action_key", "invalid_decision", "replay_ratio_not_number", "confidence_out_of_range"], ["missing_action_key"],
+    ]
+    assert decisions.search_policy("math", 2, 0.9, False, {})["policy"] == "merge_or_replace"
+    assert decisions.search_policy("math", 2, 0.1, False, {"easy": 0.9, "hard": 0.2})["target"] == "hard"
+    branch = spark.createDataFrame([(1, "a", "promote", 0.5, 0.0, 0.0, 0.2, 0.1, 0.0)], "seq int, action_key string, decision string, reward double, forget_recovery double, forgetting_recovery double, probe double, new_skill double, cotest double")
+    assert abs(decisions.rank_branches(branch, "low_probe", 1).first().score - (0.2 + 0.015 + 0.1 + 0.15)) < 1e-9
+    assert abs(decisions.rank_branches(branch, "repeated_rollback", 1).first().score - (0.2 + 0.15 + 0.3)) < 1e-9
+
+
+def test_pauses_after_failures(spark):
+    df = spark.createDataFrame([("a", 10.0), ("a", 20.0), ("b", 5.0)], "dataset string, at double")
+    assert rows(lifecycle.blocked_until(df, 60.0, 2), "dataset", "until") == [("a", 80.0), ("b", None)]
