@@ -120,7 +120,7 @@ def proposal_errors(proposals: DataFrame, actions: list[str]) -> DataFrame:
 def worst_questions(failures: DataFrame, accuracy: DataFrame, n: int = 20) -> DataFrame:
     """Failures of the weakest difficulty first, then others, ``n`` in all."""
     weakest = accuracy.orderBy("accuracy", "difficulty").limit(1).select("difficulty", F.lit(0).alias("_tier"))
-    return failures.join(F.broadcast(weakest), "difficulty", "left").orderBy(F.coalesce("_tier", F.lit(1)), "seq").limit(n).drop("_tier")
+    return failures.join(weakest, "difficulty", "left").orderBy(F.coalesce("_tier", F.lit(1)), "seq").limit(n).drop("_tier")
 
 
 def needs_rerollout(accuracy: Column, cached: Column, age: Column, gain: float, every: int | None = None) -> Column:

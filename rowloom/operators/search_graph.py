@@ -68,15 +68,24 @@ def tag_similarity(queries: DataFrame, nodes: DataFrame, k: int, tags: str = "ta
     return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "node_id", "similarity", "place")
 
 
-def kernel_surrogate(candidates: DataFrame, samples: DataFrame, axes: list[str], width: float = 0.25) -> DataFrame:
-    """Each candidate's expected reward: Gaussian weights of past samples. At most 50 candidates, samples are rounds."""
-    few = F.broadcast(candidates.select("candidate_id", *[F.col(a).alias(f"_c_{a}") for a in axes]))
-    distance = sum((F.col(f"_c_{a}") - F.col(a)) * (F.col(f"_c_{a}") - F.col(a)) for a in axes)
-    weight = F.exp(-distance / (2 * width * width))
-    joined = samples.join(few, F.lit(True)).withColumn("w", weight)
-    return joined.groupBy("candidate_id").agg(
-        F.sum("w").alias("support"), F.try_divide(F.sum(F.col("w") * F.col("reward")), F.sum("w")).alias("expected")
-    )
+def kernel_surrogate(candidates: DataFrame, samples: DataFrame, axes: list[str], width: float = 0.25, most: int = 200) -> DataFrame:
+    """Each candidate's expected reward: Gaussian weights of past samples.
+
+    Candidates are a few points, at most ``most``; each becomes two sums in one
+    pass over the samples, so nothing is joined.
+    """
+    points = candidates.select("candidate_id", *axes).limit(most + 1).collect()
+    if len(points) > most:
+        raise ValueError(f"more than {most} candidates")
+    sums, parts = [], []
+    for i, p in enumerate(points):
+        distance = sum((F.lit(float(p[a])) - F.col(a)) * (F.lit(float(p[a])) - F.col(a)) for a in axes)
+        weight = F.exp(-distance / (2 * width * width))
+        sums += [F.sum(weight).alias(f"w{i}"), F.sum(weight * F.col("reward")).alias(f"r{i}")]
+        parts.append(F.struct(F.lit(p[0]).alias("candidate_id"), F.col(f"w{i}").alias("support"), F.try_divide(f"r{i}", f"w{i}").alias("expected")))
+    if not points:
+        return candidates.select("candidate_id", F.lit(0.0).alias("support"), F.lit(0.0).alias("expected"))
+    return samples.agg(*sums).select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
 def halton(index: int, base: int) -> float:

@@ -117,7 +117,7 @@ def validation_carve(train: DataFrame, order: str) -> DataFrame:
     """``split`` lf_val for the first rows, train for the others."""
     size = validation_size(train.count())
     first = train.orderBy(order).limit(size).select(order, F.lit("lf_val").alias("split"))
-    return train.drop("split").join(F.broadcast(first), order, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    return train.drop("split").join(first, order, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def frozen_holdout(rows: DataFrame, row_id: str, size: int, seed: str = "frozen") -> DataFrame:

@@ -157,6 +157,13 @@ _FAIL = "case " + " ".join(f"when regexp_matches(line, '{p}') then '{k}'" for k,
 _GENERIC = ", ".join(f"'{w}'" for w in GENERIC_WORDS)
 _DIFF = ", ".join(f"'{w}'" for w in DIFFICULTY_WORDS)
 
+_DEC = "['promote', 'provisional_promote', 'keep_branch', 'prune', 'rollback']"
+_BRANCH = f"""br as (select o_orderkey as seq, o_orderpriority as action_key, {_DEC}[o_orderkey % 5 + 1] as decision, o_totalprice / 1e6 as reward,
+  o_orderkey % 7 / 7 - 0.5::double as fr, o_orderkey % 11 / 11 - 0.5::double as gr, o_orderkey % 13 / 13 - 0.5::double as pr,
+  o_orderkey % 17 / 17 - 0.5::double as ns, o_orderkey % 19 / 19 - 0.5::double as ct from orders),
+bn as (select *, case when decision = 'promote' then 0.15::double when decision in ('provisional_promote', 'keep_branch') then 0.08::double else 0 end
+  - case when decision = 'rollback' then 0.1::double else 0 end + 0.2::double * reward as bonus from br)"""
+
 ORACLE: dict[str, str] = {
     "filter_reasons": f"with {_judged('md5(question)')} select coalesce(reason, 'kept') as reason, count(*) as n from j group by 1",
     "filter_kept": f"with {_judged('md5(question)')} select seq, dataset from j where reason is null",
@@ -345,4 +352,36 @@ select source, arg_max(lang, n * 1000000000 - o) as lang, max(n) as n from c gro
 select event_type, count(*) as n, md5(string_agg(user_id::varchar, ',' order by o)) as ids_md5 from f group by 1""",
     "champion_vs_candidate": """select count(*) as n, count(*) filter (o_orderstatus = 'F' and o_orderpriority not like '1%') as gained,
   count(*) filter (o_orderstatus <> 'F' and o_orderpriority like '1%') as lost from orders""",
+    "dag_branch_scores": f"""with {_BRANCH} select seq, round(1.0::double * pr + 0.25::double * fr + 0.15::double * ns + 0.10::double * ct + bonus, 9) as score from bn
+order by 1.0::double * pr + 0.25::double * fr + 0.15::double * ns + 0.10::double * ct + bonus desc, seq limit 25""",
+    "action_evidence": f"""with {_BRANCH}, s as (select *, fr + 0.7::double * gr + 0.25::double * pr + 0.15::double * ns + 0.10::double * ct + bonus as score from bn)
+select action_key, count(*) filter (score > 0 and decision <> 'rollback') as support, count(*) filter (score <= 0 or decision = 'rollback') as failures,
+  round(least(greatest(avg(score), -0.25::double), 0.25::double), 6) as evidence from s group by 1""",
+    "dag_situations": f"""with {_ROUNDS} select round_id, case when round_id % 5 >= 3 then 'repeated_rollback' when forgetting > 0.1::double then 'high_forgetting'
+  when probe_acc < 0.75 then 'low_probe' when new_after < 0.5 then 'low_new_skill' when cotest_after < 0.5 then 'low_cotest' else '' end as situation from gc""",
+    "gate_adjustments": f"""with {_ROUNDS}, g as (select round_id, round_id % 4 as rollback_streak, round_id % 4 >= 3 as l, round_id % 4 = 0 and round_id > 2 and probe_acc > 0.8::double as t from gc)
+select round_id, rollback_streak, case when l then 0.06::double else 0.03::double end as frozen_tolerance, case when l then 0.15::double else 0.1::double end as forgetting_tolerance,
+  case when t then 0.8::double else 0.75::double end as probe_gate, l or t as adjusted from g""",
+    "retained_candidates": f"""with {_BRANCH} select round_id, decision from (select seq as round_id, decision,
+  row_number() over (partition by decision = 'promote' order by seq desc) as p from br) where p <= case when decision = 'promote' then 1 else 3 end""",
+    "proposal_errors": """with a as (select concat_ws(',', case when o_orderkey % 9 = 4 then 'missing_action_key' end,
+  case when o_orderkey % 9 <> 4 and o_orderpriority not in ('1-URGENT', '2-HIGH') then 'invalid_action_key' end,
+  case when o_orderkey % 2 = 0 then 'confidence_not_number' end) as errors from orders) select errors, count(*) as n from a group by 1""",
+    "worst_questions": """with w as (select event_type from events group by 1 order by avg(value), event_type limit 1)
+select event_type as difficulty, event_id as seq from events where event_type not in ('purchase', 'view') order by event_type <> (select event_type from w), event_id limit 20""",
+    "hardest_probe": f"with {_TRIES} select question_id, pass_rate from sc order by pass_rate, question_id limit 200",
+    "review_pauses": """with f as (select user_id as dataset, event_id::double as x from events where event_type = 'error' or event_id % 50 = 0)
+select dataset, count(*) as n, max(x) as "last", case when count(*) >= 2 then max(x) + 600 end as "until" from f group by 1""",
+    "keyed_exclusion": f"select doc_id as seq from documents where sha256({_BODY}) not in (select sha256({_BODY}) from documents where source = 'src1')",
+    "classified_questions": f"""with m as (select case when doc_id % 4 = 0 then 'geometry_measurement' end as g, {_module('text')} as k from documents)
+select coalesce(g, k) as module, (case when g is not null then 1.0 when k = 'unknown' then 0.3 else 0.7 end)::double as confidence, count(*) as n from m group by 1, 2""",
+    "cleaned_rows": f"""select count(*) as n, sum(doc_id)::bigint as positions from documents where length({_BODY}) > 0 and not regexp_full_match({_BODY}, '[0-9]+')
+  and {_strip(_LAST)} <> '' and not (case when {_any(_LOW, ('role', 'from', 'speaker'))} and {_any(_LOW, ('content', 'value', 'text'))}
+  then starts_with({_BODY}, '[') or starts_with({_BODY}, '{{') else starts_with({_BODY}, '[') and contains({_LOW}, 'user') and contains({_LOW}, 'assistant') end)""",
+    "first_wins_documents": "select min(doc_id) as doc_id from documents group by md5(text)",
+    "union_new_refs": """with r as (select distinct o_custkey, o_orderpriority from orders), u as (select * from r where o_orderpriority = '1-URGENT')
+select o_orderpriority, count(*) as n from (select * from u union all select * from r where o_custkey not in (select o_custkey from u)) group by 1""",
+    "verdict_merge": """select case when o_custkey is null then 'old' else 'new' end as verdict, count(*) as n
+from customer full join (select distinct o_custkey from orders) on o_custkey = c_custkey group by 1""",
+    "config_overrides": "select n_nationkey, case when n_nationkey % 3 = 0 then 'other' else n_name end as n_name, n_regionkey from nation",
 }

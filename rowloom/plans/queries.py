@@ -15,7 +15,7 @@ from ..functions import answers as A
 from ..functions import identity as I
 from ..functions import text as T
 from ..operators import (
-    bundles, conversations, dedup, evaluation, filtering, lifecycle, overlap, profile, quotas, rollouts, sampling, search_graph, splits,
+    bundles, cleaning, conversations, decisions, dedup, evaluation, filtering, lifecycle, overlap, profile, quotas, rollouts, sampling, search_graph, splits,
     train_log,
 )
 from ..sources import files
@@ -659,3 +659,118 @@ def champion_vs_candidate(spark, sf):
     rows = _table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("a"), F.col("o_orderpriority").startswith("1").alias("b"))
     out = evaluation.side_by_side(rows.withColumnRenamed("a", "correct"), rows.withColumnRenamed("b", "correct"), ["o_orderkey"])
     return out.agg(F.count("*").alias("n"), F.count_if("gained").alias("gained"), F.count_if("lost").alias("lost"))
+
+
+def _branches(spark, sf):
+    """Orders as branches; effects from their amounts."""
+    part = lambda m: (F.col("o_orderkey") % m) / m - 0.5
+    decision = F.element_at(F.array(*[F.lit(d) for d in decisions.DECISIONS]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return _table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("action_key"), decision.alias("decision"),
+        (F.col("o_totalprice") / 1e6).alias("reward"), part(7).alias("forget_recovery"), part(11).alias("forgetting_recovery"),
+        part(13).alias("probe"), part(17).alias("new_skill"), part(19).alias("cotest"),
+    )
+
+
+@_query
+def dag_branch_scores(spark, sf):
+    return decisions.rank_branches(_branches(spark, sf), "low_probe", 25).select("seq", F.round("score", 9).alias("score"))
+
+
+@_query
+def action_evidence(spark, sf):
+    out = decisions.action_evidence(_branches(spark, sf), "high_forgetting")
+    return out.select("action_key", "support", "failures", F.round("evidence", 6).alias("evidence"))
+
+
+@_query
+def dag_situations(spark, sf):
+    rows = _rounds(spark, sf).select(
+        "round_id", (F.col("round_id") % 5).alias("rollback_streak"), F.lit("promote").alias("previous_decision"), "forgetting",
+        F.col("probe_acc").alias("probe"), F.col("new_after").alias("new_skill"), F.col("cotest_after").alias("cotest"),
+    )
+    return decisions.situation(rows).select("round_id", "situation")
+
+
+@_query
+def gate_adjustments(spark, sf):
+    rows = evaluation.gates(_rounds(spark, sf)).select("round_id", "promote", (F.col("round_id") % 4).alias("rollback_streak"), F.col("probe_acc").alias("mean_acc"))
+    return evaluation.gate_adjustment(rows.withColumn("promote", F.lit(True))).drop("promote", "mean_acc")
+
+
+@_query
+def retained_candidates(spark, sf):
+    rows = _branches(spark, sf).select(F.col("seq").alias("round_id"), "decision")
+    return search_graph.retained(rows, 3).where("keep").select("round_id", "decision")
+
+
+@_query
+def proposal_errors(spark, sf):
+    rows = _table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 9 != 4, F.col("o_orderpriority")).alias("action_key"), F.lit("promote").alias("decision"),
+        (F.col("o_orderkey") % 3 / 2.0).cast("string").alias("replay_ratio"), F.when(F.col("o_orderkey") % 2 == 0, "high").alias("confidence"),
+    )
+    out = decisions.proposal_errors(rows, ["1-URGENT", "2-HIGH"])
+    return out.groupBy(F.concat_ws(",", "errors").alias("errors")).agg(F.count("*").alias("n"))
+
+
+@_query
+def worst_questions(spark, sf):
+    failed = _table(spark, sf, "events").where("event_type not in ('purchase', 'view')").select(F.col("event_id").alias("seq"), F.col("event_type").alias("difficulty"))
+    accuracy = _table(spark, sf, "events").groupBy(F.col("event_type").alias("difficulty")).agg(F.avg("value").alias("accuracy"))
+    return decisions.worst_questions(failed, accuracy, 20)
+
+
+@_query
+def hardest_probe(spark, sf):
+    return sampling.hardest(_scored(spark, sf), "pass_rate", "question_id", 200).select("question_id", "pass_rate")
+
+
+@_query
+def review_pauses(spark, sf):
+    failed = _table(spark, sf, "events").where("event_type = 'error' or event_id % 50 = 0").select(F.col("user_id").alias("dataset"), F.col("event_id").cast("double").alias("at"))
+    return lifecycle.blocked_until(failed, 600.0, 2)
+
+
+@_query
+def keyed_exclusion(spark, sf):
+    rows = _questions(spark, sf).withColumn("key", I.single_key(F.lit(None), F.lit(None), F.col("question"), F.col("question_id")))
+    return overlap.without_keys(rows, rows.where("dataset = 'src1'"), "key").select("seq")
+
+
+@_query
+def classified_questions(spark, sf):
+    rows = _questions(spark, sf).withColumn("module", F.when(F.col("seq") % 4 == 0, "geometry_measurement"))
+    return cleaning.classify(rows, "question").groupBy("module", "confidence").agg(F.count("*").alias("n"))
+
+
+@_query
+def cleaned_rows(spark, sf):
+    """The identity cleaner over all questions; the callable runs in Python."""
+    rows = _questions(spark, sf).select("seq", F.col("question").alias("question_text"), F.col("answer").alias("gold_answer"))
+    return cleaning.accepted(cleaning.clean(rows, "identity")).agg(F.count("*").alias("n"), F.sum("position").alias("positions"))
+
+
+@_query
+def first_wins_documents(spark, sf):
+    return dedup.first_wins(_table(spark, sf, "documents").select("doc_id", "text"), [F.md5("text")], "doc_id").select("doc_id")
+
+
+@_query
+def union_new_refs(spark, sf):
+    refs = _table(spark, sf, "orders").select("o_custkey", "o_orderpriority").distinct()
+    out = dedup.union_new(refs.where("o_orderpriority = '1-URGENT'"), refs, ["o_custkey"])
+    return out.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@_query
+def verdict_merge(spark, sf):
+    old = _table(spark, sf, "customer").select("c_custkey", F.lit("old").alias("verdict"))
+    new = _table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("verdict", F.lit("new"))
+    return overlap.overwrite_merge(old, new, ["c_custkey"]).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@_query
+def config_overrides(spark, sf):
+    over = _table(spark, sf, "nation").where("n_nationkey % 3 = 0").select("n_nationkey", F.lit("other").alias("n_name"))
+    return overlap.with_overrides(_table(spark, sf, "nation"), over, "n_nationkey")
