@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,8 +66,8 @@ def split_quotas(sizes: DataFrame, ratios: dict[str, float]) -> DataFrame:
     smallest. Fractions are those of the first floors; ties go in the order
     of ROLES, among equal fractions both ways.
     """
-    total = sum(ratios.values()) or 1.0
     share = {r: ratios.get(r, 0.0) for r in ROLES}
+    total = reduce(add, share.values()) or 1.0  # rounded at each step, as sum() no longer does
     positive = [r for r in ROLES if share[r] > 0]
     out = sizes
     for r in ROLES:

@@ -125,7 +125,9 @@ def test_bounded_weights(weights):
 def _quota(n, ratios):
     """The split rule, step by step."""
     names = list(splits.ROLES)
-    total = sum(ratios.values())
+    total = 0.0
+    for r in names:
+        total += ratios.get(r, 0)
     exact = {r: n * ratios.get(r, 0) / total for r in names}
     q = {r: int(exact[r]) for r in names}
     frac = {r: exact[r] - q[r] for r in names}
