@@ -50,17 +50,15 @@ class Codec:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
         spec = json.load(open(path, encoding="utf-8"))
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
         model = spec["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.last = self.whole.model
-        self.inner = BPE(vocab=model["vocab"], merges=merges)
+        self._inner, self._path = None, path
         self.name = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
         special = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
@@ -106,6 +104,17 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return self.whole.decode(ids, skip_special_tokens=False)
 
+    @property
+    def inner(self):
+        """Merges of symbols that do not end a word; made where a text first needs them."""
+        if self._inner is None:
+            from tokenizers.models import BPE
+
+            model = json.load(open(self._path, encoding="utf-8"))["model"]
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            self._inner = BPE(vocab=model["vocab"], merges=merges)
+        return self._inner
+
     def merge(self, text: str, final: bool) -> list[int]:
         """Tokens of symbols; ``final``: the last one ends its word."""
         return [t.id for t in (self.last if final else self.inner).tokenize(text)] if text else []
