@@ -71,8 +71,8 @@ def _rules() -> dict[str, Column]:
     return {
         "few_words": c("n_words") < 50,
         "repeated_runs": 100 * c("n_repeat_words") > 50 * c("n_words"),
-        "many_symbols": 100 * c("n_symbols") > 10 * c("word_chars"),
-        "repeated_lines": 100 * c("n_dup_lines") > 30 * c("n_lines"),
+        "many_symbols": 100 * c("n_symbols") > 7 * c("word_chars"),
+        "repeated_lines": (100 * c("n_dup_lines") > 30 * c("n_lines")) & (100 * c("n_repeat_words") > 30 * c("n_words")),
         "short_words": c("word_chars") < 2 * c("n_words"),
         "long_words": c("word_chars") > 20 * c("n_words"),
         "few_letters": 100 * c("n_letters") < 60 * c("word_chars"),

@@ -137,8 +137,8 @@ f as (
   select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
     (case when n_words < 50 then 1 else 0 end)
     + (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)
-    + (case when 100 * n_symbols > 10 * word_chars then 4 else 0 end)
-    + (case when 100 * n_dup_lines > 30 * n_lines then 8 else 0 end)
+    + (case when 100 * n_symbols > 7 * word_chars then 4 else 0 end)
+    + (case when 100 * n_dup_lines > 30 * n_lines and 100 * n_repeat_words > 30 * n_words then 8 else 0 end)
     + (case when word_chars < 2 * n_words then 16 else 0 end)
     + (case when word_chars > 20 * n_words then 32 else 0 end)
     + (case when 100 * n_letters < 60 * word_chars then 64 else 0 end) as failed
