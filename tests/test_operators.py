@@ -323,3 +323,32 @@ def test_decisions(spark):
 def test_pauses_after_failures(spark):
     df = spark.createDataFrame([("a", 10.0), ("a", 20.0), ("b", 5.0)], "dataset string, at double")
     assert rows(lifecycle.blocked_until(df, 60.0, 2), "dataset", "until") == [("a", 80.0), ("b", None)]
+
+
+def test_canonical_rows(spark):
+    from rowloom.operators import normalize as N
+
+    df = spark.createDataFrame(
+        [(0, "why?", "because #### 4", ""), (1, "12", "x", ""), (2, " ", "x", ""), (3, "how", "", ""), (4, "sure?", '[{"role": "user", "content": "x"}]', ""), (5, "q", "a", "d/7")],
+        "i long, q string, a string, rid string",
+    )
+    out = N.canonical(df, N.Fields("q", "a", row_id="rid"), "org/set", "i", split="train")
+    assert rows(out, "question_id", "target_style", "evaluation_method") == [("org_set_train_0", "answer", "gold"), ("org_set_train_d_7", "answer", "gold")]
+    assert N.canonical(df, N.Fields("q", "q"), "d", "i").count() == 0
+    judged = N.canonical(df.withColumn("t", F.lit("long way")), N.Fields("q", train="t", method="llm_judge"), "d", "i")
+    assert {r.evaluation_method for r in judged.collect()} == {"llm_judge"}
+    rec = N.records(out.withColumn("split", F.lit("train")).withColumn("target_style", F.lit("cot")), "Q: {question_text}")
+    got = rec.where("source_dataset_row_id = '0'").first()
+    assert (got.instruction, got.output) == ("Q: why?", "because\n\n\\boxed{4}")
+    assert N.processed_fields(out).where("train_output = ''").count() == 0
+
+
+def test_polluted_and_fallback_rows(spark):
+    from rowloom.operators import normalize as N
+
+    df = spark.createDataFrame([("### Human: decode the problem. knowledge graph", "ok", True), ("human: hi", "Fallback schema", True), ("x", None, False), ("y", None, None)], "t string, reason string, usable boolean")
+    assert [r[0] for r in df.select(N.is_polluted_reference(F.col("t"))).collect()] == [True, False, False, False]
+    assert rows(N.without_fallback_schemas(df, "reason", "usable"), "t") == [("### Human: decode the problem. knowledge graph",), ("y",)]
+    assert N.ranked_splits(["train", "test"], "test") == ["test", "train"] and N.ranked_splits([], "dev")[0] == "dev"
+    maps = spark.createDataFrame([({"a": ["x", "y"], "b": []},)], "m map<string, array<string>>")
+    assert rows(N.exploded(maps, "m"), "group", "item") == [("a", "x"), ("a", "y")]
