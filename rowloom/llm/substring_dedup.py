@@ -9,7 +9,9 @@ fingerprint of two texts, or twice in one, is shared.
 
 Texts are then read again. Windows that retain a shared fingerprint, told by
 a Bloom filter of bounded size, are verified by digests of their exact words;
-a word goes if a window over it has its words at another start.
+a word goes if a window over it has its words at another start. Windows that
+a text itself repeats are settled where the text is read, and each text sends
+a digest once, so no digest has more rows than there are texts.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have none;
 texts with fewer words than a window lose nothing. Repeated rows are copies
@@ -167,7 +169,7 @@ def _inside(bloom: np.ndarray, fps: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROWS = "seq long, n_words long, kept_sha256 string, text string, starts array<int>, digests array<long>"
+_ROWS = "seq long, n_words long, kept_sha256 string, text string, own array<int>, starts array<int>, digests array<long>"
 
 
 def _suspects(shared, window: int, gram: int):
@@ -176,7 +178,7 @@ def _suspects(shared, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = shared.value
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for w in _text.words(batch.column(1)):
                 _, least = _retained(w, window, gram)
                 step = np.flatnonzero(np.diff(least, prepend=_U(0)))
@@ -197,16 +199,20 @@ def _suspects(shared, window: int, gram: int):
                         place = np.cumsum(size + 1) - size - 1
                         ends = (place + size)[starts + window - 1].tolist()
                         digests = [blake2b(line[x:y], digest_size=8).digest() for x, y in zip(place[starts].tolist(), ends, strict=True)]
+                    once, first, of, n = np.unique(
+                        np.frombuffer(b"".join(digests), np.int64), return_index=True, return_inverse=True, return_counts=True
+                    )
                     cols[0].append(seq)
                     cols[1].append(b - a)
                     cols[2].append(None if digests else sha256(line).hexdigest())
                     cols[3].append(own.decode() if digests else None)
-                    cols[4].append(starts.astype(np.int32))
-                    cols[5].append(np.frombuffer(b"".join(digests), np.int64))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                    cols[4].append(starts[n[of] > 1].astype(np.int32))
+                    cols[5].append(starts[first].astype(np.int32))
+                    cols[6].append(once)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
             made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *made], names=["doc_id", "seq", "n_words", "kept_sha256", "text", "starts", "digests"]
+                [batch.column(0), *made], names=["doc_id", "seq", "n_words", "kept_sha256", "text", "own", "starts", "digests"]
             )
 
     return run
@@ -216,17 +222,18 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept, left = [], [], []
-            for n, done, text, starts, copies in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            for n, done, text, own, gone, copies in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
                 if done and not copies:
                     removed.append(0)
                     kept.append(done)
                     left.append(None)
                     continue
                 words = [] if copies else text.encode().split()
-                if starts and not copies:
+                starts = np.unique(np.array([*own, *(gone or [])], np.int64))
+                if len(starts) and not copies:
                     edge = np.zeros(n + 1, np.int64)
                     edge[starts] += 1
-                    edge[np.array(starts) + window] -= 1
+                    edge[starts + window] -= 1
                     words = [x for x, on in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not on]
                 line = b" ".join(words)
                 removed.append(n - len(words))
@@ -270,6 +277,6 @@ def remove_repeats(
     twice = windows.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("digest")
     gone = windows.join(twice, "digest").groupBy("seq").agg(F.collect_set("start").alias("gone"))
     out = rows.drop("starts", "digests").join(copies, "seq", "left").join(gone, "seq", "left")
-    return out.select("doc_id", "n_words", "kept_sha256", "text", "gone", "copies").mapInArrow(
+    return out.select("doc_id", "n_words", "kept_sha256", "text", "own", "gone", "copies").mapInArrow(
         _cut(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
