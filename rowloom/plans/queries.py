@@ -292,7 +292,8 @@ def supplement_pools(spark, sf):
 
 @_query
 def round_robin_probe(spark, sf):
-    return sampling.round_robin(_table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 120)
+    out = sampling.round_robin(_table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 120)
+    return out.select("doc_id", "source", F.col("turn").cast("long").alias("turn"))
 
 
 @_query
@@ -565,7 +566,7 @@ def ucb_actions(spark, sf):
     edges = _edges(spark, sf)
     actions = edges.select("action_key").distinct().unionByName(spark.createDataFrame([("untried",)], "action_key string"))
     ranked = search_graph.rank_actions(actions.withColumn("position", F.col("action_key")), edges)
-    return ranked.select("action_key", F.col("visits").cast("long").alias("visits"), F.round("mean_reward", 9).alias("mean_reward"), "rank")
+    return ranked.select("action_key", F.col("visits").cast("long").alias("visits"), F.round("mean_reward", 9).alias("mean_reward"), F.col("rank").cast("long").alias("rank"))
 
 
 @_query
@@ -582,7 +583,7 @@ def best_edges(spark, sf):
 @_query
 def top_cards(spark, sf):
     nodes = _table(spark, sf, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_acctbal").alias("value_estimate"))
-    return search_graph.top_cards(nodes, _edges(spark, sf), 15, 3).select("from_node_id", "seq", "place")
+    return search_graph.top_cards(nodes, _edges(spark, sf), 15, 3).select("from_node_id", "seq", F.col("place").cast("long").alias("place"))
 
 
 @_query
@@ -590,7 +591,7 @@ def tag_similarity(spark, sf):
     parts = _table(spark, sf, "part").withColumn("tags", F.split("p_type", " "))
     nodes = parts.select(F.col("p_partkey").alias("node_id"), "tags")
     wanted = parts.groupBy("p_brand").agg(F.min_by("tags", "p_partkey").alias("tags")).select(F.col("p_brand").alias("query_id"), "tags")
-    return search_graph.tag_similarity(wanted, nodes, 5)
+    return search_graph.tag_similarity(wanted, nodes, 5).withColumn("place", F.col("place").cast("long"))
 
 
 @_query
