@@ -618,3 +618,20 @@ def test_pipeline_stages_of_odd_rows(spark, odd, sf_dir):
             assert out.columns == odd.columns, name
     near = corpus_pipeline.near_copies(spark, odd, sf_dir)
     assert near.where("doc_id = 4 and text = 'one'").count() == 1 and near.where("doc_id in (5, 7)").count() == 0
+
+
+def test_context_model_is_a_distribution():
+    rng = np.random.default_rng(3)
+    c = np.zeros((pitman_yor.CONTEXTS, pitman_yor.DISHES), np.int64)
+    c[0, :5], c[1, 3] = [9, 1, 2, 1, 1], 100_000
+    p = 10.0 ** pitman_yor._context_model(c, rng).astype(float)
+    assert np.allclose(p.sum(1), 1, atol=1e-3)
+    assert p[1, 3] > 0.99 and p[0, 0] > p[0, 2] > p[0, 4000]
+
+
+def test_contexts_follow_the_words_before():
+    (w,) = _text.words(pa.array(["a b", None, "c"]))
+    context, dish = pitman_yor._dishes(w, np.array([0, 5000, -1]))
+    other, start, rest = pitman_yor.CONTEXTS - 2, pitman_yor.CONTEXTS - 1, pitman_yor.DISHES - 1
+    assert context.tolist() == [start, 0, start, other, start, other]
+    assert dish.tolist() == [1, rest, rest, 0, 0, 0]
