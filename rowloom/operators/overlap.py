@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions import text as T
 
 GRAM = 13
+#: Benchmark grams that are sent to the executors at most.
+MOST_GRAMS = 2_000_000
 # Statuses that keep a row out of training, and out of tests.
 TRAIN_BLOCKING = ("active_holdout", "probe_holdout", "external_probe")
 TEST_BLOCKING = ("active_holdout", "probe_holdout", "external_probe", "retired_holdout", "train_seen")
@@ -20,23 +25,39 @@ def exact_split(rows: DataFrame, bench: DataFrame, text: str = "text", bench_tex
     return keyed.join(known, "_fuzzy", "left_semi" if hits else "left_anti").drop("_fuzzy")
 
 
-def gram_overlap(rows: DataFrame, bench: DataFrame, row_id: str, item_id: str, text: str = "text", width: int = GRAM) -> DataFrame:
+def gram_overlap(
+    rows: DataFrame, bench: DataFrame, row_id: str, item_id: str, text: str = "text", width: int = GRAM, most: int = MOST_GRAMS
+) -> DataFrame:
     """Per row: its number of distinct character grams, and the largest share of them that one item has.
 
-    Rows shorter than a gram, and rows that share none, have share 0.
+    Rows shorter than a gram, and rows that share none, have share 0. While
+    the benchmark has at most ``most`` grams, rows keep only grams that it
+    has before they are joined.
     """
     n = F.lit(width)
-    own = rows.select(row_id, T.char_grams(T.fuzzy(F.coalesce(F.col(text), F.lit(""))), n).alias("g"))
     items = bench.where(F.coalesce(F.col(text), F.lit("")) != "").select(
         F.col(item_id).alias("_item"), F.explode(T.char_grams(T.fuzzy(F.col(text)), n)).alias("gram")
     )
-    sizes = own.select(row_id, F.size("g").cast("long").alias("n_grams"))
-    shared = own.select(row_id, F.explode("g").alias("gram")).join(items, "gram").groupBy(row_id, "_item").agg(F.count("*").alias("k"))
-    most = shared.groupBy(row_id).agg(F.max("k").alias("k"))
-    return sizes.join(most, row_id, "left").select(
-        row_id, "n_grams", F.coalesce(F.col("k"), F.lit(0)).cast("long").alias("n_shared"),
-        F.when(F.col("n_grams") > 0, F.coalesce(F.col("k"), F.lit(0)) / F.col("n_grams")).otherwise(0.0).alias("share"),
-    )
+    few = items.select("gram").distinct().limit(most + 1).toArrow().column("gram").to_numpy()
+    body = T.fuzzy(F.coalesce(F.col(text), F.lit("")))
+    if len(few) <= most:
+        known = rows.sparkSession.sparkContext.broadcast(np.sort(few))
+        kind = StructType([StructField("n", LongType()), StructField("g", ArrayType(LongType()))])
+
+        @F.pandas_udf(kind)
+        def found(texts: pd.Series) -> pd.DataFrame:
+            grams = [T.gram_hashes(t, width) for t in texts]
+            hits = [np.intersect1d(g, known.value, assume_unique=True) for g in grams]
+            return pd.DataFrame({"n": [len(g) for g in grams], "g": hits})
+
+        own = rows.select(row_id, found(body).alias("f")).select(row_id, F.col("f.n").alias("n_grams"), F.col("f.g").alias("g"))
+    else:
+        own = rows.select(row_id, T.char_grams(body, n).alias("g")).select(row_id, F.size("g").cast("long").alias("n_grams"), "g")
+    flat = own.select(row_id, "n_grams", F.explode_outer("g").alias("gram"))
+    shared = flat.join(items, "gram", "left").groupBy(row_id, "n_grams", "_item").agg(F.count("_item").alias("k"))
+    most_shared = shared.groupBy(row_id, "n_grams").agg(F.max("k").alias("n_shared"))
+    share = F.when(F.col("n_grams") > 0, F.col("n_shared") / F.col("n_grams")).otherwise(0.0)
+    return most_shared.select(row_id, "n_grams", "n_shared", share.alias("share"))
 
 
 def without_overlap(rows: DataFrame, bench: DataFrame, row_id: str, item_id: str, threshold: float = 0.8, text: str = "text") -> DataFrame:

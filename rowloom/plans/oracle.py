@@ -183,8 +183,7 @@ union all select 'n_chars', 'number', null, round(count(*) filter (n_chars is nu
     "decontam_ngram_overlap": f"""with b as (select item_id, {_fuzzy('text')} as t from benchmark where text <> ''),
 bg as (select distinct item_id, substring(t, i::int, 13) as g from (select item_id, t, unnest(range(1, length(t) - 11)) as i from b where length(t) >= 13)),
 d as (select doc_id, {_fuzzy('text')} as t from documents),
-dg as (select distinct doc_id, hash(g) as h, g from (select doc_id, array_to_string(c[i:i+12], '') as g
-  from (select doc_id, c, unnest(range(1, len(c) - 11)) as i from (select doc_id, string_split(t, '') as c from d) where len(c) >= 13))),
+dg as (select distinct doc_id, substring(t, i::int, 13) as g from (select doc_id, t, unnest(range(1, length(t) - 11)) as i from d where length(t) >= 13)),
 n as (select doc_id, count(*) as n_grams from dg group by doc_id),
 k as (select doc_id, item_id, count(*) as k from dg join bg using (g) group by doc_id, item_id),
 m as (select doc_id, max(k) as k from k group by doc_id)
