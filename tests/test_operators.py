@@ -352,3 +352,24 @@ def test_polluted_and_fallback_rows(spark):
     assert N.ranked_splits(["train", "test"], "test") == ["test", "train"] and N.ranked_splits([], "dev")[0] == "dev"
     maps = spark.createDataFrame([({"a": ["x", "y"], "b": []},)], "m map<string, array<string>>")
     assert rows(N.exploded(maps, "m"), "group", "item") == [("a", "x"), ("a", "y")]
+
+
+def test_signatures_share_the_least_gram(spark):
+    from rowloom.functions.text import gram_hashes
+
+    texts = ["abcdefghijklmnopqrstuvwxyz", "xx abcdefghijklmnopqrstuvwxyz", "short", None, "0123456789 0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    bench = docs.where("doc_id = 0")
+    least = lambda t: min(gram_hashes((t or "").lower().replace("!", ""), 13), default=None)
+    want = sorted((i,) for i, t in enumerate(texts) if least(t) is None or least(t) != least(texts[0]))
+    assert rows(overlap.signature_split(docs, bench), "doc_id") == want
+    assert rows(overlap.signature_split(docs, bench, hits=True), "doc_id") == sorted((i,) for i in range(6) if (i,) not in want)
+
+
+def test_large_benchmarks_are_joined_alike(spark):
+    docs = spark.createDataFrame([(i, "lorem ipsum dolor sit amet " * (i % 3) + str(i) * 9) for i in range(12)] + [(99, None)], "doc_id int, text string")
+    bench = spark.createDataFrame([(1, "ipsum dolor sit amet lorem"), (2, "777777777 consectetur")], "item_id int, text string")
+    a = overlap.gram_overlap(docs, bench, "doc_id", "item_id")
+    b = overlap.gram_overlap(docs, bench, "doc_id", "item_id", most=0)
+    cols = ("doc_id", "n_grams", "n_shared", "share")
+    assert rows(a, *cols) == rows(b, *cols) and a.where("share > 0").count() > 0
