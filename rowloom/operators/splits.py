@@ -36,7 +36,9 @@ def _nth(rows: DataFrame, hashed: str, n: int) -> str:
                 break
             before += k
         prefix = value
-        if k <= 10_000 or len(prefix) >= 32:
+        if len(prefix) >= 32:  # rows of one identifier
+            return prefix
+        if k <= 10_000:
             few = sorted(r[0] for r in rows.where(F.col(hashed).startswith(prefix)).select(hashed).collect())
             return few[n - before - 1]
 
