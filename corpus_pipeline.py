@@ -8,11 +8,9 @@ empty texts hold no letter and go in the first stage.
 
 from __future__ import annotations
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from rowloom.llm import bpe, decontaminate, lang_id, near_dedup, secrets
 from rowloom.llm._shared import stored
@@ -53,11 +51,6 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@F.pandas_udf(StringType())
-def _redact(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else secrets.redacted(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text."""
     _, ledger = secrets.scan_versions(docs, path_col="doc_id")
@@ -65,7 +58,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = ledger.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     rows = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, blob, "left")
     hit = F.col(spans).isNotNull()
-    text = F.when(hit, _redact(F.when(hit, F.col("text")), F.col(spans))).otherwise(F.col("text"))
+    text = F.when(hit, secrets.redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

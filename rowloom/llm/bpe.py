@@ -3,7 +3,7 @@
 The tokenizer file is one of the tokenizers library: its pre-tokens never
 cross white space, so the words of a text are encoded apart and their tokens
 put together. Words of up to ``LONG`` bytes go through the library, each
-distinct word once per worker while the memo has room.
+distinct word once per task while the memo has room.
 
 A text with a longer word is cut into units that are encoded as rows of their
 own. A pre-token over ``SEGMENT`` symbols becomes many segments; neighbours
@@ -41,7 +41,7 @@ from ._shared import small_batches, stored
 
 LONG = 1 << 14
 SEGMENT = 1 << 10
-_MEMO = 500_000
+_MEMO = 300_000
 
 
 class Codec:
@@ -185,6 +185,7 @@ def _first_pass(path: str, long: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, t) for x, t in zip(cols, _FIRST_TYPES, strict=True))], names=_FIRST_NAMES
             )
+        c.ids, c.old = {}, {}  # the worker lives on for other tasks
 
     return run
 

@@ -31,7 +31,7 @@ PATTERNS = {
     "hex": r"[0-9a-f]+",
     "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "forge": r"gh[pousr]_[A-Za-z0-9]{36,}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
 BASE_KINDS = ("assign", "access", "hex")
 _LEAST = {"assign": 6, "access": 20, "hex": 24}
@@ -102,6 +102,18 @@ def of_kinds(spans: Column, *kinds: str) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
 
+def redact(text: Column, spans: Column) -> Column:
+    """:func:`redacted` as an expression."""
+    places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("a"), s["end"].cast("int").alias("b"))))
+
+    def step(done: Column, s: Column) -> Column:
+        more = F.concat(done["out"], F.substring(text, done["at"] + 1, s["a"] - done["at"]), F.lit("<secret>"))
+        return F.struct(F.when(s["a"] >= done["at"], more).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["b"]).alias("at"))
+
+    begun = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(places, begun, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
 def redacted(text: str, spans) -> str:
     """``text`` with every span, overlaps united, replaced by ``<secret>``."""
     out, at = [], 0

@@ -392,6 +392,15 @@ def test_secrets_of_odd_rows(spark, odd):
     assert secrets.scan_versions(odd.limit(0), path_col="doc_id")[0].count() == 0
     spans = [{"kind": "a", "start": 2, "end": 5}, {"kind": "b", "start": 4, "end": 6}]
     assert secrets.redacted("0123456789", spans) == "01<secret>6789"
+    rnd = random.Random(1)
+    rows = []
+    for i in range(60):
+        text = "".join(rnd.choice("aé日\U0001f600 ") for _ in range(30))
+        cuts = [sorted(rnd.sample(range(31), 2)) for _ in range(rnd.randrange(5))]
+        rows.append((i, text, [("k", a, b) for a, b in cuts]))
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<kind:string,start:long,end:long>>")
+    got = dict(plain(df.select("i", secrets.redact(F.col("t"), F.col("s")).alias("r")), "i", "r"))
+    assert got == {i: secrets.redacted(t, [{"kind": k, "start": a, "end": b} for k, a, b in s]) for i, t, s in rows}
 
 
 # Repeated passages
