@@ -3,7 +3,9 @@
 Every version of a file is content-addressed by the SHA-256 of its text. The
 ledger has one row per (blob, rule version); only pairs that it lacks are
 scanned, once however many paths hold the blob, and findings are joined back
-to all paths. A text without any of the rules' trigger strings cannot match;
+to all paths. A blob may have most of the paths: copies are put together before
+they are looked up, and rows are dealt over ``SALTS`` keys to meet their
+findings, which are repeated for each. A text without any of the rules' trigger strings cannot match;
 it enters the ledger with no findings, and its text is not moved.
 
 Spans are code point places, end exclusive. Null texts count as empty, which
@@ -33,6 +35,8 @@ PATTERNS = {
     "forge": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
+#: Join keys over which the paths of one blob are dealt.
+SALTS = 32
 BASE_KINDS = ("assign", "access", "hex")
 _LEAST = {"assign": 6, "access": 20, "hex": 24}
 _TRIGGER = (
@@ -82,14 +86,17 @@ def scan_versions(
     )
     known = ledger if ledger is not None else spark.createDataFrame([], LEDGER)
     known = known.where(F.col("rule_version") == rule_version).select("blob", "spans")
-    unseen = paths.select("blob", "body").join(known, "blob", "left_anti")
-    scanned = unseen.where(F.col("body").isNotNull()).dropDuplicates(["blob"]).mapInPandas(_scan, f"blob string, spans {_SPANS}")
+    texts = paths.where(F.col("body").isNotNull()).select("blob", "body").dropDuplicates(["blob"])
+    scanned = texts.join(known, "blob", "left_anti").mapInPandas(_scan, f"blob string, spans {_SPANS}")
     entries = (
-        unseen.select("blob").distinct().join(scanned, "blob", "left")
+        paths.select("blob").distinct().join(known, "blob", "left_anti").join(scanned, "blob", "left")
         .select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
     )
     entries = stored(entries, "secret-ledger")
-    found = paths.select("path", "blob").join(known.unionByName(entries.select("blob", "spans")), "blob", "left")
+    findings = known.unionByName(entries.select("blob", "spans")).where(F.size("spans") > 0)
+    findings = findings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = paths.select("path", "blob", (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt"))
+    found = dealt.join(findings, ["blob", "salt"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
     return found.select(F.col("path").alias(path_col), "blob", "spans"), entries
 
 

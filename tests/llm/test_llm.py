@@ -386,6 +386,17 @@ def test_ledger_is_incremental(spark):
     assert other.count() == 4
 
 
+def test_findings_of_a_blob_with_most_paths(spark):
+    hot = spark.range(400).select(F.lit(None).cast("string").alias("path"), F.lit("é token=abcdefgh").alias("text"))
+    rows = hot.unionByName(spark.createDataFrame([("x", "plain"), ("y", None)], "path string, text string"))
+    found, entries = secrets.scan_versions(rows)
+    assert found.count() == 402 and entries.count() == 3
+    assert found.where("path is null and spans[0].start = 2 and size(spans) = 1").count() == 400
+    assert found.where("size(spans) = 0").count() == 2
+    again, new = secrets.scan_versions(rows, entries)
+    assert new.count() == 0 and again.where("size(spans) = 1").count() == 400
+
+
 def test_secrets_of_odd_rows(spark, odd):
     found, entries = secrets.scan_versions(odd, path_col="doc_id")
     assert found.count() == len(ODD) and entries.count() == len({r[1] or "" for r in ODD})
