@@ -3,19 +3,21 @@
 Of every window of ``WINDOW`` words the smallest fingerprint among its runs
 of ``GRAM`` words is retained, so equal windows retain equal fingerprints
 while a text has about 7 for each 100 words. A batch's fingerprints become an
-immutable run, one row per fingerprint, sorted, with the first and last text
-that holds it. Runs are merge-joined by fingerprint and compacted; a
-fingerprint of two texts, or twice in one, is shared.
+immutable run, one row per fingerprint, sorted, with a text that holds it and
+whether it is shared: of two texts, or twice in one. A new run is joined with
+the older ones by fingerprint, those of another text are shared as well, and
+``fanout`` runs are compacted to one. The index keeps the texts of its batches,
+so a batch is verified against history that is not passed again.
 
-Texts are then read again. Windows that retain a shared fingerprint, told by
+Texts are then read again, those of the index too. Windows that retain a shared fingerprint, told by
 a Bloom filter of bounded size, are verified by digests of their exact words;
 a word goes if a window over it has its words at another start. Windows that
 a text itself repeats are settled where the text is read, and each text sends
 a digest once, so no digest has more rows than there are texts.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have none;
-texts with fewer words than a window lose nothing. Repeated rows are copies
-of each other and lose all windows; so do rows that share an identifier only
+texts with fewer words than a window lose nothing. Repeated rows, also of two
+batches, are copies of each other and lose all windows; so do rows that share an identifier only
 if their texts match. Null identifiers are allowed, an empty table gives an
 empty one, other columns are ignored.
 """
@@ -39,7 +41,9 @@ GRAM = 8
 BLOOM_BITS = 1 << 27
 _PROBES = 4
 _U = np.uint64
-RUN = "fp long, lo long, hi long, again boolean"
+RUN = "fp long, seq long, many boolean"
+#: Batches of the query, more than an index keeps apart.
+BATCHES = 5
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -73,7 +77,7 @@ def _sequences(w: _text.Words) -> np.ndarray:
 
 def _fingerprints(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["fp", "lo", "hi", "again"]
+        names = ["fp", "seq", "many"]
         for batch in batches:
             for w in _text.words(batch.column(0)):
                 grams, least = _retained(w, window, gram)
@@ -93,7 +97,7 @@ def _fingerprints(window: int, gram: int):
                 again = np.diff(np.append(first, len(fp))) > 1
                 own = own[order][first].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp[first].view(np.int64)), pa.array(own), pa.array(own), pa.array(again)], names=names
+                    [pa.array(fp[first].view(np.int64)), pa.array(own), pa.array(again)], names=names
                 )
 
     return run
@@ -105,43 +109,60 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = 4):
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
         self.runs: list[DataFrame] = []
+        self.crossed: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
         scratch(spark)
 
-    def append(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """Add a batch's run; compact when there are ``fanout`` older ones. Returns the run."""
+    def append(self, docs: DataFrame, text_col: str = "text", keep: bool = True) -> DataFrame:
+        """Add a batch's run, join it with the older ones, and compact when there are ``fanout`` of these. Returns the run.
+
+        Without ``keep`` its texts are not stored, and must be passed whenever others are verified.
+        """
         small_batches(self.spark)
         if len(self.runs) >= self.fanout:
             self.compact()
-        found = docs.select(F.col(text_col).alias("text")).mapInArrow(_fingerprints(self.window, self.gram), RUN)
-        self.runs.append(self._sorted(self._merged(found)))
-        return self.runs[-1]
+        texts = docs.select(F.col(text_col).alias("text"))
+        if keep:
+            texts = stored(texts, "fingerprint-texts")
+            self.texts.append(texts)
+        run = self._sorted(self._merged(texts.mapInArrow(_fingerprints(self.window, self.gram), RUN)))
+        if self.runs:
+            old = self._rows().select(F.col("fp").alias("old_fp"), F.col("seq").alias("old_seq"))
+            crossed = run.join(old, (F.col("fp") == F.col("old_fp")) & (F.col("seq") != F.col("old_seq")), "left_semi")
+            self.crossed.append(stored(crossed.select("fp"), "fingerprints-crossed"))
+        self.runs.append(run)
+        return run
 
     @staticmethod
     def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("again").alias("again"))
+        found = rows.groupBy("fp").agg(F.min("seq").alias("seq"), F.max("seq").alias("last"), F.max("many").alias("many"))
+        return found.select("fp", "seq", (F.col("many") | (F.col("seq") != F.col("last"))).alias("many"))
 
     @staticmethod
     def _sorted(run: DataFrame) -> DataFrame:
         return stored(run.sortWithinPartitions("fp"), "fingerprint-run")
 
-    def _all(self) -> DataFrame:
+    def _rows(self) -> DataFrame:
         rows = self.runs[0]
         for r in self.runs[1:]:
             rows = rows.unionByName(r)
-        return self._merged(rows) if len(self.runs) > 1 else rows
+        return rows
 
     def compact(self) -> None:
         """One run instead of all."""
         if len(self.runs) > 1:
-            self.runs = [self._sorted(self._all())]
+            self.runs = [self._sorted(self._merged(self._rows()))]
 
     def matches(self, run: DataFrame) -> DataFrame:
         """Fingerprints of ``run`` that the index holds, by merge join."""
-        return run.select("fp").join(self._all().select("fp"), "fp", "left_semi")
+        return run.select("fp").join(self._rows().select("fp"), "fp", "left_semi")
 
     def shared(self) -> DataFrame:
-        """Fingerprints of two texts, or twice in one."""
-        return self._all().where((F.col("lo") != F.col("hi")) | F.col("again")).select("fp")
+        """Fingerprints of two texts, or twice in one; some come more than once."""
+        rows = self._rows().where("many").select("fp")
+        for c in self.crossed:
+            rows = rows.unionByName(c)
+        return rows
 
 
 def _bloom(fps: DataFrame, limit: int) -> np.ndarray:
@@ -247,6 +268,11 @@ def _cut(window: int):
     return run
 
 
+def _windows(rows: DataFrame) -> DataFrame:
+    found = rows.where(F.size("starts") > 0).select("seq", F.explode(F.arrays_zip("starts", "digests")).alias("w"))
+    return found.select("seq", F.col("w.starts").alias("start"), F.col("w.digests").alias("digest"))
+
+
 def remove_repeats(
     docs: DataFrame,
     index: FingerprintIndex | None = None,
@@ -255,26 +281,49 @@ def remove_repeats(
     window: int = WINDOW,
     gram: int = GRAM,
     bloom_bits: int = BLOOM_BITS,
+    run: DataFrame | None = None,
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, and kept_text where words were removed or checked.
 
-    ``index`` must hold all of ``docs``; without one, one is built of two batches.
+    ``index`` must hold all of ``docs``; what else it holds is history, whose
+    repeats ``docs`` lose, too. ``run``: what appending ``docs`` returned;
+    history is then read for its fingerprints alone. Without an index, one is
+    built batch by batch.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    history: list[DataFrame] = []
     if index is None:
         index = FingerprintIndex(spark, window, gram)
-        half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-        for part in (0, 1):
-            index.append(docs.where(half == part))
-    shared = spark.sparkContext.broadcast(_bloom(index.shared(), bloom_bits))
+        batch = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES))
+        for k in range(BATCHES):
+            index.append(docs.where(batch == k), keep=False)
+    else:
+        history = index.texts
+    fps = index.shared()
+    if run is not None:
+        fps = fps.join(run.select("fp"), "fp", "left_semi")
+    shared = spark.sparkContext.broadcast(_bloom(fps, bloom_bits))
     kind = dict(docs.dtypes)["doc_id"]
     rows = stored(docs.mapInArrow(_suspects(shared, window, gram), f"doc_id {kind}, {_ROWS}"), "substring-rows")
-    copies = rows.where(F.col("n_words") >= window).groupBy("seq").agg(F.count("*").alias("n")).where("n > 1").select("seq", F.lit(True).alias("copies"))
-    windows = rows.where(F.size("starts") > 0).select("seq", F.explode(F.arrays_zip("starts", "digests")).alias("w"))
-    windows = windows.select("seq", F.col("w.starts").alias("start"), F.col("w.digests").alias("digest"))
+    wide = rows.where(F.col("n_words") >= window)
+    counts = wide.groupBy("seq").agg(F.count("*").alias("n"))
+    windows = _windows(rows)
+    every = windows
+    if history:
+        # docs are in the index as well: their windows have one place in both, and rows are counted on each side
+        past = history[0]
+        for t in history[1:]:
+            past = past.unionByName(t)
+        past = past.select(F.lit(0).alias("doc_id"), "text").mapInArrow(_suspects(shared, window, gram), f"doc_id int, {_ROWS}")
+        past = stored(past.select("seq", "n_words", "starts", "digests"), "substring-history")
+        counts = counts.unionByName(past.where(F.col("n_words") >= window).groupBy("seq").agg(F.count("*").alias("n")))
+        every = windows.unionByName(_windows(past))
+    copies = counts.where("n > 1").select("seq", F.lit(True).alias("copies"))
+    if history:
+        copies = copies.distinct()
     place = F.xxhash64("seq", "start")
-    twice = windows.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("digest")
+    twice = every.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("digest")
     gone = windows.join(twice, "digest").groupBy("seq").agg(F.collect_set("start").alias("gone"))
     out = rows.drop("starts", "digests").join(copies, "seq", "left").join(gone, "seq", "left")
     return out.select("doc_id", "n_words", "kept_sha256", "text", "own", "gone", "copies").mapInArrow(
