@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from rowloom.llm import substring_dedup
+from rowloom.llm import decontaminate, substring_dedup
 
 
 def test_a_batch_loses_what_only_history_repeats(spark, monkeypatch):
@@ -29,3 +29,17 @@ def test_the_query_joins_and_compacts_runs(spark, monkeypatch):
     docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("a b c d e f g h").alias("text"))
     assert substring_dedup.remove_repeats(docs, window=6, gram=3).agg(F.sum("n_removed")).first()[0] == 160
     assert done == [4]
+
+
+def test_edited_copies_of_items_are_leaks(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(100)]
+    items = [(n, " ".join(words[:n])) for n in (30, 60, 100)]
+    names = "Alice has 12 apples. Bob has 5 apples. Alice gives Bob 3 apples. How many apples does Alice have now?"
+    full = "we know that yesterday Ann bought a very large cake and later she told Ann that the cake was eaten"
+    bench = spark.createDataFrame([*items, (1, names), (2, full)], "item_id long, text string")
+    put = [(n, " ".join([*words[: n // 2], "inserted", *words[n // 2 : n]])) for n, _ in items]
+    out = [(n + 1, " ".join([*words[: n // 2], *words[n // 2 + 1 : n]])) for n, _ in items]
+    docs = [*put, *out, (1, names.replace("Alice", "Maria").replace("Bob", "Tom")), (2, full.replace("Ann", "Mary Jane")), (3, "one two three")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {(n, n) for n, _ in items} | {(n + 1, n) for n, _ in items} | {(1, 1), (2, 2)} <= got
+    assert all(d != 3 for d, _ in got)
