@@ -3,10 +3,15 @@
 Texts with a trigger word are cut into sentences. Sentences with a trigger,
 and those between two that are at most ``GAP`` apart, form candidate blocks.
 Every block is compressed alone and with each template as a raw zstandard
-dictionary; templates are ranked by how much they shorten it. The best
-``RANKED`` are confirmed by their exact words: those of the template that the
-block lacks, in order, and those that it puts between. Up to ``DIFFERENT`` of
-the template's words may differ.
+dictionary; templates are ranked by how much they shorten it. All that do are
+confirmed by their exact words: those of the template that the block lacks, in
+order, and those that it puts between. Up to ``DIFFERENT`` of the template's
+words may differ.
+
+Notices over many lines or sentences reach beyond a block. Blocks are widened
+by the words of the longest template on both sides, across lines; each template
+is aligned there, and what it covers is a block of its own, if no block
+confirmed the template at that place.
 
 Places are code points, end exclusive. Null and empty texts have no blocks,
 blocks that no template confirms are not returned. Repeated rows get equal
@@ -16,6 +21,8 @@ results, an empty table gives an empty one, other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -28,7 +35,6 @@ from pyspark.sql import functions as F
 from ._shared import small_batches
 
 GAP = 2
-RANKED = 3
 DIFFERENT = 0.15
 _TRIGGER = r"(?i)licen[cs]e|copyright|permission is hereby|redistribution|warrant(?:y|ies)|all rights reserved"
 
@@ -100,7 +106,7 @@ def judge(block: str) -> list[tuple[str, float, int, int, str]]:
     plain, by, wording = _compressors()
     raw = block.encode()
     alone = len(plain.compress(raw))
-    ranked = sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in by.items()), key=lambda x: (-x[0], x[1]))[:RANKED]
+    ranked = sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in by.items()), key=lambda x: (-x[0], x[1]))
     have, out = _words(block), []
     for reduction, name in ranked:
         if reduction <= 0:
@@ -119,6 +125,55 @@ def judge(block: str) -> list[tuple[str, float, int, int, str]]:
     return out
 
 
+def _aligned(want: list[str], have: list[str]) -> tuple[int, int] | None:
+    """Where ``have`` holds about the words of ``want``."""
+    slack = int(DIFFERENT * len(want))
+    if sum((Counter(want) & Counter(have)).values()) < len(want) - slack:
+        return None
+    best = SequenceMatcher(None, want, have, autojunk=False).find_longest_match()
+    at = max(0, best.b - best.a - slack)
+    steps = SequenceMatcher(None, want, have[at : best.b - best.a + len(want) + slack], autojunk=False).get_opcodes()
+    for end in (0, -1):  # words that only happen to occur before and after
+        while steps and (steps[end][0] != "equal" or (len(steps) > 1 and _extra(steps[1 if end == 0 else -2]) > steps[end][2] - steps[end][1])):
+            steps.pop(end)
+    return (at + steps[0][3], at + steps[-1][4]) if steps else None
+
+
+def _extra(step: tuple) -> int:
+    """Words put in beyond those of the template."""
+    return (step[4] - step[3]) - (step[2] - step[1])
+
+
+def notices(text: str) -> list[tuple[int, int, str, float, int, int, str]]:
+    """Confirmed templates of a text with their places."""
+    _, _, wording = _compressors()
+    spans = blocks(text)
+    found = [(a, b, *v) for a, b in spans for v in judge(text[a:b])]
+    places = [m.span() for m in _WORD.finditer(text)]
+    starts, reach = [a for a, _ in places], max(map(len, wording.values()))
+    wide: list[list[int]] = []
+    for a, b in spans:
+        lo, hi = max(0, bisect_left(starts, a) - reach), min(len(places), bisect_left(starts, b) + reach)
+        if wide and lo <= wide[-1][1]:
+            wide[-1][1] = max(hi, wide[-1][1])
+        else:
+            wide.append([lo, hi])
+    for name, want in wording.items():
+        todo = [tuple(x) for x in wide]
+        while todo:
+            lo, hi = todo.pop()
+            at = _aligned(want, [text[a:b].lower() for a, b in places[lo:hi]])
+            if at is None or at[0] == at[1]:
+                continue
+            i, j = lo + at[0], lo + at[1]
+            todo += [(lo, i), (j, hi)]
+            a, b = places[i][0], places[j - 1][1]
+            b += len(text[b : b + 1].strip()) if text[b : b + 1] in ".!?" else 0
+            if not any(x[2] == name and x[0] < b and a < x[1] for x in found):
+                found += [(a, b, *v) for v in judge(text[a:b]) if v[0] == name]
+    return found
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, SCHEMA): every confirmed template of every block."""
     small_batches(docs.sparkSession)
@@ -127,9 +182,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [
-                (i, a, b, *v) for i, t in zip(f.doc_id, f.text, strict=True) for a, b in blocks(t) for v in judge(t[a:b])
-            ]
+            found = [(i, *v) for i, t in zip(f.doc_id, f.text, strict=True) for v in notices(t)]
             yield pd.DataFrame(found, columns=names)
 
     return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {SCHEMA}")

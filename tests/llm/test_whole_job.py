@@ -1,10 +1,11 @@
 """Work that earlier forms of the operators left out."""
 
 import hashlib
+import textwrap
 
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, substring_dedup
+from rowloom.llm import decontaminate, licenses, substring_dedup
 
 
 def test_a_batch_loses_what_only_history_repeats(spark, monkeypatch):
@@ -43,3 +44,17 @@ def test_edited_copies_of_items_are_leaks(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert {(n, n) for n, _ in items} | {(n + 1, n) for n, _ in items} | {(1, 1), (2, 2)} <= got
     assert all(d != 3 for d, _ in got)
+
+
+def test_wrapped_notices_are_confirmed(spark):
+    rows = []
+    for name in ("MIT-text", "GPL-3.0-header", "Apache-2.0-header", "BSD-3-Clause"):
+        lines = textwrap.wrap(licenses.TEMPLATES[name], 76)
+        rows += [(name, "\n".join(f" * {x}" for x in lines)), (name, "The first of all words.\n\n" + "\n".join(lines) + "\n\nint main of the rest\n")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).where("license = doc_id and n_different = 0")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in rows)
+
+
+def test_more_than_three_templates_of_a_block():
+    short = [licenses.TEMPLATES[k] for k in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0")]
+    assert {"Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0"} <= {v[0] for v in licenses.judge(" ".join(short))}
