@@ -284,12 +284,15 @@ def digests(
     short = first.where(F.col("uid").isNull()).select("doc_id", *out)
     rest = first.where(F.col("uid").isNotNull())
     parts = encode_long(rest.select("uid", "text"), path, long, segment)
+    empty = sha256(b"").hexdigest()  # texts of Unicode white space alone have no units
+    blank = [F.lit(0).cast("long"), F.lit(empty), F.lit(empty)]
     if parts is None:
-        return short
+        return short.unionByName(rest.select("doc_id", *[b.alias(c) for b, c in zip(blank, out, strict=True)]))
     results = parts.groupBy("uid").applyInPandas(
         _whole_text(path), "uid string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
-    return short.unionByName(rest.select("doc_id", "uid").join(results, "uid").select("doc_id", *out))
+    joined = rest.select("doc_id", "uid").join(results, "uid", "left")
+    return short.unionByName(joined.select("doc_id", *[F.coalesce(c, b).alias(c) for b, c in zip(blank, out, strict=True)]))
 
 
 def encode_long(rest: DataFrame, path: str, long: int = LONG, segment: int = SEGMENT) -> DataFrame | None:

@@ -3,9 +3,10 @@
 import hashlib
 import textwrap
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, licenses, substring_dedup
+from rowloom.llm import bpe, decontaminate, licenses, substring_dedup
 
 
 def test_a_batch_loses_what_only_history_repeats(spark, monkeypatch):
@@ -58,3 +59,11 @@ def test_wrapped_notices_are_confirmed(spark):
 def test_more_than_three_templates_of_a_block():
     short = [licenses.TEMPLATES[k] for k in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0")]
     assert {"Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0"} <= {v[0] for v in licenses.judge(" ".join(short))}
+
+
+def test_white_space_alone_keeps_its_row(spark):
+    path, none = public_tokenizers.path("word_bpe_49k.json"), hashlib.sha256(b"").hexdigest()
+    for rows in ([(1, "\u3000" * 6000)], [(1, "\u3000" * 6000), (2, "x" * 20_000)]):
+        got = bpe.digests(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+        assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
+        assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == (0, none, none) for r in got if r.doc_id == 1)
