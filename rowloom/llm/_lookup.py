@@ -1,8 +1,10 @@
-"""A vectorised hash index from 64-bit keys to their places."""
+"""Vectorised look-ups of 64-bit keys: a hash index, and Bloom filters of bounded size."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,3 +46,35 @@ class HashIndex:
             out[ask] = self.at[slot[ask]]
             ask = ask[(out[ask] >= 0) & (self.key[slot[ask]] != keys[ask])]
         return out
+
+
+_U = np.uint64
+_PROBES = 4
+#: Limit of a Bloom filter's bits; beyond, it lets more through.
+BLOOM_BITS = 1 << 27
+
+
+def bloom(keys: DataFrame, limit: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of a column of keys, at most ``limit`` bits, built by the executors as 64-bit words."""
+    keys = keys.toDF("key")
+    bits = 1 << 16
+    n = keys.count()
+    while bits < min(limit, 16 * n):
+        bits *= 2
+    places = F.array(*[F.col("key").bitwiseXOR(F.shiftrightunsigned("key", 7 + 13 * i)).bitwiseAND(F.lit(bits - 1)) for i in range(_PROBES)])
+    at = keys.select(F.explode(places).alias("p"))
+    parts = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p & 63)))").alias("v"))
+    got = parts.toArrow()
+    words = np.zeros(bits // 64, _U)
+    words[got.column("w").to_numpy()] = got.column("v").to_numpy().view(_U)
+    return words
+
+
+def inside(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a Bloom filter lets through."""
+    last = _U(len(filter_) * 64 - 1)
+    out = np.ones(len(keys), bool)
+    for i in range(_PROBES):
+        p = (keys ^ (keys >> _U(7 + 13 * i))) & last
+        out &= (filter_[(p >> _U(6)).astype(np.int64)] >> (p & _U(63))) & _U(1) == 1
+    return out

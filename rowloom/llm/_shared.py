@@ -2,42 +2,81 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Folder of this program's tables, by shared folder.
+_runs: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """This program's folder for tables, below the one that driver and executors share.
 
-    It is the one named by ``spark.checkpoint.dir``. Where that is unset, a
-    local session gets a temporary folder and a cluster one below the
-    warehouse; the choice is kept in the session.
+    That is the folder named by ``spark.checkpoint.dir``; where it is unset,
+    ``_scratch`` in the warehouse. What is left in it goes when the program
+    ends, or with :func:`release`.
     """
-    base = spark.conf.get(_SETTING, None)
-    if not base:
-        if spark.sparkContext.master.startswith("local["):
-            base = tempfile.mkdtemp(prefix="rowloom-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set(_SETTING, base)
-    return base.rstrip("/")
+    base = (spark.conf.get(_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+    if base not in _runs:
+        _runs[base] = f"{base}/rowloom-{uuid.uuid4().hex}"
+        atexit.register(_at_exit, spark, base)
+    return _runs[base]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables of this program; results that still read them must be written before."""
+    for path in _runs.values():
+        _delete(spark, path)
+    _runs.clear()
+
+
+def _at_exit(spark: SparkSession, base: str) -> None:
+    context = spark.sparkContext
+    if base in _runs and context._jsc is not None:  # else the session was stopped before
+        _delete(spark, _runs.pop(base))
+
+
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
     Later stages read files that survive the loss of an executor, and nothing
-    above is computed twice.
+    above is computed twice. The shuffle files of this one query go when it
+    is written. ``batch``: rows of an Arrow batch in it.
     """
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    wanted = {_CLEANUP: "true", **({_BATCH: str(batch)} if batch else {})}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rowloom_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete :func:`stored` tables that nothing will read again."""
+    for t in tables:
+        _delete(t.sparkSession, t._rowloom_path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, so that Python workers stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound what one Arrow batch holds, so that Python workers stay small; a lower bound of the caller's stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))

@@ -1,7 +1,8 @@
 """Words of Arrow text columns as numpy arrays, without Python strings.
 
-A word is ``[^\\x20\\x09-\\x0D]+``. Its 64-bit hash is a polynomial over its
-bytes, taken from one running sum for all words of a chunk, then mixed.
+A word is ``[^\\x20\\x09-\\x0D]+``. Its 64-bit hash is a sum over its bytes, each
+by a number of its own for every place in the word, then mixed; one running sum
+serves all words of a chunk.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
-_tables: dict[int, np.ndarray] = {}
+_tables: dict[int, np.ndarray] = {}  # powers by base; 0: factors
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -45,6 +46,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+#: A number for each byte value.
+BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9FB21C651E98DF25))
+
+
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` values; empty if there are fewer."""
     n = len(h) - width + 1
@@ -108,11 +113,28 @@ def _spans(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end
 
 
+def factors(n: int) -> np.ndarray:
+    """``n`` odd numbers without a pattern, the same ones each time."""
+    have = _tables.get(0)
+    if have is None or len(have) < n:
+        have = _tables[0] = mix(np.arange(1, max(n, 4096) + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
+    return have[:n]
+
+
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * powers(_BASE, len(data)), out=sums[1:])
-    h = (sums[end] - sums[start]) * powers(_INVERSE, len(data) + 1)[start]
-    return mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    if not len(start):
+        return np.empty(0, _U)
+    size = end - start
+    ends = np.cumsum(size)
+    begins = ends - size
+    place = np.arange(ends[-1]) - np.repeat(begins, size)
+    by = BYTES[data[np.repeat(start, size) + place]] * factors(int(size.max()))[place]
+    return mix(np.add.reduceat(by, begins) + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def sequence(h: np.ndarray) -> int:
+    """One number for a whole sequence of hashes, of any length."""
+    return int(mix(np.array([(h * factors(len(h))).sum(dtype=_U) + _U(len(h))], _U))[0]) if len(h) else 0
 
 
 def _split(data: np.ndarray) -> Iterator[tuple[int, int]]:

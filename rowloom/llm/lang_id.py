@@ -43,7 +43,7 @@ def byte_runs(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.n
     place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     for j in range(1, order + 1):
         back = np.full(len(data), _PAD, np.uint64)
-        back[j:] = data[: len(data) - j]
+        back[j:] = data[: max(0, len(data) - j)]
         back[place < j] = _PAD
         key |= back << np.uint64(8 * j)
     return key

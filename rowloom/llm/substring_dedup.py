@@ -33,13 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
+from ._lookup import BLOOM_BITS, bloom, inside
 from ._shared import scratch, small_batches, stored
 
 WINDOW = 35
 GRAM = 8
-#: Limit of the Bloom filter's bits; beyond, more windows are verified.
-BLOOM_BITS = 1 << 27
-_PROBES = 4
 _U = np.uint64
 RUN = "fp long, seq long, many boolean"
 #: Batches of the query, more than an index keeps apart.
@@ -71,7 +69,7 @@ def _sequences(w: _text.Words) -> np.ndarray:
     """A number for each row's word sequence."""
     out = np.empty(len(w.first) - 1, _U)
     for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-        out[i] = _text.rolling(w.hash[a:b], b - a)[0] if b > a else 0
+        out[i] = _text.sequence(w.hash[a:b])
     return out
 
 
@@ -165,31 +163,6 @@ class FingerprintIndex:
         return rows
 
 
-def _bloom(fps: DataFrame, limit: int) -> np.ndarray:
-    """A Bloom filter of at most ``limit`` bits, built by the executors as 64-bit words."""
-    fps = stored(fps, "shared-fingerprints")
-    bits = 1 << 16
-    n = fps.count()
-    while bits < min(limit, 16 * n):
-        bits *= 2
-    places = F.array(*[F.col("fp").bitwiseXOR(F.shiftrightunsigned("fp", 7 + 13 * i)).bitwiseAND(F.lit(bits - 1)) for i in range(_PROBES)])
-    at = fps.select(F.explode(places).alias("p"))
-    parts = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p & 63)))").alias("v"))
-    got = parts.toArrow()
-    words = np.zeros(bits // 64, _U)
-    words[got.column("w").to_numpy()] = got.column("v").to_numpy().view(_U)
-    return words
-
-
-def _inside(bloom: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    last = _U(len(bloom) * 64 - 1)
-    out = np.ones(len(fps), bool)
-    for i in range(_PROBES):
-        p = (fps ^ (fps >> _U(7 + 13 * i))) & last
-        out &= (bloom[(p >> _U(6)).astype(np.int64)] >> (p & _U(63))) & _U(1) == 1
-    return out
-
-
 _ROWS = "seq long, n_words long, kept_sha256 string, text string, own array<int>, starts array<int>, digests array<long>"
 
 
@@ -197,7 +170,7 @@ def _suspects(shared, window: int, gram: int):
     """Per text: its sequence number; its result, or its text and the windows to verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = shared.value
+        known = shared.value
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for w in _text.words(batch.column(1)):
@@ -205,7 +178,7 @@ def _suspects(shared, window: int, gram: int):
                 step = np.flatnonzero(np.diff(least, prepend=_U(0)))
                 hit = np.zeros(len(least), bool)
                 if len(step):
-                    ok = (least[step] != 0) & _inside(bloom, least[step])
+                    ok = (least[step] != 0) & inside(known, least[step])
                     hit[step[0] :] = np.repeat(ok, np.diff(np.append(step, len(least))))
                 hits = np.flatnonzero(hit)
                 cut = np.searchsorted(hits, w.first)
@@ -303,7 +276,7 @@ def remove_repeats(
     fps = index.shared()
     if run is not None:
         fps = fps.join(run.select("fp"), "fp", "left_semi")
-    shared = spark.sparkContext.broadcast(_bloom(fps, bloom_bits))
+    shared = spark.sparkContext.broadcast(bloom(stored(fps, "shared-fingerprints"), bloom_bits))
     kind = dict(docs.dtypes)["doc_id"]
     rows = stored(docs.mapInArrow(_suspects(shared, window, gram), f"doc_id {kind}, {_ROWS}"), "substring-rows")
     wide = rows.where(F.col("n_words") >= window)

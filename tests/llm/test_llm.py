@@ -68,6 +68,17 @@ def test_long_rows_are_hashed_in_pieces():
     assert whole[1].hash[0] == whole[0].hash[0]
 
 
+def test_patterned_words_have_hashes_of_their_own():
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    (w,) = _text.words(pa.array([f"{a} {b} {a}"]))
+    assert w.hash[0] == w.hash[2] != w.hash[1]
+    one, two = (np.array([3 if x == "a" else 5 for x in y], np.uint64) for y in (a, b))
+    assert _text.sequence(one) != _text.sequence(two) and _text.sequence(one[:0]) == 0
+
+
 def test_rolling_depends_on_the_words_alone():
     h = np.arange(100, dtype=np.uint64) * np.uint64(77) + np.uint64(5)
     for width in (1, 4, 8, 9, 35):
@@ -314,27 +325,91 @@ def test_language_model(spark, sf_dir, frequent):
     assert sum(got[i].score for i in texts if held(i)) > sum(got[i].base_score for i in texts if held(i))
 
 
+def test_scores_are_sums_over_restaurants(spark):
+    """Scores against a walk over all tables, and each context's chances against one."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice("abcdefg") * rnd.randrange(1, 3) for _ in range(rnd.randrange(12)))) for i in range(60)] + [(60, None), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frequent, cells in ((pitman_yor.FREQUENT, pitman_yor.MOST_CELLS), (4, 20)):
+        model = pitman_yor.fit(docs, frequent=frequent, most_cells=cells)
+        h, _, logp, logg = model.frequent
+        words = {x: (a, b) for x, a, b in zip(h.tolist(), logp.tolist(), logg.tolist(), strict=True)}
+        words |= {r.h % 2**64: (r.logp, r.logg) for r in model.words.collect()}
+        delta = dict(zip(*(x.tolist() for x in model.common), strict=True)) | {r.k % 2**64: r.delta for r in model.pairs.collect()}
+        got = {r.doc_id: r.score for r in pitman_yor.score(docs, model).collect()}
+        seen, used, contexts = Counter(), {}, set()
+        for i, text in rows:
+            (w,) = _text.words(pa.array([text], pa.string()), _text.LOWER)
+            h, k, _ = pitman_yor._tokens(w)
+            before = [0, *h.tolist()[:-1]]
+            want = sum(words[x][0] + words[u][1] + delta.get(key, 0) for u, x, key in zip(before, h.tolist(), k.tolist(), strict=True))
+            assert abs(got[i] - want) < 1e-9 * max(1, abs(want))
+            seen.update(k.tolist())
+            used |= {key: (u, x) for u, x, key in zip(before, h.tolist(), k.tolist(), strict=True)}
+            contexts |= set(before)
+        assert {k for k, n in seen.items() if n > 1} == set(delta)  # every pair seen twice, whatever the bounds
+        for u in contexts:
+            share = 10 ** words[u][1]
+            own = sum(share * 10 ** words[w][0] * (10 ** delta[k] - 1) for k, (a, w) in used.items() if a == u and k in delta)
+            assert abs(share + own - 1) < 1e-9
+        assert sum(10 ** p for p, _ in words.values()) < 1
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one, many = ({r.doc_id: r.score for r in pitman_yor.score(d, pitman_yor.fit(d)).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert all(abs(one[i] - many[i]) < 1e-9 * abs(one[i]) for i in one)
+
+
 def test_seating_is_within_bounds():
-    rng = np.random.default_rng(1)
     c = np.array([0, 1, 2, 1000, 10**9])
-    t = pitman_yor._seat(c, np.full(5, 0.5), 0.5, rng)
+    t = pitman_yor._seat(c, np.full(5, 0.5), 0.5, np.arange(5, dtype=np.uint64), 3)
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and t[4] < 10**6
 
 
+def test_draws_are_binomial():
+    key = np.arange(40_000, dtype=np.uint64)
+    for n, p in ((1, 0.3), (8, 0.02), (8, 0.9), (500, 0.4), (5, 0.0), (5, 1.0)):
+        x = pitman_yor._binomial(np.full(len(key), n), np.full(len(key), p), key, 7)
+        assert x.min() >= 0 and x.max() <= n and abs(x.mean() - n * p) < 0.03 * max(1, np.sqrt(n * p * (1 - p)))
+        assert abs(x.var() - n * p * (1 - p)) <= 0.05 * n * p * (1 - p)
+
+
+def test_few_customers_are_seated_as_one_by_one():
+    """Tables of dishes with few customers against seating one customer after the other."""
+    rnd, pull, d = random.Random(3), 0.8, 0.4
+    for c in (2, 3, 4):
+        t = pitman_yor._seat(np.full(30_000, c), np.full(30_000, pull), d, np.arange(30_000, dtype=np.uint64), 5)
+        plain_t = []
+        for _ in range(30_000):
+            tables = 1
+            for sat in range(1, c):
+                tables += rnd.random() < pull / (pull + sat - d * tables)
+            plain_t.append(tables)
+        assert abs(t.mean() - np.mean(plain_t)) < 0.05
+
+
 def test_spelling_is_a_distribution():
-    rng = np.random.default_rng(2)
     words = [b"ab", b"abc", b"b", b"aab"]
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words])
     spelled, offsets = pitman_yor._spelled(data, ends - [len(w) for w in words], ends)
     run, n = np.unique(lang_id.byte_runs(spelled, offsets, pitman_yor.ORDER), return_counts=True)
-    model = pitman_yor.Spelling(run)
-    model.sweep(n, rng)
-    model.sweep(n, rng)
-    tables = model.tables(2)
-    for context in (b"\n\n\n\n", b"\n\nab", b"zzzz"):
-        keys = np.array([int.from_bytes(context, "big") << 8 | b for b in range(256)], np.uint64)
-        assert np.allclose(np.exp2(-tables.lookup(keys)).sum(0), 1, atol=1e-4)
+    low, m = np.unique(run[2:] & np.uint64(2**32 - 1), return_counts=True)
+    for direct, customers in (({4: run}, {4: n}), ({4: run[:2], 3: low}, {4: n[:2], 3: m})):
+        model = pitman_yor.Spelling(direct)
+        model.sweep(customers, 1)
+        model.sweep(customers, 2)
+        tables = model.tables(2)
+        for context in (b"\n\n\n\n", b"\n\nab", b"zzzz"):
+            keys = np.array([int.from_bytes(context, "big") << 8 | b for b in range(256)], np.uint64)
+            assert np.allclose(np.exp2(-tables.lookup(keys)).sum(0), 1, atol=1e-4)
+
+
+def test_cells_beyond_the_bound_go_to_their_parents(spark):
+    rows = [(pitman_yor._BLANK + i * 256 + (i % 7) * 2**32, 1 + i % 5) for i in range(300)]
+    found = pitman_yor._directed(spark.createDataFrame(rows, "run long, n long"), 100)
+    assert max(map(len, (k for k, _ in found.values()))) <= 300 and sum(int(n.sum()) for _, n in found.values()) == sum(n for _, n in rows)
 
 
 def test_language_model_of_odd_rows(spark, odd):
@@ -638,20 +713,3 @@ def test_pipeline_stages_of_odd_rows(spark, odd, sf_dir):
             assert out.columns == odd.columns, name
     near = corpus_pipeline.near_copies(spark, odd, sf_dir)
     assert near.where("doc_id = 4 and text = 'one'").count() == 1 and near.where("doc_id in (5, 7)").count() == 0
-
-
-def test_context_model_is_a_distribution():
-    rng = np.random.default_rng(3)
-    c = np.zeros((pitman_yor.CONTEXTS, pitman_yor.DISHES), np.int64)
-    c[0, :5], c[1, 3] = [9, 1, 2, 1, 1], 100_000
-    p = 10.0 ** pitman_yor._context_model(c, rng).astype(float)
-    assert np.allclose(p.sum(1), 1, atol=1e-3)
-    assert p[1, 3] > 0.99 and p[0, 0] > p[0, 2] > p[0, 4000]
-
-
-def test_contexts_follow_the_words_before():
-    (w,) = _text.words(pa.array(["a b", None, "c"]))
-    context, dish = pitman_yor._dishes(w, np.array([0, 5000, -1]))
-    other, start, rest = pitman_yor.CONTEXTS - 2, pitman_yor.CONTEXTS - 1, pitman_yor.DISHES - 1
-    assert context.tolist() == [start, 0, start, other, start, other]
-    assert dish.tolist() == [1, rest, rest, 0, 0, 0]
