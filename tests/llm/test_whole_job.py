@@ -67,3 +67,43 @@ def test_white_space_alone_keeps_its_row(spark):
         got = bpe.digests(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
         assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
         assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == (0, none, none) for r in got if r.doc_id == 1)
+
+
+def test_every_template_is_found_in_usual_line_breaks(spark):
+    rows = []
+    for name, text in licenses.TEMPLATES.items():
+        lines = textwrap.wrap(text, 76, break_on_hyphens=False)
+        rows += [(name, text), (name, "\n".join(f" * {x}" for x in lines)), (name, "Copyright (c) 2020 Someone\n\n" + "\n".join(lines) + "\n\nint main()\n")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).where("license = doc_id and n_different = 0")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in rows)
+
+
+def test_versions_and_variants_are_told_apart():
+    for text, want in (
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
+        ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", {"CC-BY-3.0"}),
+        (licenses.TEMPLATES["LGPL-3.0-header"], {"LGPL-3.0-header"}), (licenses.TEMPLATES["GPL-2.0-header"], {"GPL-2.0-header"}),
+        ("Licensed under CC BY-NC-SA 4.0.", set()), ("Licensed under the Apache License, Version 1.1.", set()),
+    ):
+        assert {x[2] for x in licenses.notices(text)} == want, text
+
+
+def test_each_copy_of_a_notice_is_returned():
+    one = licenses.TEMPLATES["Apache-2.0"]
+    text = f"{one} {licenses.TEMPLATES['MIT']} {one}"
+    assert sorted((x[0], x[1], x[2]) for x in licenses.notices(text) if x[2] == "Apache-2.0") == [
+        (0, len(one), "Apache-2.0"), (len(text) - len(one), len(text), "Apache-2.0"),
+    ]
+
+
+def test_exact_notices_equal_brute_force(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    docs |= {-1 - i: f"é {t} \n{t[:-20]}" for i, t in enumerate(licenses.TEMPLATES.values())} | {-100: "word " * 50_000 + licenses.TEMPLATES["MIT"]}
+    want = set()
+    for i, text in docs.items():
+        have = f" {' '.join(licenses._words(text))} "
+        want |= {(i, k) for k, t in licenses.TEMPLATES.items() if f" {' '.join(licenses._words(t))} " in have}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in licenses.scan(rows).where("n_different = 0").collect()}
+    assert got == want and len(want) > len(licenses.TEMPLATES)
