@@ -1,6 +1,7 @@
 """Work that earlier forms of the operators left out."""
 
 import hashlib
+import random
 import textwrap
 
 import public_tokenizers
@@ -107,3 +108,30 @@ def test_exact_notices_equal_brute_force(spark, sf_dir):
     rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {(r.doc_id, r.license) for r in licenses.scan(rows).where("n_different = 0").collect()}
     assert got == want and len(want) > len(licenses.TEMPLATES)
+
+
+def test_items_with_one_word_changed_are_found(spark, sf_dir):
+    """Recall over all benchmark items of nine words or more, edited at three places in three ways, inside documents."""
+    rnd = random.Random(8)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = {r.item_id: r.text.split() for r in bench.collect()}
+    around = [f"filler{rnd.randrange(900)}" for _ in range(4000)]
+    docs, want = [], set()
+    for item, words in items.items():
+        for share in (0.25, 0.5, 0.75):
+            at = int(len(words) * share)
+            for edited in ([*words[:at], "other", *words[at + 1 :]], [*words[:at], "more", *words[at:]], [*words[:at], *words[at + 1 :]]):
+                start = rnd.randrange(3000)
+                docs.append((len(docs), " ".join([*around[start : start + 50], *edited, *around[start + 50 : start + 90]])))
+                want |= {(docs[-1][0], item)} if len(words) >= 9 else set()
+    docs += [(10**6 + i, " ".join(rnd.sample(around, 200))) for i in range(200)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(want & got) >= 0.9 * len(want) and all(d < 10**6 for d, _ in got)
+
+
+def test_items_of_a_word_or_two_do_not_mark_ordinary_texts(spark):
+    bench = spark.createDataFrame([(0, "Yes?"), (1, "so it is"), (2, "what is it then")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "yes we can and so it is"), (2, "Yes."), (3, "so it is"), (4, "and what is it then to us")], "doc_id long, text string")
+    for most in (10**6, 0):
+        got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, most=most).collect())
+        assert got == [(2, 0), (3, 1), (4, 2)]
