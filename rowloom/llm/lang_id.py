@@ -1,7 +1,8 @@
 """Language identification by prediction by partial matching over bytes.
 
-Texts are lower-cased (A-Z and Latin-1 letters), and words with a digit are
-blanked, since they are of no language; blanks after blanks cost nothing.
+Texts are lower-cased (A-Z and Latin-1 letters). ASCII words with a digit are
+blanked, since they are of no language, and in other words the digits, since
+scripts without spaces have long ones; blanks after blanks cost nothing.
 Each language has a context tree of orders 0 to ``ORDER`` over UTF-8 bytes,
 kept as counts of runs of ``ORDER + 1`` bytes; those of lower orders are
 their sums. A byte costs log2((n + q) / c) bits in the longest context that
@@ -13,7 +14,7 @@ so a text's code length is a sum over its bytes, looked up in tables.
 Training takes at most about ``PER_LANG`` rows of each language, chosen by a
 hash, whole texts. Rows without language or text teach nothing.
 
-Null texts and texts without a letter are ``und`` with score 0, as is all
+Very long texts are read in pieces. Null texts and texts without a letter are ``und`` with score 0, as is all
 text when nothing was learned. Ties go to the first language by name. Rows
 are judged one by one: repeated rows get equal results, an empty table gives
 an empty one, other columns are ignored.
@@ -55,12 +56,13 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         data = w.data
         if len(data):
             data[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 0x20
-            digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-            marked = np.flatnonzero(digits[w.end] > digits[w.start])
+            digit = (data >= 48) & (data <= 57)
+            digits, beyond = (np.concatenate([[0], np.cumsum(x)]) for x in (digit, data >= 0x80))
+            marked = np.flatnonzero((digits[w.end] > digits[w.start]) & (beyond[w.end] == beyond[w.start]))
             edge = np.zeros(len(data) + 1, np.int8)
             edge[w.start[marked]] += 1
             edge[w.end[marked]] -= 1
-            data[np.cumsum(edge[:-1]) > 0] = 32
+            data[(np.cumsum(edge[:-1]) > 0) | digit] = 32
         yield w.row, w.row + len(w.first) - 1, data, w.offsets
 
 

@@ -1,13 +1,17 @@
 """Work that earlier forms of the operators left out."""
 
 import hashlib
+import math
 import random
+import re
 import textwrap
+import zlib
+from collections import Counter
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, decontaminate, licenses, substring_dedup
+from rowloom.llm import bpe, decontaminate, lang_id, licenses, queries, substring_dedup
 
 
 def test_a_batch_loses_what_only_history_repeats(spark, monkeypatch):
@@ -135,3 +139,66 @@ def test_items_of_a_word_or_two_do_not_mark_ordinary_texts(spark):
     for most in (10**6, 0):
         got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, most=most).collect())
         assert got == [(2, 0), (3, 1), (4, 2)]
+
+
+def test_digits_do_not_blank_texts_without_spaces(spark):
+    rows = [(i, "これは日本語の文です。今日は天気がいいですね。", "ja") for i in range(5)] + [(i, "这是中文的句子。今天天气很好。", "zh") for i in range(5, 10)]
+    rows += [(i, "this is a sentence of english words", "en") for i in range(10, 15)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(1, "今日は3月です。天気がいいですね"), (2, "今天是3月。天气很好"), (3, "v2.0 B12")]
+    got = {r.doc_id: (r.lang_pred, r.bits_per_byte) for r in lang_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got[1][0] == "ja" and got[2][0] == "zh" and got[1][1] is not None
+    assert got[3][0] in ("en", "ja", "zh")
+
+
+def test_languages_equal_brute_force(spark, sf_dir):
+    """The query's model and predictions, walked byte by byte with dictionaries, on the shorter texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+
+    def clean(text):
+        words = [" " * len(w) if re.search("[0-9]", w) and w.isascii() else re.sub("[0-9]", " ", w) for w in re.split(r"([\x20\x09-\x0D]+)", text)]
+        low = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), "".join(words)).encode()
+        return low
+
+    def steps(data):
+        own = b"\n\n\n" + data
+        return [(own[:i][-3:], own[i]) for i in range(3, len(own)) if not (own[i] == 32 and i > 3 and own[i - 1] == 32)]
+
+    counts = {}
+    for r in docs:  # fewer texts of each language than the sample takes
+        if r.text is not None and r.lang is not None and not held(r.doc_id):
+            for context, b in steps(clean(r.text)):
+                for o in range(4):
+                    counts.setdefault((r.lang, context[3 - o :]), Counter())[b] += 1
+    sums = {k: (sum(c.values()), len(c)) for k, c in counts.items()}
+    langs = sorted({k[0] for k in counts})
+
+    def bits(lang, data):
+        total = 0.0
+        for context, b in steps(data):
+            for o in (3, 2, 1, 0):
+                seen = counts.get((lang, context[3 - o :]))
+                if not seen:
+                    continue
+                size, kinds = sums[lang, context[3 - o :]]
+                if b in seen:
+                    total += math.log2((size + kinds) / seen[b])
+                    break
+                total += math.log2((size + kinds) / kinds)
+            else:
+                total += 8
+        return total
+
+    got = {r.doc_id: r for r in queries.QUERIES["op8_language_id"](spark, sf_dir).collect()}
+    short = [r for r in docs if r.text is not None and len(r.text) < 3000][:60]
+    assert len(short) > 20
+    for r in short:
+        if not re.search(r"[^\W\d_]", r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        cost = {k: bits(k, clean(r.text)) for k in langs}
+        best = min(langs, key=lambda k: (cost[k], k))
+        assert got[r.doc_id].lang_pred == best or abs(cost[got[r.doc_id].lang_pred] - cost[best]) < 1e-3 * cost[best]
+        share = 1 / sum(2 ** max(cost[best] - c, -1000) for c in cost.values())
+        assert got[r.doc_id].lang_pred != best or abs(got[r.doc_id].score - share) < 1e-2
