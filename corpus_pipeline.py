@@ -3,7 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the
 last return the columns of ``docs``. Rows need ``doc_id``, ``text`` and
 ``lang``; other columns are carried along, whatever their names. Null and
-empty texts hold no letter and go in the first stage.
+empty texts hold no letter and go in the first stage; so do they, unchanged,
+through the others if these are called alone. Repeated rows and equal texts
+are near copies, of which one stays: that of the smallest doc_id, and of equal
+ones the first in the table. Ties of languages go to the first by name. Very
+long texts are read whole in every stage. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_id.fit(docs)
     row = _free(docs, "whole_row")
     found = lang_id.identify(docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), model, id_col=row)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= STRANGE))
+    strange = F.coalesce(F.col("bits_per_byte") > STRANGE, F.lit(False))  # nothing to judge by is not strange
+    kept = found.where((F.col("lang_pred") != "und") & ~strange)
     return kept.select(*[F.col("doc_id")[c].alias(c) for c in docs.columns])
 
 
