@@ -1,8 +1,9 @@
 """BPE encoding and decoding of whole texts, long unsplit text by tree concatenation.
 
-The tokenizer file is one of the tokenizers library: its pre-tokens never
-cross white space, so the words of a text are encoded apart and their tokens
-put together. Words of up to ``LONG`` bytes go through the library, each
+The tokenizer file is one of the tokenizers library. Its pre-tokens must never
+cross white space, which is checked on :data:`PROBES` when it is loaded, and a
+file that does otherwise is refused; so the words of a text are encoded apart
+and their tokens put together. Words of up to ``LONG`` bytes go through the library, each
 distinct word once per task while the memo has room.
 
 A text with a longer word is cut into units that are encoded as rows of their
@@ -39,9 +40,11 @@ from pyspark.sql import functions as F
 from . import _text
 from ._shared import small_batches, stored
 
-LONG = 1 << 14
-SEGMENT = 1 << 10
+LONG = 1 << 10
+SEGMENT = 1 << 8
 _MEMO = 300_000
+#: Texts whose words must encode alike together and apart.
+PROBES = ("a b", " a", "a ", "one  two\t\tthree\n\nfour\x0b5", "don't stop , . 's 12 34", "\u00e9t\u00e9 \u65e5\u672c \u3000x", "A <b> c")
 
 
 class Codec:
@@ -69,6 +72,10 @@ class Codec:
             "<" in t for t in special
         )
         self.plain = self.whole.decoder is None
+        for probe in PROBES:
+            apart = [i for w in probe.encode().split() for i in self.whole.encode(w.decode(), add_special_tokens=False).ids]
+            if self.whole.encode(probe, add_special_tokens=False).ids != apart:
+                raise ValueError(f"{path}: tokens cross white space ({probe!r}); this operator needs a file whose words are encoded apart")
         self.ids: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -158,11 +165,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _first_pass(path: str, long: int):
-    """Results of texts whose words are all short; the other texts themselves."""
+def _first_pass(path: str, long: int, whole: bool):
+    """Results of texts whose words are all short, ids if ``whole``, else digests; the other texts themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, own, n = codec(path), uuid.uuid4().hex, 0
+        names, types = _FIRST[whole]
         for batch in batches:
             raw, offsets = _text.buffers(batch.column(1))
             data = raw.tobytes()
@@ -176,22 +184,28 @@ def _first_pass(path: str, long: int):
                 for i, ws in enumerate(texts):
                     if i in over:
                         n += 1
-                        rows.append((f"{own}-{n}", data[offsets[at + i] : offsets[at + i + 1]].decode(), None, None, None))
+                        rows.append((f"{own}-{n}", data[offsets[at + i] : offsets[at + i + 1]].decode(), *[None] * (len(names) - 3)))
+                        continue
+                    ids = b"".join(map(c.ids.__getitem__, ws))
+                    if whole:
+                        rows.append((None, None, np.frombuffer(ids, "<u4").astype(np.int32)))
                     else:
-                        ids = b"".join(map(c.ids.__getitem__, ws))
                         rows.append((None, None, len(ids) // 4, sha256(ids).hexdigest(), sha256(c.decoded(ids)).hexdigest()))
                 at = to
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, t) for x, t in zip(cols, _FIRST_TYPES, strict=True))], names=_FIRST_NAMES
-            )
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(cols, types, strict=True))], names=names)
         c.ids, c.old = {}, {}  # the worker lives on for other tasks
 
     return run
 
 
-_FIRST_NAMES = ["doc_id", "uid", "text", "n_tokens", "ids_sha256", "decoded_sha256"]
-_FIRST_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+_FIRST = {
+    True: (["doc_id", "uid", "text", "ids"], [pa.string(), pa.string(), pa.list_(pa.int32())]),
+    False: (
+        ["doc_id", "uid", "text", "n_tokens", "ids_sha256", "decoded_sha256"],
+        [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()],
+    ),
+}
 _UNIT = "uid string, unit long, seg long, segs long, kind string, body string"
 
 
@@ -255,9 +269,11 @@ def _join_pair(path: str):
     return run
 
 
-def _whole_text(path: str):
+def _whole_text(path: str, whole: bool):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         ids = [int(i) for x in f.sort_values("unit").ids for i in x]
+        if whole:
+            return pd.DataFrame({"uid": [f.uid.iloc[0]], "ids": [ids]})
         shown = codec(path).decode(ids).encode() if ids else b""
         raw = np.array(ids, "<u4").tobytes()
         return pd.DataFrame(
@@ -267,34 +283,43 @@ def _whole_text(path: str):
     return run
 
 
-def digests(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, segment: int = SEGMENT
-) -> DataFrame:
-    """Per row: doc_id, n_tokens, and hashes of ids (little-endian 32 bits) and decoded text."""
-    spark = docs.sparkSession
-    small_batches(spark)
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+_IDS = "ids array<int>"
+
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, long: int, segment: int, whole: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    first = rows.mapInArrow(
-        _first_pass(path, long),
-        f"doc_id {kind}, uid string, text string, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
+    schema = _IDS if whole else _DIGESTS
+    first = rows.mapInArrow(_first_pass(path, long, whole), f"doc_id {dict(rows.dtypes)['doc_id']}, uid string, text string, {schema}")
     first = stored(first, "bpe")
-    out = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    out = [c.split()[0] for c in schema.split(", ")]
     short = first.where(F.col("uid").isNull()).select("doc_id", *out)
     rest = first.where(F.col("uid").isNotNull())
     parts = encode_long(rest.select("uid", "text"), path, long, segment)
     empty = sha256(b"").hexdigest()  # texts of Unicode white space alone have no units
-    blank = [F.lit(0).cast("long"), F.lit(empty), F.lit(empty)]
+    blank = [F.array().cast("array<int>")] if whole else [F.lit(0).cast("long"), F.lit(empty), F.lit(empty)]
     if parts is None:
         return short.unionByName(rest.select("doc_id", *[b.alias(c) for b, c in zip(blank, out, strict=True)]))
-    results = parts.groupBy("uid").applyInPandas(
-        _whole_text(path), "uid string, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    results = parts.groupBy("uid").applyInPandas(_whole_text(path, whole), f"uid string, {schema}")
     joined = rest.select("doc_id", "uid").join(results, "uid", "left")
     return short.unionByName(joined.select("doc_id", *[F.coalesce(c, b).alias(c) for b, c in zip(blank, out, strict=True)]))
 
 
+def digests(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, segment: int = SEGMENT
+) -> DataFrame:
+    """Per row: doc_id, n_tokens, and hashes of ids (little-endian 32 bits) and decoded text; ids are not moved."""
+    return _encoded(docs, path, id_col, text_col, long, segment, False)
+
+
+def encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, segment: int = SEGMENT
+) -> DataFrame:
+    """doc_id and ``ids`` (array of int) of every row; empty for null texts."""
+    return _encoded(docs, path, id_col, text_col, long, segment, True)
+
+
 def encode_long(rest: DataFrame, path: str, long: int = LONG, segment: int = SEGMENT) -> DataFrame | None:
     """Token ids of (uid, text) rows with long words, as rows (uid, unit, ids); None without rows."""
     units = stored(rest.mapInPandas(_units(path, long, segment), _UNIT), "bpe-units")
@@ -316,22 +341,6 @@ def encode_long(rest: DataFrame, path: str, long: int = LONG, segment: int = SEG
     return parts
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``ids`` (array of int) of every row; empty for null texts.
-
-    The library encodes each text as one; use :func:`digests` where words can be very long.
-    """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
-        for f in frames:
-            yield f[["doc_id"]].assign(ids=[e.ids for e in c.whole.encode_batch(list(f.text), add_special_tokens=False)])
-
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
-
-
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id and text of rows (doc_id, ids), special tokens included."""
 

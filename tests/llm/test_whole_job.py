@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from rowloom.llm import bpe, decontaminate, lang_id, licenses, queries, substring_dedup
@@ -202,3 +203,30 @@ def test_languages_equal_brute_force(spark, sf_dir):
         assert got[r.doc_id].lang_pred == best or abs(cost[got[r.doc_id].lang_pred] - cost[best]) < 1e-3 * cost[best]
         share = 1 / sum(2 ** max(cost[best] - c, -1000) for c in cost.values())
         assert got[r.doc_id].lang_pred != best or abs(got[r.doc_id].score - share) < 1e-2
+
+
+def test_long_unsplit_text_goes_through_tree_joins(spark, monkeypatch):
+    rnd = random.Random(4)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["".join(rnd.choice("abcdeinorst") for _ in range(n)) for n in (bpe.LONG + 1, 5_000, 40_000)]
+    texts += [f"a short start {texts[1]} and {texts[0]}, then an end", "日本" * 2_000, "plain words", None, "", "x" * bpe.LONG]
+    seen = []
+    before = bpe.encode_long
+    monkeypatch.setattr(bpe, "encode_long", lambda rest, *more: (seen.append(rest.count()), before(rest, *more))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r.doc_id: r.ids for r in bpe.encode(docs, path).collect()}
+    sums = {r.doc_id: r for r in bpe.digests(docs, path).collect()}
+    shown = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    assert seen == [5, 5, 5]
+    c = bpe.codec(path)
+    for i, t in enumerate(texts):
+        want = c.whole.encode(t or "", add_special_tokens=False).ids
+        assert ids[i] == want and sums[i].n_tokens == len(want)
+        assert sums[i].ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in want)).hexdigest()
+        assert shown[i] == c.whole.decode(want, skip_special_tokens=False)
+        assert sums[i].decoded_sha256 == hashlib.sha256(shown[i].encode()).hexdigest()
+
+
+def test_files_whose_tokens_cross_white_space_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
