@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,10 +92,51 @@ def math_text(text: Column) -> Column:
     return F.lower(F.regexp_replace(bare, r"(?U)\s+", ""))
 
 
-def same_answer(prediction: Column, gold: Column) -> Column:
-    """Equal, equal as mathematical text, or equal numbers."""
-    text = (math_text(prediction) != "") & (math_text(prediction) == math_text(gold))
-    return F.coalesce(prediction == gold, F.lit(False)) | text | numeric_match(prediction, gold)
+def is_plain_number(text: Column) -> Column:
+    """One decimal or integer, thousands separators aside."""
+    return F.regexp_replace(strip(F.coalesce(text, F.lit(""))), ",", "").rlike(r"^[-+]?(?:\d+(?:\.\d*)?|\.\d+)\z")
+
+
+# Marks of answers that are more than a number.
+_STRUCTURE = (
+    "\\frac", "\\sqrt", "\\cup", "\\cap", "\\infty", "\\text", "\\begin", "\\le", "\\ge", "\\neq", "\\pi", "∞", "∪", "∩", "≤", "≥", "!=",
+)
+
+
+def is_structured(text: Column, boxed: Column | None = None) -> Column:
+    """Intervals, equations, several parts and the like, whose last number says nothing.
+
+    ``boxed``: :func:`last_boxed` of the text where it may hold one.
+    """
+    body = strip(F.coalesce(text, F.lit("")))
+    marked = reduce(lambda a, b: a | b, [F.contains(body, F.lit(m)) for m in (*_STRUCTURE, "=")])
+    if boxed is not None:
+        marked = marked | (F.contains(body, F.lit("\\boxed{")) & ~is_plain_number(boxed))
+    parts = body.rlike(r"[,\[\](){}]") & (F.size(numbers(body)) > 1)
+    return (body != "") & ~is_plain_number(body) & (marked | parts)
+
+
+def structured_answer(text: Column, boxed: Column | None = None) -> Column:
+    """Boxed, else marked, else announced, else the whole text; never the last number."""
+    parts = [F.nullif(boxed, F.lit(""))] if boxed is not None else []
+    return F.coalesce(*parts, marked_answer(text), announced_answer(text), strip(F.coalesce(text, F.lit(""))))
+
+
+def same_answer(prediction: Column, gold: Column, boxed: tuple[Column, Column] | None = None) -> Column:
+    """Whether a prediction gives the gold answer.
+
+    Equal texts do, whatever their case. A structured gold answer must be met
+    as mathematical text; else final answers must be equal, or numbers match
+    where the gold one is a plain number. Null and empty answers meet nothing.
+    ``boxed``: :func:`last_boxed` of both, where they may hold one.
+    """
+    p, g = (strip(F.coalesce(x, F.lit(""))) for x in (prediction, gold))
+    in_p, in_g = boxed or (None, None)
+    one, two = math_text(structured_answer(p, in_p)), math_text(structured_answer(g, in_g))
+    final, due = final_answer(p, in_p), F.coalesce(F.nullif(final_answer(g, in_g), F.lit("")), g)
+    alike = (F.lower(final) == F.lower(due)) | (is_plain_number(due) & numeric_match(final, due))
+    unlike = F.when(is_structured(g, in_g), (one != "") & (one == two)).otherwise((final != "") & alike)
+    return (prediction != "") & (gold != "") & prediction.isNotNull() & gold.isNotNull() & ((F.lower(p) == F.lower(g)) | unlike)
 
 
 def without_marked_answer(text: Column, marker: str = "####") -> Column:

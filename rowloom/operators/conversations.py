@@ -14,6 +14,11 @@ from ..functions import text as T
 # Names of the two sides.
 USER = ("user", "human", "prompter", "question")
 ASSISTANT = ("assistant", "gpt", "bot", "model", "answer")
+# Names of the two sides in transcripts.
+SPOKEN = {
+    "user": ("user", "human", "prompt", "instruction"),
+    "assistant": ("assistant", "gpt", "bot", "model", "completion", "response"),
+}
 TURNS = "array<struct<role:string,content:string>>"
 
 
@@ -47,14 +52,17 @@ def array_pairs(turns: Column) -> tuple[Column, Column]:
 
 
 def transcript_turns(text: Column) -> Column:
-    """Turns of a text in which lines begin with a role and a colon."""
-    roles = "|".join((*USER, *ASSISTANT, "system"))
-    marked = F.regexp_replace(text, rf"(?im)^[ \t]*({roles})[ \t]*:[ \t]*", "\x1e$1\x1f")
+    """Turns of a text in which lines begin with a role and a colon, as user or assistant.
+
+    Lines of other roles belong to the turn before them; what precedes the first turn goes.
+    """
+    roles = "|".join(r for names in SPOKEN.values() for r in names)
+    marked = F.regexp_replace(text, rf"(?im)^\s*({roles})\s*:\s*", "\x1e$1\x1f")
     parts = F.filter(F.split(marked, "\x1e"), lambda p: F.contains(p, F.lit("\x1f")))
     return F.transform(
         parts,
         lambda p: F.struct(
-            F.lower(F.substring_index(p, "\x1f", 1)).alias("role"), T.strip(F.substring_index(p, "\x1f", -1)).alias("content")
+            F.when(F.lower(F.substring_index(p, "\x1f", 1)).isin(*SPOKEN["user"]), "user").otherwise("assistant").alias("role"), T.strip(F.substring_index(p, "\x1f", -1)).alias("content")
         ),
     )
 

@@ -56,21 +56,57 @@ def reward(rounds: DataFrame) -> DataFrame:
 
 
 def drop_is_small(before: Column, after: Column, n: Column, z: float = 1.64) -> Column:
-    """Whether a fall of a share is within ``z`` standard errors."""
-    pooled = (before + after) / 2
-    error = F.sqrt(2 * pooled * (1 - pooled) / n)
-    return (n > 0) & ((before - after) <= z * error)
+    """Whether a share fell by no more than ``z`` standard errors of the difference of both, each over ``n`` rows."""
+    inside = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    a, b = inside(before), inside(after)
+    error = F.sqrt((a * (1 - a) + b * (1 - b)) / F.nullif(n, F.lit(0)))
+    return F.coalesce((n > 1) & ((before - after <= 0) | ((error > 0) & (before - after <= z * error))), F.lit(False))
+
+
+# Falls of the new skill that are borne, and the signals that make a candidate promising.
+SMALL_SAMPLE, SMALL_SAMPLE_FALL, FALL = 50, 0.10, 0.02
+OLD_GAIN, COTEST_GAIN, COTEST_LEVEL, PROBE_LEVEL, PROBE_LEAD, LEAST_REWARD = 0.05, 0.10, 0.55, 0.30, 0.03, 0.24
+# By how much a trend must exceed the best of the rounds before.
+TREND = {"probe_acc": 0.03, "cotest_after": 0.10, "raw_reward": 0.03}
+
+
+def promising(rounds: DataFrame) -> DataFrame:
+    """``promising``: safe, with a new skill that does not fall much, and one more signal.
+
+    Needs what :func:`gates` and :func:`reward` give, and new_count.
+    """
+    gain = F.col("new_after") - F.col("new_before")
+    few = (F.col("new_count") > 0) & (F.col("new_count") <= SMALL_SAMPLE) & (gain >= -SMALL_SAMPLE_FALL)
+    stable = (gain >= -FALL) | few | drop_is_small(F.col("new_before"), F.col("new_after"), F.col("new_count"))
+    signal = (
+        (F.col("old_after") - F.col("old_before") >= OLD_GAIN) | (F.col("forgetting") < 0)
+        | (F.col("cotest_after") - F.col("cotest_before") >= COTEST_GAIN) | (F.col("cotest_after") >= COTEST_LEVEL)
+        | (F.col("probe_acc") >= PROBE_LEVEL) | F.coalesce(F.col("probe_acc") - F.col("champion_probe_acc") >= PROBE_LEAD, F.lit(False))
+        | (F.col("raw_reward") >= LEAST_REWARD)
+    )
+    return rounds.withColumn("promising", F.col("pass_frozen") & F.col("pass_old") & stable & signal)
+
+
+def positive_trend(rounds: DataFrame) -> DataFrame:
+    """``positive_trend``: promising, or well above the best of earlier rounds.
+
+    Needs :func:`promising` and best_probe_acc, best_cotest_after and
+    best_raw_reward of earlier rounds, null without any.
+    """
+    above = [F.coalesce(F.col(c) >= F.col(f"best_{c}") + d, F.lit(False)) for c, d in TREND.items()]
+    return rounds.withColumn("positive_trend", F.col("promising") | above[0] | above[1] | above[2])
 
 
 def inspection(rounds: DataFrame) -> DataFrame:
-    """promote, prune, keep_branch or rollback, in the order of budget, prune, promote, promise."""
-    safe = F.col("pass_frozen") & F.col("pass_old")
+    """``decision``, in the order of budget, prune, promote, promise and streak; needs :func:`positive_trend`."""
+    safe, streak = F.col("pass_frozen") & F.col("pass_old"), F.col("rollback_streak") >= 4
     return rounds.withColumn(
         "decision",
         F.when(F.col("round_id") >= MAX_ROUNDS, F.when(safe, "promote").otherwise("rollback"))
-        .when((F.col("rollback_streak") >= 4) & ~F.col("positive_trend"), "prune")
+        .when(streak & ~F.col("positive_trend"), "prune")
         .when(safe & F.col("pass_new"), "promote")
-        .when(safe & (F.col("total_gain") > 0), "keep_branch")
+        .when(F.col("promising"), "provisional_promote")
+        .when(streak, "keep_branch")
         .otherwise("rollback"),
     )
 

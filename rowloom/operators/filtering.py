@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -54,7 +53,9 @@ def _failing(rules: Rules, question: Column, answer: Column) -> Column:
 def judge(rows: DataFrame, rules: Rules, question: Column, answer: Column, order: str) -> DataFrame:
     """``rows`` with ``reason``: the first rule that fails, ``duplicate``, or null for kept rows.
 
-    Only rows that pass all other rules count as seen, in the order of ``order``.
+    Only rows that pass all other rules count as seen, in the order of
+    ``order``, which no two rows share. The first of each key is the least of
+    them, found by partial aggregation, so no task sees all rows of a key.
     """
     out = rows.withColumn("reason", _failing(rules, question, answer))
     if not rules.dedup:
@@ -64,8 +65,10 @@ def judge(rows: DataFrame, rules: Rules, question: Column, answer: Column, order
         "question_answer": F.md5(F.concat(question, F.lit("\n"), answer)),
         "row": T.row_hash(*[F.col(c) for c in sorted(rows.columns) if c != order]),
     }[rules.dedup]
-    place = F.row_number().over(Window.partitionBy("reason", key).orderBy(order))
-    return out.withColumn("reason", F.when(F.col("reason").isNull() & (place > 1), "duplicate").otherwise(F.col("reason")))
+    firsts = out.where(F.col("reason").isNull()).groupBy(key.alias("_key")).agg(F.min(order).alias("_first"))
+    seen = out.join(firsts.select("_first", F.lit(True).alias("_is_first")), out[order] == F.col("_first"), "left")
+    again = F.col("reason").isNull() & F.col("_is_first").isNull()
+    return seen.withColumn("reason", F.when(again, "duplicate").otherwise(F.col("reason"))).drop("_first", "_is_first")
 
 
 def kept(judged: DataFrame) -> DataFrame:

@@ -13,7 +13,10 @@ from ..functions import identity as I
 from ..functions import text as T
 
 # Column names that hold no text of a question or answer.
-METADATA_NAMES = ("id", "uid", "uuid", "name", "title", "slug", "filename", "file_name", "path", "source", "split", "subset", "url")
+METADATA_NAMES = (
+    "id", "uid", "uuid", "idx", "index", "conversation_id", "unique_id", "source", "src", "data_source", "dataset", "dataset_id", "domain",
+    "category", "system", "split", "subset", "tag", "label_name", "language", "lang", "metadata", "tok_len", "token_count", "length",
+)
 # Schemas that were guessed, whose rows are not used.
 FALLBACK_REASONS = ("fallback schema", "fallback flat schema", "fallback conversation schema")
 # Marks of transcripts, of generated openings, and of generated reference templates.

@@ -17,25 +17,42 @@ def normalized(weights: dict[str, float]) -> dict[str, float]:
 
 
 def bounded(weights: dict[str, float], low: float = 0.05, high: float = 0.80) -> dict[str, float]:
-    """The nearest distribution within bounds: clamped keys are fixed, the others share what is left."""
-    share = normalized({k: max(w, 1e-12) for k, w in weights.items()})
-    fixed: dict[str, float] = {}
-    while share:
-        left = 1 - sum(fixed.values())
-        total = sum(share.values())
-        scaled = {k: w / total * left for k, w in share.items()}
-        out = {k: low if w < low else high for k, w in scaled.items() if w < low or w > high}
-        if not out:
-            return fixed | scaled
-        worst = max(out, key=lambda k: abs(scaled[k] - out[k]))
-        fixed[worst] = out[worst]
-        share.pop(worst)
-    return normalized(fixed)
-
-
-def deficits(accuracy: dict[str, float]) -> dict[str, float]:
-    """Weights by what is lacking to full accuracy, within bounds."""
-    return bounded({k: max(0.0, 1 - a) for k, a in accuracy.items()})
+    """Every key gets ``low`` and a share of the rest by weight, none more than ``high``.
+
+    So each is ``min(high, low + x * weight)`` with one ``x`` for all: the
+    heaviest keys are at ``high``, as few as leave no other above it. Bounds
+    that no distribution meets are moved to the even one.
+    """
+    good = {k: max(0.0, float(w or 0)) for k, w in weights.items()}
+    n = len(good)
+    if not n:
+        return {}
+    low = min(low, 1 / n)
+    high = max(high, 1 / n, low)
+    order = sorted(good, key=good.get, reverse=True)
+    for full in range(n):
+        free = order[full:]
+        rest, mass = max(0.0, 1 - full * high - len(free) * low), sum(good[k] for k in free)
+        more = {k: rest * good[k] / mass if mass else rest / len(free) for k in free}
+        if low + max(more.values()) <= high + 1e-12:
+            return {k: low + more[k] if k in more else high for k in good}
+    return normalized(dict.fromkeys(good, high))
+
+
+#: Shares of the difficulties where no accuracy is known.
+USUAL = {"easy": 0.15, "medium": 0.70, "hard": 0.15}
+
+
+def deficits(accuracy: dict[str, float | None], usual: dict[str, float] | None = None) -> dict[str, float]:
+    """Weights by what is lacking to full accuracy, within bounds.
+
+    A bucket of ``usual`` without an accuracy keeps its usual weight beside
+    them; with no accuracy at all, or nothing lacking, all do.
+    """
+    usual = usual or USUAL
+    known = {k: min(1.0, max(0.0, float(a))) for k, a in (accuracy or {}).items() if k in usual and a is not None}
+    lacking = {k: 1 - known[k] if k in known else max(0.0, w) for k, w in usual.items()}
+    return bounded(lacking if known and any(lacking.values()) else usual)
 
 
 def largest_remainder(weights: DataFrame, total: int, key: str = "key", weight: str = "weight") -> DataFrame:

@@ -7,9 +7,9 @@ from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.identity import hash_order
+from .ranks import placed
 
 ROLES = ("train", "cotest", "test", "probe")
 
@@ -53,11 +53,10 @@ def existing_split(rows: DataFrame, label: str, row_id: str, test_ratio: float)
 
 def holdout_by_key(rows: DataFrame, key: str, row_id: str, test_ratio: float, seed: str = "holdout") -> DataFrame:
     """``split`` within each key: at least one row, and a tenth, are tests."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(hash_order(seed, F.col(row_id))))
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
     tests = F.greatest(F.lit(1), F.floor(F.col("_n") * max(test_ratio, 0.1)))
-    out = rows.join(sizes, key).withColumn("split", F.when(place <= tests, "test").otherwise("train"))
-    return out.drop("_n")
+    out = placed(rows.withColumn("_hash", hash_order(seed, F.col(row_id))), [key], "_hash").join(sizes, key)
+    return out.withColumn("split", F.when(F.col("_place") <= tests, "test").otherwise("train")).drop("_n", "_hash", "_place")
 
 
 def split_quotas(sizes: DataFrame, ratios: dict[str, float]) -> DataFrame:
@@ -101,8 +100,7 @@ def stratified_split(rows: DataFrame, keys: list[str], order: str, ratios: dict[
     """``split`` of every row: each group's first rows train, the next are cotest, and so on. Rows beyond all quotas go."""
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     quotas = split_quotas(sizes, ratios)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    out, role, upto = rows.join(quotas, keys).withColumn("_place", place), F.lit(None).cast("string"), F.lit(0)
+    out, role, upto = placed(rows, keys, order).join(quotas, keys), F.lit(None).cast("string"), F.lit(0)
     bounds = []
     for r in ROLES:
         upto = upto + F.col(f"n_{r}")

@@ -256,7 +256,7 @@ select 5 as easy_min, 2 as medium_min, case when border >= 0.25 and low < 0.7 th
     "cascade_difficulty": f"""with {_TRIES}, c as (select a.correct as x, b.correct as y from tr a left join tr b on b.question_id = a.question_id and b.rollout_idx = 1 where a.rollout_idx = 0)
 select case when x or y is null then 'answer_only' else 'thinking' end as rollout_stage,
   case when not (x or coalesce(y, false)) then 'hard' when x or y is null then 'easy' else 'medium' end as difficulty, count(*) as n from c group by 1, 2""",
-    "mastered": f"""with {_TRIES} select question_id, pass_count from sc where pass_count >= least(greatest(1, case when rollout_count = 8 then 6
+    "mastered": f"""with {_TRIES.replace("event_type in ('purchase', 'view')", "event_type <> 'error'")} select question_id, pass_count from sc where pass_count >= least(greatest(1, case when rollout_count = 8 then 6
   else floor(rollout_count * 0.75::double + 0.999999::double) end), greatest(1, rollout_count))""",
     "pass_at_k": f"with {_TRIES} select count(*) as n, avg((pass_count > 0)::int) as pass_at_k, round(avg(pass_rate), 6) as mean_rate from sc",
     "accuracy_by_role": "select event_type, count(*) as n, avg((event_type in ('purchase', 'view'))::int) as accuracy from events group by 1",
@@ -265,9 +265,57 @@ select case when x or y is null then 'answer_only' else 'thinking' end as rollou
     "candidate_reward": f"""with {_ROUNDS}, r as (select *, 0.45::double * probe_acc + 0.25::double * new_after + 0.15::double * cotest_after
   + 0.10::double * (new_after - new_before) + 0.05::double * (cotest_after - cotest_before) as raw from gc)
 select round_id, round(raw, 6) as raw_reward, round(raw + case when promote then 0.05::double else 0 end + case when stop then 0.15::double else 0 end, 6) as reward from r""",
-    "inspection_decisions": f"""with {_ROUNDS} select round_id, case when round_id % 12 >= 10 then case when pass_frozen and pass_old then 'promote' else 'rollback' end
-  when round_id % 6 >= 4 and not (total_gain > 0.3) then 'prune' when pass_frozen and pass_old and pass_new then 'promote'
-  when pass_frozen and pass_old and total_gain > 0 then 'keep_branch' else 'rollback' end as decision from gc""",
+    "inspection_decisions": f"""with {_ROUNDS}, r1 as (select * replace (round_id % 5 <> 0 as pass_frozen, round_id % 7 <> 0 as pass_old), old_count % 90 as k,
+  0.45::double * probe_acc + 0.25::double * new_after + 0.15::double * cotest_after + 0.10::double * (new_after - new_before) + 0.05::double * (cotest_after - cotest_before) as raw from gc),
+r2 as (select *, max(probe_acc) over p as bp, max(cotest_after) over p as bc, max(raw) over p as br from r1
+  window p as (partition by round_id // 12 order by round_id rows between 3 preceding and 1 preceding)),
+r3 as (select *, pass_frozen and pass_old
+  and (new_after - new_before >= -0.02::double or (k > 0 and k <= 50 and new_after - new_before >= -0.10::double)
+    or (k > 1 and (new_before - new_after <= 0 or new_before - new_after <= 1.64::double * sqrt((new_before * (1 - new_before) + new_after * (1 - new_after)) / k))))
+  and (old_after - old_before >= 0.05::double or forgetting < 0 or cotest_after - cotest_before >= 0.10::double or cotest_after >= 0.55::double
+    or probe_acc >= 0.30::double or coalesce(probe_acc - champion >= 0.03::double, false) or raw >= 0.24::double) as promising from r2),
+r4 as (select *, promising or coalesce(probe_acc >= bp + 0.03::double, false) or coalesce(cotest_after >= bc + 0.10::double, false)
+  or coalesce(raw >= br + 0.03::double, false) as positive_trend from r3)
+select round_id, promising, positive_trend, case when round_id % 12 >= 10 then case when pass_frozen and pass_old then 'promote' else 'rollback' end
+  when round_id % 6 >= 4 and not positive_trend then 'prune' when pass_frozen and pass_old and pass_new then 'promote'
+  when promising then 'provisional_promote' when round_id % 6 >= 4 then 'keep_branch' else 'rollback' end as decision from r4""",
+    "proportion_drops": f"""with {_ROUNDS} select round_id, coalesce(old_count > 1 and (new_after <= new_before
+  or new_after - new_before <= 1.64::double * sqrt((new_after * (1 - new_after) + new_before * (1 - new_before)) / old_count)), false) as small from ro""",
+    "difficulty_weights": f"""with {_TRIES}, a as (select difficulty, avg(correct::int) as acc from tr join di using (question_id) group by 1),
+u as (select * from (values ('easy', 0.15::double), ('medium', 0.70::double), ('hard', 0.15::double)) t(difficulty, usual)),
+l as (select difficulty, usual, case when acc is null then usual else 1 - acc end as lack from u left join a using (difficulty)),
+w as (select difficulty, case when (select count(*) from a) = 0 or sum(lack) over () = 0 then usual else lack end as w from l),
+x as (select *, max(w) over () as top, sum(w) over () as s, row_number() over (order by w desc) as p from w),
+y as (select *, 0.05::double + 0.85::double * top / s > 0.8::double as over from x)
+select difficulty, round(case when not over then 0.05::double + 0.85::double * w / s when p = 1 then 0.8::double
+  when s = top then 0.1::double else 0.05::double + 0.1::double * w / (s - top) end, 9) as weight from y""",
+    "bounded_shares": """with recursive w as (select lang, count(*)::double as w from documents group by 1), n as (select count(*) as n from w),
+o as (select lang, w, row_number() over (order by w desc) as p, sum(w) over (order by w desc rows between current row and unbounded following) as tail from w),
+f as (select min(p - 1) as k from o, n where 0.1::double + (1 - (p - 1) * 0.4::double - (n - p + 1) * 0.1::double) * w / tail <= 0.4::double + 1e-12)
+select lang, round(case when p <= k then 0.4::double else 0.1::double + (1 - k * 0.4::double - (n - k) * 0.1::double) * w / (select tail from o where p = k + 1) end, 9) as weight
+from o, n, f""",
+    "transcript_pairs": rf"""with t as (select conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) order by turn) as t from conversations group by 1),
+s as (select conv_id, regexp_extract_all(t, '(?im)^\s*(user|human|prompt|instruction|assistant|gpt|bot|model|completion|response)\s*:\s*', 1) as r,
+  regexp_split_to_array(t, '(?im)^\s*(?:user|human|prompt|instruction|assistant|gpt|bot|model|completion|response)\s*:\s*')[2:] as b from t),
+x as (select conv_id, unnest(r) as r, unnest(b) as b, unnest(range(1, len(r) + 1)) as i from s),
+y as (select conv_id, lower(r) in ('user', 'human', 'prompt', 'instruction') as u, {_strip('b')} as b, i from x),
+z as (select conv_id, arg_min(b, i) filter (u) as q, arg_max(b, i) filter (not u) as a from y where b <> '' group by 1)
+select conv_id, md5(coalesce(q, '')) as question_md5, md5(coalesce(a, '')) as answer_md5 from t left join z using (conv_id)""",
+    "judged_answers": """with e as (select event_id % 4 as kind, event_type, user_id::varchar as n from events),
+g as (select *, case kind when 0 then n when 1 then '(0, ' || n || ']' when 2 then 'x = ' || n else n || ' apples' end as gold from e),
+p as (select *, case event_type when 'purchase' then upper(gold) when 'view' then '[1, ' || n || ']' when 'click' then 'the answer is X = ' || n else 'so it must be ' || n end as said from g)
+select kind, event_type, kind = 0 as plain, kind in (1, 2) as structured,
+  case when event_type = 'purchase' then true when kind = 1 then false when kind = 2 then event_type = 'click'
+    else true end as same, count(*) as n from p group by 1, 2, 3, 4, 5""",
+    "goal_queries": rf"""with q as (select p_partkey, case when p_size % 2 = 0 then p_type end as f, p_name, p_size,
+  case when p_size < 10 then 'math reasoning' when p_size < 20 then 'code repair' when p_size < 30 then 'translation' else 'reasoning instruction' end as g from part),
+c as (select *, list_filter(regexp_split_to_array(regexp_replace(lower(f), '[^a-z0-9+.#\s-]', ' ', 'g'), '\s+'), lambda x: x <> '') as fw,
+  array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9+.#\s-]', ' ', 'g'), '\s+'), lambda x: x <> '')[1:4], ' ') as own from q)
+select p_partkey, case when p_partkey % 3 = 2 then own when len(list_filter(fw, lambda x: x not in ({_DIFF}))) > 0
+  then array_to_string(fw[1:4], ' ') else g end as query from c""",
+    "metadata_columns": """select c as "column", case when c = 'title' then (select count(*) from part) else 0 end as n
+from (values ('title'), ('category'), ('domain'), ('Language')) t(c)""",
+    "boxed_answer": r"""select doc_id, trim(regexp_extract(substring(text, 1, 8) || '}', '^([^}]*)\}', 1), ' ' || chr(9) || chr(10) || chr(13)) as boxed from documents""",
     "registry_merge": f"""with {_REG}, b as (select *, row_number() over (partition by ds, row_id, question_id, text_hash order by worse, seq desc) as p from rg)
 select status, count(*) as n, sum(seq)::bigint as seqs from b where p = 1 group by 1""",
     "registry_block_train": _blocked(TRAIN_BLOCKING),
@@ -292,9 +340,9 @@ select dataset, question_id from a anti join (select * from it where state <> 'u
 h as (select distinct event_type as dataset, user_id as question_id, true as cached from events where event_id % 3 > 0 and event_id % 5 <> 0)
 select dataset, coalesce(cached, false) as cached, count(*) as n from a left join h using (dataset, question_id) group by 1, 2""",
     "shard_refs": "select i as shard_id, i * 1000 as first, (i + 1) * 1000 as end, 1 - i / 12 * 0.01::double as score from range(0, 12) r(i)",
-    "window_offsets": """with s as (select distinct source as dataset, doc_id // 20 as w from documents where doc_id % 7 <> 3 or source = 'src2'),
+    "window_offsets": """with s as (select distinct source as dataset, doc_id // 20 as w from documents where lang <> 'fr' or source = 'src2'),
 p as (select dataset, w, row_number() over (partition by dataset order by w) - 1 as p from s),
-m as (select source as dataset, max(doc_id) + 1 as next_row from documents where doc_id % 7 <> 3 or source = 'src2' group by 1)
+m as (select source as dataset, max(doc_id) + 1 as next_row from documents where lang <> 'fr' or source = 'src2' group by 1)
 select dataset, any_value(next_row) as next_row, count(*) filter (w = p) * 20 as next_offset from p join m using (dataset) group by dataset""",
     "window_reuse_score": """with c as (select source as dataset, doc_id // 100 * 100 as off, lang, count(*) as n, case lang when 'en' then 3 when 'fr' then 2 when 'de' then 1 else 0 end as need from documents group by 1, 2, 3)
 select dataset, off as "offset", sum(least(n, need) * need)::bigint as score, sum(n)::bigint as total from c group by 1, 2""",
@@ -341,7 +389,7 @@ group by grouping sets ((), (split), (split, lang), (split, module))""",
   count(*) filter (lang = 'en') / count(*) >= 0.8 as hard_dominated, count(*) filter (split = 'train') < 64 as train_short from sp""",
     "question_bank": "select case when doc_id >= 700 then 'probe_holdout' else 'train_pool' end as role, count(*) as n from documents where trim(text) <> '' group by 1",
     "eval_prompts": "select c_custkey, case when c_custkey % 2 = 0 then c_mktsegment else c_name end as prompt, case when c_custkey % 3 = 0 then 'x' else '' end as gold from customer",
-    "content_queries": rf"""with w as (select doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9+.#\s-]', ' ', 'g'), '\s+'),
+    "content_queries": rf"""with w as (select doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9+.#\s-]', ' ', 'g'), '\s+'),
   lambda x: x <> '' and x not in ({_GENERIC})) as w from documents)
 select doc_id, case when len(list_filter(w, lambda x: x not in ({_DIFF}))) = 0 then '' else array_to_string(w[1:4], ' ') end as query from w""",
     "question_ids": r"select page_id, translate(url, '/\', '__') || '_' || page_id as question_id from pages",
@@ -369,7 +417,7 @@ select round_id, rollback_streak, case when l then 0.06::double else 0.03::doubl
     "worst_questions": """with w as (select event_type from events group by 1 order by avg(value), event_type limit 1)
 select event_type as difficulty, event_id as seq from events where event_type not in ('purchase', 'view') order by event_type <> (select event_type from w), event_id limit 20""",
     "hardest_probe": f"with {_TRIES} select question_id, pass_rate from sc order by pass_rate, question_id limit 200",
-    "review_pauses": """with f as (select user_id as dataset, event_id::double as x from events where event_type = 'error' or event_id % 50 = 0)
+    "review_pauses": """with f as (select user_id as dataset, event_id::double as x from events where event_type = 'error')
 select dataset, count(*) as n, max(x) as "last", case when count(*) >= 2 then max(x) + 600 end as "until" from f group by 1""",
     "keyed_exclusion": f"select doc_id as seq from documents where sha256({_BODY}) not in (select sha256({_BODY}) from documents where source = 'src1')",
     "classified_questions": f"""with m as (select case when doc_id % 4 = 0 then 'geometry_measurement' end as g, {_module('text')} as k from documents)

@@ -15,7 +15,7 @@ from ..functions import answers as A
 from ..functions import identity as I
 from ..functions import text as T
 from ..operators import (
-    bundles, cleaning, conversations, decisions, dedup, evaluation, filtering, lifecycle, overlap, profile, quotas, rollouts, sampling, search_graph, splits,
+    bundles, cleaning, conversations, decisions, dedup, evaluation, filtering, lifecycle, normalize, overlap, profile, quotas, rollouts, sampling, search_graph, splits,
     train_log,
 )
 from ..sources import files
@@ -332,7 +332,8 @@ def cascade_difficulty(spark, sf):
 
 @_query
 def mastered(spark, sf):
-    return rollouts.mastered(_scored(spark, sf)).select("question_id", "pass_count")
+    tries = _attempts(spark, sf).withColumn("correct", F.col("event_type") != "error")
+    return rollouts.mastered(rollouts.scores(tries)).select("question_id", "pass_count")
 
 
 @_query
@@ -379,13 +380,86 @@ def candidate_reward(spark, sf):
     return out.select("round_id", F.round("raw_reward", 6).alias("raw_reward"), F.round("reward", 6).alias("reward"))
 
 
+def _inspected(spark, sf):
+    """Rounds with their gates, rewards, promise and trend; few rows, so a window over all does no harm."""
+    from pyspark.sql.window import Window
+
+    past = Window.partitionBy(F.floor(F.col("round_id") / 12)).orderBy("round_id").rowsBetween(-3, -1)
+    rows = evaluation.reward(evaluation.gates(_rounds(spark, sf)))
+    rows = rows.withColumns({f"best_{c}": F.max(c).over(past) for c in evaluation.TREND} | {"new_count": F.col("old_count") % 90})
+    rows = rows.withColumns({"round": F.col("round_id"), "rollback_streak": F.col("round_id") % 6})
+    rows = rows.withColumns({"pass_frozen": F.col("round") % 5 != 0, "pass_old": F.col("round") % 7 != 0})
+    return evaluation.inspection(evaluation.positive_trend(evaluation.promising(rows)).withColumn("round_id", F.col("round") % 12))
+
+
 @_query
 def inspection_decisions(spark, sf):
-    rows = evaluation.gates(_rounds(spark, sf)).withColumns(
-        {"round": F.col("round_id"), "rollback_streak": F.col("round_id") % 6, "positive_trend": F.col("total_gain") > 0.3}
+    return _inspected(spark, sf).select(F.col("round").alias("round_id"), "promising", "positive_trend", "decision")
+
+
+@_query
+def proportion_drops(spark, sf):
+    rows = _rounds(spark, sf)
+    return rows.select("round_id", evaluation.drop_is_small(F.col("new_after"), F.col("new_before"), F.col("old_count")).alias("small"))
+
+
+@_query
+def difficulty_weights(spark, sf):
+    """Weights of three difficulties from their accuracy; three numbers on the driver."""
+    known = {r.difficulty: r.accuracy for r in accuracy_by_difficulty(spark, sf).collect()}
+    got = quotas.deficits(known)
+    return spark.createDataFrame([(k, round(w, 9)) for k, w in got.items()], "difficulty string, weight double")
+
+
+@_query
+def bounded_shares(spark, sf):
+    """Shares of the languages within bounds; a few numbers on the driver."""
+    sizes = {r[0]: float(r[1]) for r in _table(spark, sf, "documents").groupBy("lang").count().collect()}
+    return spark.createDataFrame([(k, round(w, 9)) for k, w in quotas.bounded(sizes, 0.1, 0.4).items()], "lang string, weight double")
+
+
+@_query
+def transcript_pairs(spark, sf):
+    """Conversations written as transcripts and read again."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    lines = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(": "), F.coalesce(t["text"], F.lit("")))), "\n")
+    texts = _table(spark, sf, "conversations").groupBy("conv_id").agg(lines.alias("t"))
+    said = conversations.transcript_turns(F.col("t"))
+    q, a = conversations.array_pairs(said)
+    return texts.select("conv_id", F.md5(F.coalesce(q, F.lit(""))).alias("question_md5"), F.md5(F.coalesce(a, F.lit(""))).alias("answer_md5"))
+
+
+@_query
+def judged_answers(spark, sf):
+    """Answers of several forms: a predicted one from props, a gold one that is a number, an interval or an equation."""
+    kind, n = F.col("event_id") % 4, F.col("user_id").cast("string")
+    gold = F.when(kind == 0, n).when(kind == 1, F.concat(F.lit("(0, "), n, F.lit("]"))).when(kind == 2, F.concat(F.lit("x = "), n)).otherwise(F.concat(n, F.lit(" apples")))
+    other = F.when(F.col("event_type") == "view", F.concat(F.lit("[1, "), n, F.lit("]"))).when(F.col("event_type") == "click", F.concat(F.lit("the answer is X = "), n)).otherwise(
+        F.concat(F.lit("so it must be "), n)
     )
-    out = evaluation.inspection(rows.withColumn("round_id", F.col("round") % 12))
-    return out.select(F.col("round").alias("round_id"), "decision")
+    said = F.when(F.col("event_type") == "purchase", F.upper(gold)).otherwise(other)
+    rows = _table(spark, sf, "events").select(kind.alias("kind"), "event_type", A.is_plain_number(gold).alias("plain"), A.is_structured(gold).alias("structured"), A.same_answer(said, gold).alias("same"))
+    return rows.groupBy("kind", "event_type", "plain", "structured", "same").agg(F.count("*").alias("n"))
+
+
+@_query
+def goal_queries(spark, sf):
+    """Queries that fall back on another column, then on the domain of a goal."""
+    said = F.when(F.col("p_partkey") % 3 == 0, "HuggingFace dataset search").when(F.col("p_partkey") % 3 == 1, "medium difficulty").otherwise(F.col("p_name"))
+    fallback = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.lit("hard dataset"))
+    goal = F.when(F.col("p_size") < 10, "better at ALGEBRA").when(F.col("p_size") < 20, "fix a bug").when(F.col("p_size") < 30, "translate logic").otherwise("poems")
+    return _table(spark, sf, "part").select("p_partkey", T.content_query(said, goal, fallback).alias("query"))
+
+
+@_query
+def metadata_columns(spark, sf):
+    """Rows of question tables by the name of their question column; metadata names give none."""
+    parts = []
+    for name in ("title", "category", "domain", "Language"):
+        rows = _table(spark, sf, "part").select("p_partkey", F.concat(F.lit("What is the price of "), "p_name", F.lit("?")).alias(name), F.col("p_brand").alias("answer"))
+        out = normalize.canonical(rows, normalize.Fields(question=name, answer="answer"), "parts", "p_partkey")
+        parts.append(out.agg(F.lit(name).alias("column"), F.count("*").alias("n")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def _registry(spark, sf):
@@ -508,7 +582,7 @@ def shard_refs(spark, sf):
 
 @_query
 def window_offsets(spark, sf):
-    items = _table(spark, sf, "documents").where("doc_id % 7 <> 3 or source = 'src2'").select(F.col("source").alias("dataset"), F.col("doc_id").alias("idx"))
+    items = _table(spark, sf, "documents").where("lang <> 'fr' or source = 'src2'").select(F.col("source").alias("dataset"), F.col("doc_id").alias("idx"))
     return lifecycle.next_offsets(items, 20)
 
 
@@ -636,7 +710,7 @@ def eval_prompts(spark, sf):
 
 @_query
 def content_queries(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", T.content_words(F.substring("text", 1, 80))).alias("query"))
+    return _table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", T.content_words(F.col("text"))).alias("query"))
 
 
 @_query
@@ -729,7 +803,7 @@ def hardest_probe(spark, sf):
 
 @_query
 def review_pauses(spark, sf):
-    failed = _table(spark, sf, "events").where("event_type = 'error' or event_id % 50 = 0").select(F.col("user_id").alias("dataset"), F.col("event_id").cast("double").alias("at"))
+    failed = _table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("dataset"), F.col("event_id").cast("double").alias("at"))
     return lifecycle.blocked_until(failed, 600.0, 2)
 
 

@@ -68,7 +68,7 @@ def test_target_style(one):
 
 
 def test_content_words(one):
-    assert one(T.content_words(F.col("q")), q="HuggingFace math dataset search for algebra, geometry proofs now") == ["huggingface", "math", "algebra", "geometry"]
+    assert one(T.content_words(F.col("q")), q="HuggingFace math dataset search for algebra, geometry proofs now") == ["math", "algebra", "geometry", "proofs"]
     assert one(T.content_words(F.col("q")), q="easy difficulty") == []
 
 

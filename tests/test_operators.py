@@ -373,3 +373,63 @@ def test_large_benchmarks_are_joined_alike(spark):
     b = overlap.gram_overlap(docs, bench, "doc_id", "item_id", most=0)
     cols = ("doc_id", "n_grams", "n_shared", "share")
     assert rows(a, *cols) == rows(b, *cols) and a.where("share > 0").count() > 0
+
+
+def test_bounded_weights_give_every_key_the_least_share():
+    assert quotas.bounded({"a": 0.5, "b": 0.3, "c": 0.2}) == pytest.approx({"a": 0.475, "b": 0.305, "c": 0.22})
+    assert quotas.bounded({"a": 1.0, "b": 0.0, "c": 0.0}) == pytest.approx({"a": 0.8, "b": 0.1, "c": 0.1})
+    assert quotas.bounded({}) == {} and quotas.bounded({"a": 0}) == pytest.approx({"a": 1.0})
+    assert quotas.deficits({}) == quotas.bounded(quotas.USUAL) == quotas.deficits({"easy": 1.0, "medium": 1.0, "hard": 1.0})
+    assert quotas.deficits({"easy": 0.9, "hard": 0.2}) == pytest.approx(quotas.bounded({"easy": 0.1, "medium": 0.7, "hard": 0.8}))
+
+
+def test_places_within_groups_need_no_task_for_a_group(spark):
+    from rowloom.operators import ranks
+
+    rows = [(i, f"{i * 7919 % 1000:04d}", None if i % 5 == 4 else i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, s string, k long")
+    for order, at in (("i", 0), ("s", 1)):
+        got = {r.i: r._place for r in ranks.placed(df, ["k"], order, ranges=7).collect()}
+        for key in (0, 1, 2, None):
+            own = sorted((r for r in rows if r[2] == key), key=lambda r: r[at])
+            assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
+    assert ranks.placed(df.limit(0), ["k"], "i").count() == 0
+
+
+def test_roles_of_transcripts(spark):
+    df = spark.createDataFrame([("intro\nPrompt: what?\nQuestion: a part of it\nResponse: this\nsystem: too\nGPT: end",)], "t string")
+    turns = df.select(conversations.transcript_turns(F.col("t")).alias("x")).first()[0]
+    assert [(t.role, t.content) for t in turns] == [
+        ("user", "what?\nQuestion: a part of it"), ("assistant", "this\nsystem: too"), ("assistant", "end"),
+    ]
+
+
+def test_structured_answers_are_not_judged_by_their_last_number(spark):
+    from rowloom.functions import answers as A
+
+    rows = [
+        ("(0, 5)", "[2, 5]", False), ("so (0, 5)", "(0,5)", False), ("the answer is (0, 5).", "(0,5)", True), ("x=3", "X = 3.", True), ("1,234", "1234", False),
+        ("it is 7", "7", True), ("it is 8", "7", False), (None, "7", False), ("7", None, False), ("", "", False), ("#### A", "a", True),
+    ]
+    df = spark.createDataFrame(rows, "p string, g string, want boolean")
+    assert [r.got for r in df.select(A.same_answer(F.col("p"), F.col("g")).alias("got")).collect()] == [r[2] for r in rows]
+    boxed = spark.createDataFrame([("so \\boxed{\\frac{1}{2}}", "\\boxed{\\frac{1}{2}}"), ("so \\boxed{3}", "\\boxed{4}")], "p string, g string")
+    pairs = (A.last_boxed(F.col("p")), A.last_boxed(F.col("g")))
+    assert [r[0] for r in boxed.select(A.same_answer(F.col("p"), F.col("g"), pairs)).collect()] == [True, False]
+    kinds = spark.createDataFrame([("12",), ("-1,000.5",), ("\\frac{1}{2}",), ("a = b",), ("(1, 2)",), ("12 apples",), ("",)], "t string")
+    got = kinds.select(A.is_plain_number(F.col("t")).alias("a"), A.is_structured(F.col("t")).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(True, False), (True, False), (False, True), (False, True), (False, True), (False, False), (False, False)]
+
+
+def test_falls_within_standard_errors(spark):
+    rows = [(0.5, 0.5, 0, False), (0.5, 0.6, 10, True), (0.5, 0.4, 30, True), (0.5, 0.4, 3000, False), (1.0, 1.0, 5, True), (0.5, 0.4, 1, False)]
+    df = spark.createDataFrame(rows, "a double, b double, n long, want boolean")
+    got = df.select(evaluation.drop_is_small(F.col("a"), F.col("b"), F.col("n")).alias("x")).collect()
+    assert [r.x for r in got] == [r[3] for r in rows]
+
+
+def test_repeated_questions_keep_the_least(spark):
+    rows = [(i, "same question" if i != 3 else "other", "answer") for i in (5, 2, 3, 9)]
+    df = spark.createDataFrame(rows, "seq long, q string, a string")
+    out = filtering.judge(df, filtering.Rules(dedup="question"), F.col("q"), F.col("a"), "seq")
+    assert {r.seq: r.reason for r in out.collect()} == {2: None, 3: None, 5: "duplicate", 9: "duplicate"}
