@@ -47,15 +47,21 @@ def _at_exit(spark: SparkSession, base: str) -> None:
         _delete(spark, _runs.pop(base))
 
 
-def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
+def stored(df: DataFrame, name: str, batch: int | None = None, folder: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
     Later stages read files that survive the loss of an executor, and nothing
     above is computed twice. The shuffle files of this one query go when it
-    is written. ``batch``: rows of an Arrow batch in it.
+    is written. ``batch``: rows of an Arrow batch in it; ``folder``: another
+    shared folder, whose tables stay.
     """
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or scratch(spark)}/{name}-{uuid.uuid4().hex}"
     wanted = {_CLEANUP: "true", **({_BATCH: str(batch)} if batch else {})}
     before = {k: spark.conf.get(k) for k in wanted}
     for k, v in wanted.items():

@@ -19,11 +19,12 @@ Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have none;
 texts with fewer words than a window lose nothing. Repeated rows, also of two
 batches, are copies of each other and lose all windows; so do rows that share an identifier only
 if their texts match. Null identifiers are allowed, an empty table gives an
-empty one, other columns are ignored.
+empty one, other columns are ignored. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
@@ -34,12 +35,13 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._lookup import BLOOM_BITS, bloom, inside
-from ._shared import scratch, small_batches, stored
+from ._shared import dropped, exists, scratch, small_batches, stored
 
 WINDOW = 35
 GRAM = 8
 _U = np.uint64
 RUN = "fp long, seq long, many boolean"
+_MANIFEST = "version long, window int, gram int, runs array<string>, crossed array<string>, texts array<string>"
 #: Batches of the query, more than an index keeps apart.
 BATCHES = 5
 
@@ -102,14 +104,42 @@ def _fingerprints(window: int, gram: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in the shared folder; ``fanout`` of them are compacted."""
+    """Sorted immutable runs in a shared folder; ``fanout`` of them are compacted.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = 4):
+    ``path``: where the index lives on and is opened again, by other programs
+    too, one writer at a time; without it, it goes with the run's other
+    tables. Each change writes its tables first and then one row of the
+    manifest, which names the tables that count; what a failed job left
+    behind is not in it.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = 4, path: str | None = None):
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
+        self.path = (path or f"{scratch(spark)}/fingerprint-index-{uuid.uuid4().hex}").rstrip("/")
+        self.version = 0
         self.runs: list[DataFrame] = []
         self.crossed: list[DataFrame] = []
         self.texts: list[DataFrame] = []
-        scratch(spark)
+        if exists(spark, f"{self.path}/manifest"):
+            last = spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest").orderBy(F.desc("version")).first()
+            if (last.window, last.gram) != (window, gram):
+                raise ValueError(f"{self.path} has windows of {last.window} words and grams of {last.gram}")
+            self.version = last.version
+            self.runs, self.crossed, self.texts = (
+                [self._open(name, schema) for name in names] for names, schema in ((last.runs, RUN), (last.crossed, "fp long"), (last.texts, "text string"))
+            )
+
+    def _open(self, name: str, schema: str) -> DataFrame:
+        table = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        table._rowloom_path = f"{self.path}/{name}"
+        return table
+
+    def _commit(self) -> None:
+        """Write what counts now."""
+        self.version += 1
+        names = [[t._rowloom_path.rsplit("/", 1)[1] for t in tables] for tables in (self.runs, self.crossed, self.texts)]
+        row = self.spark.createDataFrame([(self.version, self.window, self.gram, *names)], _MANIFEST)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def append(self, docs: DataFrame, text_col: str = "text", keep: bool = True) -> DataFrame:
         """Add a batch's run, join it with the older ones, and compact when there are ``fanout`` of these. Returns the run.
@@ -121,14 +151,15 @@ class FingerprintIndex:
             self.compact()
         texts = docs.select(F.col(text_col).alias("text"))
         if keep:
-            texts = stored(texts, "fingerprint-texts")
+            texts = stored(texts, "texts", folder=self.path)
             self.texts.append(texts)
         run = self._sorted(self._merged(texts.mapInArrow(_fingerprints(self.window, self.gram), RUN)))
         if self.runs:
             old = self._rows().select(F.col("fp").alias("old_fp"), F.col("seq").alias("old_seq"))
             crossed = run.join(old, (F.col("fp") == F.col("old_fp")) & (F.col("seq") != F.col("old_seq")), "left_semi")
-            self.crossed.append(stored(crossed.select("fp"), "fingerprints-crossed"))
+            self.crossed.append(stored(crossed.select("fp"), "crossed", folder=self.path))
         self.runs.append(run)
+        self._commit()
         return run
 
     @staticmethod
@@ -136,9 +167,8 @@ class FingerprintIndex:
         found = rows.groupBy("fp").agg(F.min("seq").alias("seq"), F.max("seq").alias("last"), F.max("many").alias("many"))
         return found.select("fp", "seq", (F.col("many") | (F.col("seq") != F.col("last"))).alias("many"))
 
-    @staticmethod
-    def _sorted(run: DataFrame) -> DataFrame:
-        return stored(run.sortWithinPartitions("fp"), "fingerprint-run")
+    def _sorted(self, run: DataFrame) -> DataFrame:
+        return stored(run.sortWithinPartitions("fp"), "run", folder=self.path)
 
     def _rows(self) -> DataFrame:
         rows = self.runs[0]
@@ -149,7 +179,9 @@ class FingerprintIndex:
     def compact(self) -> None:
         """One run instead of all."""
         if len(self.runs) > 1:
-            self.runs = [self._sorted(self._merged(self._rows()))]
+            old, self.runs = self.runs, [self._sorted(self._merged(self._rows()))]
+            self._commit()
+            dropped(*old)
 
     def matches(self, run: DataFrame) -> DataFrame:
         """Fingerprints of ``run`` that the index holds, by merge join."""

@@ -230,3 +230,24 @@ def test_long_unsplit_text_goes_through_tree_joins(spark, monkeypatch):
 def test_files_whose_tokens_cross_white_space_are_refused():
     with pytest.raises(ValueError):
         bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_an_index_is_opened_again(spark, tmp_path):
+    """Three batches by three openings against one pass over all."""
+    rnd = random.Random(12)
+    passages = [" ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(6, 16))) for _ in range(6)]
+    rows = [(i, " ".join(rnd.choice(passages) if rnd.random() < 0.4 else f"u{rnd.randrange(300)}" for _ in range(12))) for i in range(45)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "index")
+    whole = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, window=6, gram=3).collect()}
+    for k in range(3):
+        index = substring_dedup.FingerprintIndex(spark, 6, 3, fanout=2, path=path)
+        assert (index.version > 0) == (k > 0)
+        run = index.append(docs.where(F.col("doc_id") % 3 == k))
+    again = substring_dedup.FingerprintIndex(spark, 6, 3, fanout=2, path=path)
+    assert again.version == index.version and len(again.runs) == 2 and len(again.texts) == 3
+    last = docs.where("doc_id % 3 = 2")
+    for r in (None, run):
+        got = {x.doc_id: (x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(last, again, window=6, gram=3, run=r).collect()}
+        assert got == {i: v for i, v in whole.items() if i % 3 == 2}
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, 7, 3, path=path)
