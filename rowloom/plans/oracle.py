@@ -319,7 +319,7 @@ from (values ('title'), ('category'), ('domain'), ('Language')) t(c)""",
     "registry_merge": f"""with {_REG}, b as (select *, row_number() over (partition by ds, row_id, question_id, text_hash order by worse, seq desc) as p from rg)
 select status, count(*) as n, sum(seq)::bigint as seqs from b where p = 1 group by 1""",
     "registry_block_train": _blocked(TRAIN_BLOCKING),
-    "registry_block_test": _blocked(TEST_BLOCKING),
+    "registry_block_test": _blocked(TEST_BLOCKING).replace("as worse from orders)", "as worse from orders where o_orderstatus = 'P')"),
     "overlap_exclusion": f"select doc_id as seq from documents where sha256({_BODY}) not in (select sha256({_BODY}) from documents where source = 'src0')",
     "replay_newest": f"""with {_REPLAY} select seq, question_id from (select *, row_number() over (partition by question_id order by seq desc) as p from rp)
 where p = 1 order by seq desc limit 1000""",

@@ -462,10 +462,10 @@ def metadata_columns(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def _registry(spark, sf):
-    """Every order is an event of its customer's question."""
+def _registry(spark, sf, of="o_orderstatus is not null"):
+    """Every order that ``of`` holds for is an event of its customer's question."""
     status = F.element_at(F.array(*[F.lit(s) for s in dedup.STATUS_RANK]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return _table(spark, sf, "orders").select(
+    return _table(spark, sf, "orders").where(of).select(
         F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority")).alias("source_dataset_id"),
         F.lit(None).cast("string").alias("source_dataset_subset"), F.lit(None).cast("string").alias("source_dataset_split"),
         F.col("o_custkey").cast("string").alias("source_dataset_row_id"), F.concat(F.lit("doc_"), "o_custkey").alias("question_id"),
@@ -491,7 +491,7 @@ def registry_block_train(spark, sf):
 
 @_query
 def registry_block_test(spark, sf):
-    return overlap.registry_block(_asked(spark, sf), _registry(spark, sf), overlap.TEST_BLOCKING).select("seq")
+    return overlap.registry_block(_asked(spark, sf), _registry(spark, sf, "o_orderstatus = 'P'"), overlap.TEST_BLOCKING).select("seq")
 
 
 @_query
