@@ -70,6 +70,36 @@ def move(items: DataFrame, chosen: DataFrame, to: str, only_from: tuple[str, ...
     return out.withColumn("state", F.when(F.col("_chosen") & guard, to).otherwise(F.col("state"))).select(*items.columns)
 
 
+def finalized(items: DataFrame, reserved: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Reserved items after the decision on the last round that reserved them.
+
+    ``reserved``: (dataset, question_id, round_id); ``decisions``: (round_id,
+    decision, probe_acc, reusable). A promotion, also a provisional one, uses
+    items up; a rollback whose data can be tried again leaves them reserved;
+    all else defeats them. A defeat adds to ``defeats`` and sets
+    ``defeated_round`` and ``defeated_accuracy``. Items in other states, or
+    without a decision, stay as they are.
+    """
+    keys = ["dataset", "question_id"]
+    to = (
+        F.when(F.col("decision").isin("promote", "provisional_promote"), "used")
+        .when((F.col("decision") == "rollback") & F.col("reusable"), "reserved")
+        .otherwise("defeated")
+    )
+    last = reserved.groupBy(*keys).agg(F.max("round_id").alias("_round"))
+    met = last.join(decisions.select(F.col("round_id").alias("_round"), to.alias("_to"), F.col("probe_acc").alias("_acc")), "_round")
+    hit = (F.col("state") == "reserved") & F.col("_to").isNotNull()
+    lost = hit & (F.col("_to") == "defeated")
+    return items.join(met, keys, "left").withColumns(
+        {
+            "state": F.when(hit, F.col("_to")).otherwise(F.col("state")),
+            "defeats": F.coalesce("defeats", F.lit(0)) + F.when(lost, 1).otherwise(0),
+            "defeated_round": F.when(lost, F.col("_round")).otherwise(F.col("defeated_round")),
+            "defeated_accuracy": F.when(lost, F.col("_acc")).otherwise(F.col("defeated_accuracy")),
+        }
+    ).select(*items.columns)
+
+
 def revived(items: DataFrame, accuracy: Column, gain: float = 0.05) -> DataFrame:
     """Defeated items are unused again once accuracy rose by ``gain`` since their defeat."""
     back = (F.col("state") == "defeated") & (accuracy - F.col("defeated_accuracy") >= gain)
@@ -97,6 +127,14 @@ def blocked_until(failures: DataFrame, wait: float, after: int = 1) -> DataFrame
     return out.withColumn("until", F.when(F.col("n") >= max(1, after), F.col("last") + F.lit(wait)))
 
 
+def paused(failures: DataFrame, now: float, wait: float, after: int = 1, cleared: DataFrame | None = None) -> DataFrame:
+    """Datasets whose pause lasts at ``now``, and what ``remaining`` of it; failures up to a dataset's last clearing (dataset, at) do not count."""
+    if cleared is not None:
+        last = cleared.groupBy("dataset").agg(F.max("at").alias("_cleared"))
+        failures = failures.join(last, "dataset", "left").where(F.col("_cleared").isNull() | (F.col("at") > F.col("_cleared"))).drop("_cleared")
+    return blocked_until(failures, wait, after).where(F.col("until") > F.lit(now)).withColumn("remaining", F.col("until") - F.lit(now))
+
+
 def reset_labels(items: DataFrame) -> DataFrame:
     """Unused items lose their rates, to be rolled out anew."""
     stale = (F.col("state") == "unused") & (F.col("rollout_count") > 0)

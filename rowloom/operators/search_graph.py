@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,23 +71,27 @@ def tag_similarity(queries: DataFrame, nodes: DataFrame, k: int, tags: str = "ta
     return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "node_id", "similarity", "place")
 
 
-def kernel_surrogate(candidates: DataFrame, samples: DataFrame, axes: list[str], width: float = 0.25, most: int = 200) -> DataFrame:
+def kernel_surrogate(candidates: DataFrame, samples: DataFrame, axes: list[str], width: float = 0.25, block: int = 200) -> DataFrame:
     """Each candidate's expected reward: Gaussian weights of past samples.
 
-    Candidates are a few points, at most ``most``; each becomes two sums in one
-    pass over the samples, so nothing is joined.
+    Candidates are points that a search proposes. ``block`` of them become two
+    sums each in one pass over the samples, so nothing is joined; more take
+    more passes.
     """
-    points = candidates.select("candidate_id", *axes).limit(most + 1).collect()
-    if len(points) > most:
-        raise ValueError(f"more than {most} candidates")
+    points = candidates.select("candidate_id", *axes).toLocalIterator()
+    passes = [_weighted(samples, some, axes, width) for some in iter(lambda: list(islice(points, block)), [])]
+    if not passes:
+        return candidates.select("candidate_id", F.lit(0.0).alias("support"), F.lit(0.0).alias("expected"))
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _weighted(samples: DataFrame, points: list, axes: list[str], width: float) -> DataFrame:
     sums, parts = [], []
     for i, p in enumerate(points):
         distance = sum((F.lit(float(p[a])) - F.col(a)) * (F.lit(float(p[a])) - F.col(a)) for a in axes)
         weight = F.exp(-distance / (2 * width * width))
         sums += [F.sum(weight).alias(f"w{i}"), F.sum(weight * F.col("reward")).alias(f"r{i}")]
         parts.append(F.struct(F.lit(p[0]).alias("candidate_id"), F.col(f"w{i}").alias("support"), F.try_divide(f"r{i}", f"w{i}").alias("expected")))
-    if not points:
-        return candidates.select("candidate_id", F.lit(0.0).alias("support"), F.lit(0.0).alias("expected"))
     return samples.agg(*sums).select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 

@@ -382,6 +382,12 @@ select query_id, node_id, similarity, place from r where place <= 5""",
 s as (select s_nationkey / 25 as x, s_suppkey % 5 / 5 as y, s_acctbal / 1e4 as reward from supplier),
 j as (select candidate_id, reward, exp(-((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) / (2 * 0.25 * 0.25)) as w from c, s)
 select candidate_id, round(sum(w), 6) as support, round(sum(w * reward) / sum(w), 6) as expected from j group by 1""",
+    "finalised_reservations": """with r as (select *, o_custkey % 5 as round_id, o_orderstatus is distinct from 'P' as open from orders),
+d as (select *, coalesce(open and round_id >= 3, false) as lost from r)
+select o_orderpriority as dataset, cast(o_orderkey as varchar) as question_id,
+  case when not open or round_id <= 1 then 'used' when lost then 'defeated' else 'reserved' end as state,
+  cast(case when lost then 1 else 0 end as bigint) as defeats, cast(case when lost then round_id else -1 end as bigint) as defeated_round,
+  case when lost then (round_id + 1) / 10 else -1 end as defeated_accuracy from d""",
     "ancestor_walk": "select * from (select 'n7' as node_id, 0 as depth union all select 'r' || n_regionkey, 1 from nation where n_nationkey = 7 union all select 'root', 2)",
     "bundle_manifest": f"""with {_LM}, {_split('lang, module', 'lm')} select split, lang as difficulty, module, count(*) as n from sp
 group by grouping sets ((), (split), (split, lang), (split, module))""",

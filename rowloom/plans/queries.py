@@ -676,6 +676,18 @@ def kernel_surrogate(spark, sf):
     return out.select("candidate_id", F.round("support", 6).alias("support"), F.round("expected", 6).alias("expected"))
 
 
+@_query
+def finalised_reservations(spark, sf):
+    o, r = _table(spark, sf, "orders"), F.col("r_regionkey").cast("long")
+    key = [F.col("o_orderpriority").alias("dataset"), F.col("o_orderkey").cast("string").alias("question_id")]
+    state = F.when(F.col("o_orderstatus") == "P", "used").otherwise("reserved").alias("state")
+    none = [F.lit(0).cast("long").alias("defeats"), F.lit(None).cast("long").alias("defeated_round"), F.lit(None).cast("double").alias("defeated_accuracy")]
+    decision = F.when(r == 0, "promote").when(r == 1, "provisional_promote").when(r <= 3, "rollback").otherwise("prune")
+    decisions = _table(spark, sf, "region").select(r.alias("round_id"), decision.alias("decision"), ((r + 1) / 10).alias("probe_acc"), (r == 2).alias("reusable"))
+    out = lifecycle.finalized(o.select(*key, state, *none), o.select(*key, (F.col("o_custkey") % 5).cast("long").alias("round_id")), decisions)
+    return out.fillna({"defeated_round": -1, "defeated_accuracy": -1.0})
+
+
 @_query
 def ancestor_walk(spark, sf):
     n, r = _table(spark, sf, "nation"), _table(spark, sf, "region")

@@ -433,3 +433,45 @@ def test_repeated_questions_keep_the_least(spark):
     df = spark.createDataFrame(rows, "seq long, q string, a string")
     out = filtering.judge(df, filtering.Rules(dedup="question"), F.col("q"), F.col("a"), "seq")
     assert {r.seq: r.reason for r in out.collect()} == {2: None, 3: None, 5: "duplicate", 9: "duplicate"}
+
+
+def test_surrogate_in_blocks_is_the_same(spark):
+    import math
+
+    points = [(i, i / 5, (i * i % 7) / 7) for i in range(5)]
+    seen = [(j / 9, (j * 3 % 11) / 11, j / 4 - 1) for j in range(9)]
+    candidates = spark.createDataFrame(points, "candidate_id int, x double, y double")
+    samples = spark.createDataFrame(seen, "x double, y double, reward double")
+    for block in (1, 2, 5, 200):
+        got = {r.candidate_id: r for r in search_graph.kernel_surrogate(candidates, samples, ["x", "y"], block=block).collect()}
+        assert len(got) == len(points)
+        for i, x, y in points:
+            w = [math.exp(-((x - a) ** 2 + (y - b) ** 2) / (2 * 0.25**2)) for a, b, _ in seen]
+            assert math.isclose(got[i].support, sum(w)) and math.isclose(got[i].expected, sum(v * r for v, (_, _, r) in zip(w, seen)) / sum(w))
+    assert search_graph.kernel_surrogate(candidates.limit(0), samples, ["x", "y"]).count() == 0
+
+
+def test_reservations_end_with_the_decision(spark):
+    items = [(q, s, 1 if s == "defeated" else None, None, None) for q, s in zip("abcdefg", ["reserved"] * 5 + ["unused", "defeated"])]
+    df = spark.createDataFrame([("d", *x) for x in items], "dataset string, question_id string, state string, defeats long, defeated_round long, defeated_accuracy double")
+    rounds = [("a", 1), ("b", 2), ("c", 3), ("d", 3), ("d", 4), ("e", 9), ("f", 4), ("g", 4)]
+    reserved = spark.createDataFrame([("d", q, r) for q, r in rounds], "dataset string, question_id string, round_id long")
+    decisions = spark.createDataFrame(
+        [(1, "promote", 0.5, None), (2, "provisional_promote", 0.5, False), (3, "rollback", 0.3, True), (4, "rollback", 0.4, None)],
+        "round_id long, decision string, probe_acc double, reusable boolean",
+    )
+    got = {r.question_id: tuple(r)[2:] for r in lifecycle.finalized(df, reserved, decisions).collect()}
+    assert got["a"] == got["b"] == ("used", 0, None, None)
+    assert got["c"] == got["e"] == ("reserved", 0, None, None)  # tried again; no decision yet
+    assert got["d"] == ("defeated", 1, 4, 0.4)
+    assert got["f"] == ("unused", 0, None, None) and got["g"] == ("defeated", 1, None, None)
+
+
+def test_pauses_end_and_are_cleared(spark):
+    failures = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("b", 4.0), ("c", 5.0), ("c", 6.0)], "dataset string, at double")
+    names = lambda **k: {r.dataset: r.remaining for r in lifecycle.paused(failures, **k).collect()}
+    assert names(now=7.0, wait=3.0) == {"a": 1.0, "c": 2.0}
+    assert names(now=6.5, wait=3.0, after=2) == {"a": 1.5, "c": 2.5}
+    cleared = spark.createDataFrame([("c", 5.5), ("a", 5.0)], "dataset string, at double")
+    assert names(now=6.5, wait=3.0, cleared=cleared) == {"b": 0.5, "c": 2.5}
+    assert names(now=6.5, wait=3.0, after=2, cleared=cleared) == {}
