@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -54,7 +55,7 @@ def canonical(frame):
     """Rows as sorted tuples of comparable values, columns by name."""
 
     def value(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         if hasattr(x, "tolist") and not hasattr(x, "dtype"):
             x = x.tolist()
