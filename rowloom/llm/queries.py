@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lang_id, licenses, near_dedup, pitman_yor, quality_model, quality_rules, secrets, substring_dedup
+from . import (
+    ball_kmeans, bpe, decontaminate, lang_id, licenses, near_dedup, packing, pitman_yor, prefix_trie, quality_model, quality_rules, secrets, substring_dedup,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), share=True)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 _OP1 = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(
@@ -149,6 +164,68 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from f
 """
 
+_OP11 = r"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) as digest, turn
+  from conversations where conv_id is not null),
+o as (
+  select conv_id, {'d': digest, 'n': length(text)} as x,
+    row_number() over (partition by conv_id order by turn nulls first, role, digest) as i from t),
+c as (select conv_id, list(x order by i) as xs from o group by conv_id),
+h as (
+  select conv_id, xs, conv_id - conv_id % 100 as giver, xor(list_reduce(
+    list_prepend(4294967295::ubigint, list_transform(range(1, length(conv_id::varchar) + 1), lambda k: ascii(substr(conv_id::varchar, k, 1))::ubigint)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda r, z: xor(r >> 1, 3988292384::ubigint * (r & 1)))
+  ), 4294967295::ubigint) % 6 as h
+  from c),
+b as (select h.conv_id, list_concat(coalesce(g.xs[1:h.h::bigint], []), h.xs[h.h::bigint + 1:]) as xs from h left join c g on g.conv_id = h.giver),
+m as (
+  select conv_id, xs, d, list_transform(xs[1:d], lambda x: x.d) as node, xs[d].n as n
+  from (select conv_id, xs, unnest(range(0, len(xs) + 1)) as d from b)),
+n as (
+  select node, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, coalesce(any_value(n), 0) as n,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where len(xs) = d), '') as ends
+  from m group by node),
+k as (select node[:depth - 1] as node, count(*) as n_children from n where depth > 0 group by 1),
+a as (select conv_id, depth, (n_convs - 1) * n as saved, n.node, n_children from n left join k on k.node = n.node),
+u as (select node[:d] as node, saved, n_children from (select *, unnest(range(0, depth + 1)) as d from a)),
+s as (select node, sum(saved) as saved, count(*) filter (where n_children is null) as leaves from u group by node)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs::bigint as n_convs,
+  coalesce(k.n_children, 0)::bigint as n_children, s.leaves::bigint as n_leaves, s.saved::bigint as saved_tokens,
+  sha256(n.ends) as ends_sha256
+from n join s on s.node = n.node left join k on k.node = n.node left join n p on n.depth > 0 and p.node = n.node[:n.depth - 1]
+"""
+
+
+def _op13(rounds: int = 5) -> str:
+    """k-means, round by round."""
+    near = """
+a{t} as materialized (
+  select r, arg_min(j, (d, j)) as j, min(d) as d from (
+    select v.r, c.j, sum((v.x - c.x) * (v.x - c.x)) as d from v join c{t} c on c.i = v.i group by v.r, c.j) group by r)"""
+    mean = """
+m{t} as (select a.j, v.i, floor(sum(v.x)::double / count(*))::bigint as x from a{t} a join v using (r) group by a.j, v.i),
+c{u} as materialized (select c.j, c.i, coalesce(m.x, c.x) as x from c{t} c left join m{t} m on m.j = c.j and m.i = c.i)"""
+    steps = ",".join((near + "," + mean).format(t=t, u=t + 1) for t in range(rounds)) + "," + near.format(t=rounds)
+    return f"""
+with e as (
+  select row_number() over () as r, vec_id, embedding::double[] as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as materialized (
+  select r, i, floor(256 * x[i])::bigint as x from (select r, x, unnest(range(1, 65)) as i from e)),
+f as (
+  select r, row_number() over (order by sha256('2:' || vec_id), x) - 1 as j from e where vec_id is not null
+  qualify row_number() over (order by sha256('2:' || vec_id), x) <= 40),
+c0 as materialized (select f.j, v.i, v.x from f join v using (r)),{steps},
+k as (select j, sha256(string_agg(x::varchar, ',' order by i)) as centroid_sha256 from c{rounds} group by j),
+s as (select j, sum(d) as d from a{rounds} group by j)
+select e.vec_id, a.j::integer as cluster, a.d::bigint as distance, s.d::bigint as cluster_inertia,
+  (select sum(d) from a{rounds})::bigint as inertia, k.centroid_sha256
+from a{rounds} a join e using (r) join k using (j) join s using (j)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_licenses": op2_licenses,
@@ -160,5 +237,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_packing": op12_packing,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
-ORACLE: dict[str, str] = {"op1_near_dedup": _OP1, "op7_substring_dedup": _OP7, "op10_quality_rules": _OP10}
+ORACLE: dict[str, str] = {"op1_near_dedup": _OP1, "op7_substring_dedup": _OP7, "op10_quality_rules": _OP10, "op11_prefix_trie": _OP11, "op13_ball_kmeans": _op13()}
