@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .spread import looked_up
+from .written import forget, written
+
 # Registry statuses by rank, the highest wins.
 STATUS_RANK = {"external_probe": 5, "probe_holdout": 4, "active_holdout": 3, "retired_holdout": 2, "train_seen": 1}
 REGISTRY_KEY = (
@@ -22,23 +27,39 @@ def first_wins(rows: DataFrame, keys: list[Column | str], order: str) -> DataFra
     return _ranked(rows, keys, [F.col(order)]).where("_place = 1").drop("_place")
 
 
-def last_wins(rows: DataFrame, key: str, order: str, keep_blank: bool = True) -> DataFrame:
-    """The last row of each key; rows with a blank key all stay."""
+def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key; rows with a blank key all stay, and meet in no task."""
     blank = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
-    out = _ranked(rows, [key], [F.col(order).desc()])
-    return out.where((F.col("_place") == 1) | (blank if keep_blank else F.lit(False))).drop("_place")
+    return _ranked(rows.where(~blank), [key], [F.col(order).desc()]).where("_place = 1").drop("_place").unionByName(rows.where(blank))
 
 
 def first_by_any_key(rows: DataFrame, keys: str, order: str) -> DataFrame:
-    """Rows that come first by every key of their array ``keys``.
+    """Rows none of whose keys (array ``keys``) an earlier kept row has; ``order`` is unique and not null.
 
-    Equal to dropping a row as soon as one of its keys was seen, where rows
-    that share one key share all.
+    A row that is dropped does not close its keys: with rows ab, bc, c the
+    last stays. In rounds, a row is kept once it is the first undecided one by
+    each of its keys, and those that share a key with a kept row go. Nearly
+    all rows are decided in the first rounds; a chain of n rows, each sharing
+    a key with the next, takes n / 2. Rows without a key stay.
     """
-    flat = rows.select(order, F.explode(keys).alias("_key"))
-    first = flat.groupBy("_key").agg(F.min(order).alias("_first"))
-    late = flat.join(first, "_key").where(F.col(order) > F.col("_first")).select(order).distinct()
-    return rows.join(late, order, "left_anti")
+    own = F.array_distinct(F.array_compact(keys))
+    flat = rows.select(F.col(order).alias("o"), F.explode(own).alias("k"), F.size(own).alias("n"))
+    left, kept = written(flat, "keys"), []
+    while not left.isEmpty():
+        firsts = left.groupBy("k").agg(F.min(F.struct("o", "n")).alias("f")).select("k", "f.o", "f.n")
+        firsts = written(firsts, "firsts")
+        won = written(firsts.groupBy("o", "n").agg(F.count("*").alias("c")).where("c = n").select("o"), "won")
+        kept.append(won)
+        closed = firsts.join(won, "o", "left_semi").select("k")
+        gone = looked_up(left.select("k", "o"), closed, "k", F.col("o"), "inner").select("o").distinct()
+        rest = written(left.join(gone, "o", "left_anti"), "keys")
+        forget(left, firsts)
+        left = rest
+    bare = rows.where(F.coalesce(F.size(own), F.lit(0)) <= 0)
+    if not kept:
+        return bare
+    chosen = reduce(DataFrame.unionByName, kept).withColumnRenamed("o", order)
+    return rows.join(chosen, order, "left_semi").unionByName(bare)
 
 
 def status_rank(status: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .spread import looked_up
+from .written import written
 
 
 @dataclass(frozen=True)
@@ -50,25 +52,58 @@ def _failing(rules: Rules, question: Column, answer: Column) -> Column:
     return out
 
 
+def _key(rows: DataFrame, rules: Rules, question: Column, answer: Column, order: str) -> Column:
+    return {
+        "question": F.md5(question),
+        "question_answer": F.md5(F.concat(question, F.lit("\n"), answer)),
+        "row": T.row_hash(*[F.col(c) for c in sorted(rows.columns) if c != order]),
+    }[rules.dedup]
+
+
+def _marked(rows: DataFrame, firsts: DataFrame, order: str) -> DataFrame:
+    """``rows`` with (order, reason, _key) marked as duplicates unless they are the first of their key.
+
+    Rows without an order come after all others: they are duplicates of
+    ordered rows, but not of each other.
+    """
+    ordered = rows.where(F.col(order).isNotNull())
+    ordered = ordered.join(firsts.select(F.col("_first").alias(order), F.lit(True).alias("_is_first")), order, "left").select(*rows.columns, "_is_first")
+    bare = looked_up(rows.where(F.col(order).isNull()), firsts.select("_key", F.lit(False).alias("_is_first")), "_key", F.col("_key"))
+    bare = bare.select(*rows.columns, F.coalesce("_is_first", F.lit(True)).alias("_is_first"))
+    again = F.col("reason").isNull() & ~F.coalesce("_is_first", F.lit(False))
+    return ordered.unionByName(bare).withColumn("reason", F.when(again, "duplicate").otherwise(F.col("reason"))).drop("_key", "_is_first")
+
+
+def _firsts(keyed: DataFrame, order: str) -> DataFrame:
+    """The least order of each key among rows that pass, found by partial aggregation, so no task sees all rows of a key."""
+    return keyed.where(F.col("reason").isNull() & F.col(order).isNotNull()).groupBy("_key").agg(F.min(order).alias("_first"))
+
+
+def screened(rows: DataFrame, rules: Rules, question: Column, answer: Column, order: str, carry: dict[str, Column] | None = None) -> DataFrame:
+    """``order``, ``reason`` and the ``carry`` columns of every row, without its texts; see :func:`judge`.
+
+    Rules, hashes and carried columns are computed once and written.
+    """
+    own = [F.col(order), _failing(rules, question, answer).alias("reason"), *[v.alias(k) for k, v in (carry or {}).items() if k != order]]
+    if not rules.dedup:
+        return rows.select(*own)
+    keyed = written(rows.select(*own, _key(rows, rules, question, answer, order).alias("_key")), "screened")
+    return _marked(keyed, _firsts(keyed, order), order)
+
+
 def judge(rows: DataFrame, rules: Rules, question: Column, answer: Column, order: str) -> DataFrame:
     """``rows`` with ``reason``: the first rule that fails, ``duplicate``, or null for kept rows.
 
     Only rows that pass all other rules count as seen, in the order of
-    ``order``, which no two rows share. The first of each key is the least of
-    them, found by partial aggregation, so no task sees all rows of a key.
+    ``order``, which no two rows share. Where texts are not needed again,
+    :func:`screened` is cheaper.
     """
     out = rows.withColumn("reason", _failing(rules, question, answer))
     if not rules.dedup:
         return out
-    key = {
-        "question": F.md5(question),
-        "question_answer": F.md5(F.concat(question, F.lit("\n"), answer)),
-        "row": T.row_hash(*[F.col(c) for c in sorted(rows.columns) if c != order]),
-    }[rules.dedup]
-    firsts = out.where(F.col("reason").isNull()).groupBy(key.alias("_key")).agg(F.min(order).alias("_first"))
-    seen = out.join(firsts.select("_first", F.lit(True).alias("_is_first")), out[order] == F.col("_first"), "left")
-    again = F.col("reason").isNull() & F.col("_is_first").isNull()
-    return seen.withColumn("reason", F.when(again, "duplicate").otherwise(F.col("reason"))).drop("_first", "_is_first")
+    keyed = out.withColumn("_key", _key(rows, rules, question, answer, order))
+    firsts = written(_firsts(keyed, order), "firsts")
+    return _marked(keyed, firsts, order)
 
 
 def kept(judged: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 Events are rows (seq, dataset, question_id, kind, ...). An item goes
 unused -> reserved -> used or defeated; a transition whose guard fails is
-ignored. The fold needs no loop: an item's state follows from its last
-terminal event, and from the reserve events after it.
+ignored.
 """
 
 from __future__ import annotations
@@ -12,39 +11,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import fold
+
 KINDS = ("register", "rate", "reserve", "unreserve", "use", "defeat", "mark_used", "revive")
 _CODE = {"unused": 0, "reserved": 1, "used": 2, "defeated": 3}
 
 
+#: Next state by kind of event, for no item yet, then for the states of _CODE in their order.
+_STEPS = {
+    "register": [1, 1, 2, 3, 4],
+    "reserve": [0, 2, 2, 3, 4],
+    "unreserve": [0, 1, 1, 3, 4],
+    "use": [0, 1, 3, 3, 4],
+    "defeat": [0, 1, 4, 3, 4],
+    "mark_used": [0, 3, 3, 3, 3],
+    "revive": [0, 1, 2, 3, 1],
+}
+
+
 def item_states(events: DataFrame, order: str = "seq") -> DataFrame:
     """One row for each item: state, last rate, rollouts, defeats.
 
     Items count from their first register event; earlier events are ignored.
+    Events of an item are folded in ranges, see :mod:`.fold`, so no task holds
+    all events of an item.
     """
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(order, "kind"))),
-        F.lit(None).cast("int"),
-        lambda s, e: F.when(e["kind"] == "register", F.coalesce(s, F.lit(0)))
-        .when(s.isNull(), s)
-        .when((e["kind"] == "reserve") & (s == 0), 1)
-        .when((e["kind"] == "unreserve") & (s == 1), 0)
-        .when((e["kind"] == "use") & (s == 1), 2)
-        .when((e["kind"] == "defeat") & (s == 1), 3)
-        .when(e["kind"] == "mark_used", 2)
-        .when((e["kind"] == "revive") & (s == 3), 0)
-        .otherwise(s),
-    )
+    keys = ["dataset", "question_id"]
     rated = lambda c: F.max_by(F.when(F.col("kind") == "rate", F.col(c)), F.when(F.col("kind") == "rate", F.col(order)))
-    out = events.groupBy("dataset", "question_id").agg(
-        folded.alias("s"), rated("pass_rate").alias("pass_rate"), rated("rollout_count").alias("rollout_count"),
-        F.count_if(F.col("kind") == "defeat").alias("defeats"),
-    )
-    name = F.lit(None).cast("string")
-    for state, code in _CODE.items():
-        name = F.when(F.col("s") == code, state).otherwise(name)
-    return out.where(F.col("s").isNotNull()).select(
-        "dataset", "question_id", name.alias("state"), "pass_rate", F.coalesce("rollout_count", F.lit(0)).alias("rollout_count"), "defeats"
+    facts = events.groupBy(*keys).agg(
+        rated("pass_rate").alias("pass_rate"), rated("rollout_count").alias("rollout_count"), F.count_if(F.col("kind") == "defeat").alias("defeats")
     )
+    states = fold.final_states(events, keys, order, "kind", _STEPS).where(F.col("state") > 0)
+    name = F.element_at(F.array(*[F.lit(s) for s in _CODE]), F.col("state"))
+    same = [states[k].eqNullSafe(facts[k]) for k in keys]
+    out = states.join(facts, same[0] & same[1])
+    return out.select(*[states[k] for k in keys], name.alias("state"), "pass_rate", F.coalesce("rollout_count", F.lit(0)).alias("rollout_count"), "defeats")
 
 
 def register(items: DataFrame, new: DataFrame) -> DataFrame:

@@ -18,11 +18,20 @@ TRAIN_BLOCKING = ("active_holdout", "probe_holdout", "external_probe")
 TEST_BLOCKING = ("active_holdout", "probe_holdout", "external_probe", "retired_holdout", "train_seen")
 
 
+def fuzzy_key(text: Column) -> Column:
+    """A digest of the fuzzy text, by which exact overlap is told; null counts as empty."""
+    return F.sha2(T.fuzzy(F.coalesce(text, F.lit(""))), 256)
+
+
 def exact_split(rows: DataFrame, bench: DataFrame, text: str = "text", bench_text: str = "text", hits: bool = False) -> DataFrame:
     """Rows whose fuzzy text no benchmark item has; with ``hits``, the others."""
-    known = bench.where(F.coalesce(F.col(bench_text), F.lit("")) != "").select(T.fuzzy(F.col(bench_text)).alias("_fuzzy")).distinct()
-    keyed = rows.withColumn("_fuzzy", T.fuzzy(F.coalesce(F.col(text), F.lit(""))))
-    return keyed.join(known, "_fuzzy", "left_semi" if hits else "left_anti").drop("_fuzzy")
+    return exact_split_keyed(rows.withColumn("_fuzzy", fuzzy_key(F.col(text))), bench, "_fuzzy", bench_text, hits).drop("_fuzzy")
+
+
+def exact_split_keyed(rows: DataFrame, bench: DataFrame, key: str, bench_text: str = "text", hits: bool = False) -> DataFrame:
+    """The same for rows that have their :func:`fuzzy_key`."""
+    known = bench.where(F.coalesce(F.col(bench_text), F.lit("")) != "").select(fuzzy_key(F.col(bench_text)).alias(key)).distinct()
+    return rows.join(known, key, "left_semi" if hits else "left_anti")
 
 
 def gram_overlap(

@@ -4,40 +4,34 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-RANGES = 32
+from .written import forget, written
 
 
-def _range(rows: DataFrame, order: str, ranges: int) -> Column:
-    """A number or prefix that does not fall as ``order`` grows, and deals the rows over many values.
+def placed(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``rows`` with ``_place``, 1.. within each group by ``order`` (null first), and ``_size`` of the group.
 
-    Texts go by their first two characters, which suits hashes; numbers and
-    times by approximate percentiles, which come to the driver.
+    ``rows`` are computed and written once, then sorted by ranges of (keys,
+    order), of any type; a row's place is its number in its range after what
+    the ranges before hold of its group. Null keys are a group like others.
+    Give only the columns that are needed.
     """
-    if isinstance(rows.schema[order].dataType, StringType):
-        return F.substring(order, 1, 2)
-    value = F.col(order).cast("double")
-    cuts = rows.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
-    return F.size(F.filter(bounds, lambda b: b < value))
-
-
-def placed(rows: DataFrame, keys: list[str], order: str, ranges: int = RANGES) -> DataFrame:
-    """``rows`` with ``_place``, 1.. within each group by ``order``.
-
-    Rows are ranked within ranges of ``order``, after the sizes of the ranges
-    before. Null keys are a group like others.
-    """
-    sliced = rows.withColumn("_range", _range(rows, order, ranges))
-    sizes = sliced.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    by = [*[F.col(k).asc_nulls_first() for k in keys], F.col(order).asc_nulls_first()]
+    base = written(rows, "rows")
+    ranged = base.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    ranged = written(ranged.withColumn("_range", F.shiftright("_at", 33)), "ranges")
+    forget(base)
     names = [*keys, "_range"]
-    starts = sizes.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(names)], F.coalesce(earlier, F.lit(0)).alias("_before"))
-    same = reduce(lambda a, b: a & b, [sliced[k].eqNullSafe(starts[f"_of_{i}"]) for i, k in enumerate(names)])
-    own = F.row_number().over(Window.partitionBy(*names).orderBy(order))
-    out = sliced.join(starts, same).withColumn("_place", F.col("_before") + own)
-    return out.drop("_range", "_before", *[f"_of_{i}" for i in range(len(names))])
+    parts = ranged.groupBy(*names).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    earlier = F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(
+        *[F.col(k).alias(f"_of_{i}") for i, k in enumerate(names)],
+        (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_shift"), F.sum("_n").over(group).alias("_size"),
+    )
+    same = reduce(lambda a, b: a & b, [ranged[k].eqNullSafe(starts[f"_of_{i}"]) for i, k in enumerate(names)])
+    out = ranged.join(starts, same).withColumn("_place", F.col("_at") + F.col("_shift"))
+    return out.select(*rows.columns, "_place", "_size")

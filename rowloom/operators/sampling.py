@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.identity import hash_order
+from .dedup import last_wins
 
 
 def take_per_group(rows: DataFrame, quotas: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -55,9 +56,7 @@ def focus_sample(rows: DataFrame, tier: Column, row_id: str, total: int, share:
 
 def newest_versions(entries: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """The newest version of each id, all rows with a blank id, newest first, at most ``most``."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-    blank = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
-    return entries.withColumn("_place", place).where((F.col("_place") == 1) | blank).drop("_place").orderBy(F.col(order).desc()).limit(most)
+    return last_wins(entries, key, order).orderBy(F.col(order).desc()).limit(most)
 
 
 def least_used(entries: DataFrame, bucket: str, n: int, row_id: str, target: str = "", seed: str = "replay") -> DataFrame:

@@ -63,33 +63,44 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return rollouts.scores(_attempts(spark, sf)).withColumn("difficulty", rollouts.difficulty(own, F.col("rollout_count"), easy, medium))
 
 
-def _filtered(spark: SparkSession, sf: str, dedup_by: str) -> DataFrame:
-    rules = filtering.Rules(min_question=100, max_question=20_000, min_answer=2, max_answer=2_000, languages=("en", "zh"), dedup=dedup_by)
-    return filtering.judge(_questions(spark, sf), rules, F.col("question"), F.col("answer"), "seq")
+_RULES = {"min_question": 100, "max_question": 20_000, "min_answer": 2, "max_answer": 2_000, "languages": ("en", "zh")}
+
+
+def _screened(spark: SparkSession, sf: str, dedup_by: str, **carry) -> DataFrame:
+    rules = filtering.Rules(**_RULES, dedup=dedup_by)
+    return filtering.screened(_questions(spark, sf), rules, F.col("question"), F.col("answer"), "seq", carry)
 
 
 @_query
 def filter_reasons(spark, sf):
-    return filtering.reasons(_filtered(spark, sf, "question"))
+    return filtering.reasons(_screened(spark, sf, "question"))
 
 
 @_query
 def filter_kept(spark, sf):
-    return filtering.kept(_filtered(spark, sf, "question")).select("seq", "dataset")
+    rules = filtering.Rules(**_RULES, dedup="question")
+    return filtering.kept(filtering.judge(_questions(spark, sf), rules, F.col("question"), F.col("answer"), "seq")).select("seq", "dataset")
 
 
 @_query
 def filter_dedup_question_answer(spark, sf):
-    return filtering.reasons(_filtered(spark, sf, "question_answer"))
+    return filtering.reasons(_screened(spark, sf, "question_answer"))
+
+
+@_query
+def filter_dedup_rows(spark, sf):
+    rows = _questions(spark, sf).select("seq", "question", "lang")
+    rules = filtering.Rules(min_question=100, dedup="row")
+    return filtering.reasons(filtering.screened(rows, rules, F.col("question"), F.col("lang"), "seq"))
 
 
 @_query
 def flagship_curriculum(spark, sf):
-    """Filter, exact decontamination, topic, stratified split, counted."""
-    kept = filtering.kept(_filtered(spark, sf, "question"))
-    clean = overlap.exact_split(kept, _table(spark, sf, "benchmark"), "question", "text")
-    rows = clean.withColumn("module", T.module_of(F.col("question")))
-    split = splits.stratified_split(rows, ["dataset", "module"], "seq", RATIOS)
+    """Filter, exact decontamination, topic, stratified split, counted. Texts are read once and go no further than their hashes and topics."""
+    question = F.col("question")
+    kept = filtering.kept(_screened(spark, sf, "question", dataset=F.col("dataset"), fuzzy=overlap.fuzzy_key(question), module=T.module_of(question)))
+    clean = overlap.exact_split_keyed(kept, _table(spark, sf, "benchmark"), "fuzzy")
+    split = splits.stratified_split(clean.select("seq", "dataset", "module"), ["dataset", "module"], "seq", RATIOS)
     return split.groupBy("split", "module").agg(F.count("*").alias("n"))
 
 

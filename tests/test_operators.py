@@ -389,7 +389,7 @@ def test_places_within_groups_need_no_task_for_a_group(spark):
     rows = [(i, f"{i * 7919 % 1000:04d}", None if i % 5 == 4 else i % 3) for i in range(500)]
     df = spark.createDataFrame(rows, "i long, s string, k long")
     for order, at in (("i", 0), ("s", 1)):
-        got = {r.i: r._place for r in ranks.placed(df, ["k"], order, ranges=7).collect()}
+        got = {r.i: r._place for r in ranks.placed(df, ["k"], order).collect()}
         for key in (0, 1, 2, None):
             own = sorted((r for r in rows if r[2] == key), key=lambda r: r[at])
             assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
