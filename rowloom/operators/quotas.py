@@ -66,12 +66,14 @@ def largest_remainder(weights: DataFrame, total: int, key: str = "key", weight:
     return parts.select(key, (F.col("_floor") + more).cast("long").alias("quota"))
 
 
-def capped(weights: dict[str, float], total: int, available: dict[str, int], caps: dict[str, int] | None = None) -> dict[str, int]:
+def capped(weights: dict[str, float], total: int, available: dict[str, int], caps: dict[str, int] | None = None, of_all: bool = False) -> dict[str, int]:
     """Quotas within supply: floors, then one at a time in the order of fractions while any key has room.
 
-    ``caps`` bound only what the rounds after the floors add.
+    Shares are of the weights of keys with supply, or with ``of_all`` of all
+    weights. ``caps`` bound only what the rounds after the floors add.
     """
-    share = {k: w for k, w in normalized(weights).items() if available.get(k, 0) > 0}
+    has = {k for k in weights if available.get(k, 0) > 0}
+    share = {k: w for k, w in normalized({k: w for k, w in weights.items() if of_all or k in has}).items() if k in has}
     quota = {k: min(available[k], math.floor(total * w)) for k, w in share.items()}
     limit = {k: min(available[k], (caps or {}).get(k, available[k])) for k in share}
     order = sorted(share, key=lambda k: -(total * share[k] - math.floor(total * share[k])))
@@ -86,11 +88,46 @@ def capped(weights: dict[str, float], total: int, available: dict[str, int], cap
     return {k: n for k, n in quota.items() if n > 0}
 
 
+def capped_table(groups: DataFrame, total: str | int, key: str, within: list[str] | None = None) -> DataFrame:
+    """``quota`` of each row of ``groups`` (key, weight, available), as :func:`capped`, without leaving the plan.
+
+    ``within``: columns whose values have quotas of their own, of ``total``
+    (a column) each. Keys without supply or weight have no share, equal
+    fractions go by key. What the
+    floors leave goes round the keys, largest fraction first, each time to
+    those with room: after some full rounds every key has had as much, up to
+    its room, so the rounds are one level, found among the sorted rooms.
+    """
+    by = within or []
+    share = F.when((F.col("weight") > 0) & (F.col("available") > 0), F.col("weight").cast("double")).otherwise(0.0)
+    all_, ones = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.col("_room"), F.col(key))
+    want = F.col(total) if isinstance(total, str) else F.lit(total)
+    whole = F.sum(share).over(all_)
+    out = groups.withColumn("_exact", F.when(whole > 0, want * share / whole).otherwise(0.0))
+    out = out.withColumn("_floor", F.when(F.col("_exact") > 0, F.least("available", F.floor("_exact"))).otherwise(0).cast("long"))
+    out = out.withColumn("_room", F.when(F.col("_exact") > 0, F.col("available") - F.col("_floor")).otherwise(0).cast("long"))
+    out = out.withColumn("_left", F.greatest(F.lit(0), want - F.sum("_floor").over(all_)).cast("long"))
+    # filling every room up to the i-th takes what the rooms before hold, and that much of all others
+    open_ = F.count_if(F.col("_room") > 0).over(all_)
+    upto = F.sum("_room").over(ones.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.count("*").over(all_) - F.row_number().over(ones)
+    out = out.withColumns({"_upto": upto + after * F.col("_room"), "_open": open_})
+    level = F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_left"), F.col("_room"))).over(all_), F.lit(0))
+    out = out.withColumn("_level", level)
+    out = out.withColumn("_rest", F.col("_left") - F.sum(F.least("_room", "_level")).over(all_))
+    out = out.withColumn("_more", F.count_if(F.col("_room") > F.col("_level")).over(all_))
+    out = out.withColumn("_level", F.col("_level") + F.when(F.col("_more") > 0, F.expr("_rest div greatest(_more, 1)")).otherwise(0))
+    out = out.withColumn("_rest", F.when(F.col("_more") > 0, F.col("_rest") % F.greatest("_more", F.lit(1))).otherwise(0))
+    turn = Window.partitionBy(*by, F.col("_room") > F.col("_level")).orderBy((F.col("_exact") - F.floor("_exact")).desc(), F.col(key))
+    one = F.when((F.col("_room") > F.col("_level")) & (F.row_number().over(turn) <= F.col("_rest")), 1).otherwise(0)
+    return out.withColumn("quota", (F.col("_floor") + F.least("_room", "_level") + one).cast("long")).select(*groups.columns, "quota")
+
+
 def capped_hard(weights: dict[str, float], total: int, available: dict[str, int]) -> dict[str, int]:
     """As :func:`capped`, shares over all keys, with hard held near its weight unless that is a quarter or more."""
     hard = normalized(weights).get("hard", 0.0)
     cap = total if hard >= 0.25 else min(available.get("hard", 0), max(math.ceil(total * hard), math.ceil(total * 0.15)))
-    return capped(weights, total, available, {"hard": cap})
+    return capped(weights, total, available, {"hard": cap}, of_all=True)
 
 
 def shortfall(quota: DataFrame, selected: DataFrame, available: DataFrame, key: str = "key") -> DataFrame:

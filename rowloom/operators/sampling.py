@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.identity import hash_order
-from .dedup import last_wins
+from .dedup import first_wins, last_wins
+from .quotas import capped_table
+from .ranks import placed
 
 
 def take_per_group(rows: DataFrame, quotas: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -83,3 +85,98 @@ def admit(buffer: DataFrame, candidates: DataFrame, key: str, score: str, order:
 
 def hardest(rows: DataFrame, rate: str, row_id: str, most: int = 200) -> DataFrame:
     return rows.orderBy(F.col(rate), F.col(row_id)).limit(most)
+
+
+def filled(
+    rows: DataFrame, quotas: DataFrame, bucket: str, tier: str, row_id: str, seed: str = "fill", shares: tuple[tuple[str, int], ...] = (("easy", 2), ("hard", 1))
+) -> DataFrame:
+    """row_id, bucket, tier and ``taken_as`` of rows up to each bucket's ``quota``.
+
+    A bucket's quota is met from its first tier; what that lacks is carried to
+    the next. What all tiers lack, over all buckets, is filled from rows of
+    the first tier that are left (``taken_as`` backfill): from the first bucket
+    of ``shares`` by its part of all parts, rounded down, from the next what
+    then lacks, and so on, as far as there are rows. Ranks are taken once; the
+    rest is arithmetic over a table of (bucket, tier), part of the same plan.
+    """
+    own = rows.select(row_id, bucket, tier).withColumn("_hash", hash_order(seed, F.col(row_id)))
+    ranked = placed(own, [bucket, tier], "_hash")
+    have = ranked.groupBy(bucket, tier).agg(F.max("_size").alias("have")).join(quotas.select(bucket, "quota"), bucket, "full").fillna(0, ["have", "quota"])
+    earlier = Window.partitionBy(bucket).orderBy(tier).rowsBetween(Window.unboundedPreceding, -1)
+    lack = F.greatest(F.lit(0), F.col("quota") - F.coalesce(F.sum("have").over(earlier), F.lit(0)))
+    have = have.withColumn("take", F.least("have", lack))
+    supply = F.sum("have").over(Window.partitionBy(bucket))
+    # every bucket counts once: at its first tier
+    first = F.row_number().over(Window.partitionBy(bucket).orderBy(F.col(tier).asc_nulls_last())) == 1
+    have = have.withColumns({"_lack": F.when(first, F.greatest(F.lit(0), F.col("quota") - supply)).otherwise(0), "_least": F.min(tier).over(Window.partitionBy())})
+    have = have.withColumns({"lacking": F.sum("_lack").over(Window.partitionBy()), "spare": F.when(F.col(tier) == F.col("_least"), F.col("have") - F.col("take")).otherwise(0)})
+    parts, given, extra = sum(n for _, n in shares), F.lit(0), F.lit(0)
+    for i, (name, n) in enumerate(shares):
+        spare = F.sum(F.when(F.col(bucket) == name, F.col("spare")).otherwise(0)).over(Window.partitionBy())
+        wanted = F.floor(F.col("lacking") * n / parts) if i < len(shares) - 1 else F.col("lacking") - given
+        mine = F.least(spare, wanted)
+        extra = F.when((F.col(bucket) == name) & (F.col(tier) == F.col("_least")), mine).otherwise(extra)
+        given = given + mine
+    takes = have.select(bucket, tier, "take", extra.alias("extra"))
+    out = ranked.join(takes, [bucket, tier]).where(F.col("_place") <= F.col("take") + F.col("extra"))
+    return out.select(row_id, bucket, tier, F.when(F.col("_place") <= F.col("take"), "quota").otherwise("backfill").alias("taken_as"))
+
+
+def round_sample(
+    rows: DataFrame,
+    total: int,
+    bucket_weights: DataFrame | None = None,
+    module_weights: DataFrame | None = None,
+    mastered: DataFrame | None = None,
+    focus: DataFrame | None = None,
+    row_id: str = "question_id",
+    order: str = "seq",
+    seed: str = "round",
+) -> DataFrame:
+    """The rows of a round: row_id, difficulty, module and ``tier``, at most ``total``.
+
+    ``rows``: (row_id, order, dedup_key, difficulty, module). The first row of
+    each dedup key stays, mastered ids go. With ``bucket_weights`` (difficulty,
+    weight) every difficulty has a quota within its supply, shared out to
+    modules by ``module_weights`` (module, weight); tier 0 are rows within the
+    quota of their module, tier 1 others that fill the quota of their
+    difficulty, tier 2 the rest. Without weights, or without a row of a known
+    difficulty, rows whose module is in ``focus`` (module) are tier 0, others
+    tier 1. Rows are taken by tier, then in hash order.
+    """
+    pool = first_wins(rows.select(row_id, order, "dedup_key", "difficulty", "module"), ["dedup_key"], order)
+    if mastered is not None:
+        pool = pool.join(mastered.select(row_id).distinct(), row_id, "left_anti")
+    pool = pool.select(row_id, F.coalesce(F.nullif("difficulty", F.lit("")), F.lit("unknown")).alias("difficulty"), F.coalesce(F.nullif("module", F.lit("")), F.lit("unknown")).alias("module"))
+    pool = pool.withColumn("_hash", hash_order(seed, F.col(row_id)))
+    if bucket_weights is not None:
+        ranked = placed(pool, ["difficulty", "module"], "_hash")
+        sizes = ranked.groupBy("difficulty", "module").agg(F.max("_size").alias("available"))
+        by_bucket = sizes.groupBy("difficulty").agg(F.sum("available").alias("available")).join(bucket_weights.select("difficulty", "weight"), "difficulty")
+        buckets = capped_table(by_bucket, total, "difficulty").select("difficulty", F.col("quota").alias("bucket_quota"))
+        if module_weights is not None:
+            cells = sizes.join(buckets, "difficulty").join(module_weights.select("module", "weight"), "module")
+            cells = capped_table(cells, "bucket_quota", "module", ["difficulty"]).select("difficulty", "module", "quota")
+        else:
+            cells = sizes.select("difficulty", "module", F.lit(0).cast("long").alias("quota"))
+        ranked = ranked.join(cells, ["difficulty", "module"], "left").withColumn("_in", F.col("_place") <= F.coalesce("quota", F.lit(0)))
+        again = placed(ranked.select(row_id, "difficulty", "module", "_in", "_hash"), ["difficulty", "_in"], "_hash")
+        used = again.where("_in").groupBy("difficulty").agg(F.max("_size").alias("_used"))
+        rest = F.coalesce("bucket_quota", F.lit(0)) - F.coalesce("_used", F.lit(0))
+        pool = again.join(buckets, "difficulty", "left").join(used, "difficulty", "left").withColumn("tier", F.when(F.col("_in"), 0).when(F.col("_place") <= rest, 1).otherwise(2))
+    elif focus is not None:
+        mark = focus.where("module <> 'unknown'").select("module", F.lit(0).alias("tier")).distinct()
+        pool = pool.join(mark, "module", "left").fillna(1, ["tier"])
+    else:
+        pool = pool.withColumn("tier", F.lit(0))
+    return pool.orderBy("tier", "_hash").limit(total).select(row_id, "difficulty", "module", "tier")
+
+
+def oversampled(rows: DataFrame, bucket: str, target: str, total: int, row_id: str, share: float = 0.7, seed: str = "bucket") -> DataFrame:
+    """``total`` rows, ``share`` of them of the target bucket as far as it goes, the rest of the others."""
+    own, order = F.col(bucket).eqNullSafe(F.lit(target)), hash_order(seed, F.col(row_id))
+    first = rows.where(own).orderBy(order).limit(int(total * share)).withColumn("_own", F.lit(1))
+    others = rows.where(~own).orderBy(order).limit(total).withColumn("_own", F.lit(0))
+    rest = F.lit(total) - F.sum("_own").over(Window.partitionBy())  # at most twice the total in one task
+    both = first.unionByName(others).withColumns({"_rest": rest, "_place": F.row_number().over(Window.partitionBy("_own").orderBy(order))})
+    return both.where((F.col("_own") == 1) | (F.col("_place") <= F.col("_rest"))).select(*rows.columns)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import islice
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .spread import looked_up
+from .written import forget, written
+
 # Exploration weights for nodes and for actions.
 EXPLORE_NODE, EXPLORE_ACTION = 0.1, 0.15
 
@@ -35,11 +37,22 @@ def rank_actions(actions: DataFrame, edges: DataFrame, evidence: DataFrame | Non
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "position")))
 
 
-def next_parent(nodes: DataFrame) -> DataFrame:
-    """The node to branch from: any untried one, else the most valuable; the first listed on ties."""
-    untried = F.coalesce(F.col("visit_count"), F.lit(0)) == 0
-    order = [F.when(untried, 0).otherwise(1), F.when(untried, F.lit(0.0)).otherwise(-F.coalesce("value_estimate", F.lit(0.0))), F.col("position")]
-    return nodes.orderBy(*order).limit(1)
+def next_parent(nodes: DataFrame, candidates: DataFrame | None = None, fallback: str | None = None) -> DataFrame:
+    """``node_id`` to branch from: any untried node, else the most valuable; the first listed (``position``) on ties.
+
+    Only nodes of ``candidates`` (node_id) are choices, unless none of them is
+    known. Without nodes, or for a node without an id, it is ``fallback``.
+    """
+    untried = F.coalesce(F.col("visit_count"), F.lit(0)) <= 0
+    value = F.when(untried, 0.0).otherwise(-F.coalesce("value_estimate", F.lit(0.0)))
+    allowed = F.lit(0)
+    if candidates is not None:
+        mark = candidates.select("node_id", F.lit(0).alias("_allowed")).distinct()
+        nodes = nodes.join(mark, "node_id", "left")
+        allowed = F.coalesce("_allowed", F.lit(1))
+    best = nodes.orderBy(allowed, F.when(untried, 0).otherwise(1), value, "position").limit(1)
+    # an aggregate has its row without nodes, too
+    return best.agg(F.coalesce(F.max(F.nullif(F.col("node_id").cast("string"), F.lit(""))), F.lit(fallback)).alias("node_id"))
 
 
 def expansions(nodes: DataFrame, edges: DataFrame, *metrics: str) -> DataFrame:
@@ -71,52 +84,16 @@ def tag_similarity(queries: DataFrame, nodes: DataFrame, k: int, tags: str = "ta
     return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "node_id", "similarity", "place")
 
 
-def kernel_surrogate(candidates: DataFrame, samples: DataFrame, axes: list[str], width: float = 0.25, block: int = 200) -> DataFrame:
-    """Each candidate's expected reward: Gaussian weights of past samples.
-
-    Candidates are points that a search proposes. ``block`` of them become two
-    sums each in one pass over the samples, so nothing is joined; more take
-    more passes.
-    """
-    points = candidates.select("candidate_id", *axes).toLocalIterator()
-    passes = [_weighted(samples, some, axes, width) for some in iter(lambda: list(islice(points, block)), [])]
-    if not passes:
-        return candidates.select("candidate_id", F.lit(0.0).alias("support"), F.lit(0.0).alias("expected"))
-    return reduce(DataFrame.unionByName, passes)
-
-
-def _weighted(samples: DataFrame, points: list, axes: list[str], width: float) -> DataFrame:
-    sums, parts = [], []
-    for i, p in enumerate(points):
-        distance = sum((F.lit(float(p[a])) - F.col(a)) * (F.lit(float(p[a])) - F.col(a)) for a in axes)
-        weight = F.exp(-distance / (2 * width * width))
-        sums += [F.sum(weight).alias(f"w{i}"), F.sum(weight * F.col("reward")).alias(f"r{i}")]
-        parts.append(F.struct(F.lit(p[0]).alias("candidate_id"), F.col(f"w{i}").alias("support"), F.try_divide(f"r{i}", f"w{i}").alias("expected")))
-    return samples.agg(*sums).select(F.explode(F.array(*parts)).alias("p")).select("p.*")
-
-
-def halton(index: int, base: int) -> float:
-    """The index-th point of the van der Corput sequence."""
-    out, scale = 0.0, 1.0
-    while index > 0:
-        scale /= base
-        index, digit = divmod(index, base)
-        out += digit * scale
-    return out
-
-
-def candidate_points(spark, n: int, bounds: dict[str, tuple[float, float]]) -> DataFrame:
-    """``n`` points spread over a box."""
-    primes = (2, 3, 5, 7, 11, 13, 17, 19)
-    rows = [(i, *[lo + (hi - lo) * halton(i + 1, p) for (lo, hi), p in zip(bounds.values(), primes, strict=False)]) for i in range(n)]
-    return spark.createDataFrame(rows, "candidate_id int, " + ", ".join(f"{a} double" for a in bounds))
+def parents(edges: DataFrame) -> DataFrame:
+    """(node_id, up): each child's parent by its last edge."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in ("from_node_id", "to_node_id")]
+    return edges.where(named[0] & named[1]).groupBy(F.col("to_node_id").alias("node_id")).agg(F.max_by("from_node_id", "seq").alias("up"))
 
 
 def ancestors(edges: DataFrame, start: str, most: int = 100) -> DataFrame:
     """(node_id, depth) from a node up to the root, each child following its last edge; cycles end the walk."""
-    last = edges.groupBy("to_node_id").agg(F.max_by("from_node_id", "seq").alias("parent"))
-    name = "rowloom_parents"
-    last.createOrReplaceTempView(name)
+    name = f"rowloom_parents_{uuid4().hex}"
+    parents(edges).select(F.col("node_id").alias("to_node_id"), F.col("up").alias("parent")).createOrReplaceTempView(name)
     spark = edges.sparkSession
     walk = spark.sql(
         f"""with recursive up(node_id, depth, seen) as (
@@ -131,6 +108,70 @@ def ancestors(edges: DataFrame, start: str, most: int = 100) -> DataFrame:
     return walk
 
 
+def _jumped(step: DataFrame) -> DataFrame:
+    """``step`` (node_id, up, low, s, c) over twice the way.
+
+    ``up`` is the ancestor so many levels above, ``low`` the least node on the
+    way there; ``s`` and ``c`` are sums over the nodes that are fewer levels
+    below. A node that very many have above them is asked for through salts.
+    """
+    below = step.where("up is not null").groupBy(F.col("up").alias("node_id")).agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"))
+    above = step.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"))
+    out = looked_up(step, above, "up", F.col("node_id")).join(below, "node_id", "left")
+    return out.select(
+        "node_id", F.col("_up").alias("up"), F.least("low", "_low").alias("low"),
+        (F.col("s") + F.coalesce("_s", F.lit(0.0))).alias("s"), (F.col("c") + F.coalesce("_c", F.lit(0))).alias("c"),
+    )
+
+
+def _subtree_sums(step: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """:func:`_jumped` until no node has anything above, or ``most`` times; whether some still have."""
+    step = written(step, "step")
+    for _ in range(most):
+        if step.where("up is not null").isEmpty():
+            return step, False
+        further = written(_jumped(step), "step")
+        forget(step)
+        step = further
+    return step, not step.where("up is not null").isEmpty()
+
+
+def backpropagated(nodes: DataFrame, edges: DataFrame, rewards: DataFrame) -> DataFrame:
+    """``nodes`` after all ``rewards`` (node_id, reward) have gone up: visit counts and running means.
+
+    A reward counts for its node and everything above, each node once, up to
+    the first one that ``nodes`` does not have; a child follows its last edge.
+    Sums over subtrees come by pointer doubling: in round k a node takes what
+    its descendants 2**k levels below have gathered, and its pointer jumps as
+    far, so the rounds are the logarithm of the depth and no pairs of node and
+    ancestor are made. Cycles are found by pointers that never end; they are
+    cut, and each of their nodes gets the sum of all.
+    """
+    own = rewards.where(F.col("reward").isNotNull()).groupBy("node_id").agg(F.sum(F.col("reward").cast("double")).alias("s"), F.count("*").alias("c"))
+    known = nodes.select("node_id").distinct()
+    up = parents(edges).join(known.withColumnRenamed("node_id", "up"), "up", "left_semi")
+    start = known.join(up, "node_id", "left").join(own, "node_id", "left")
+    start = written(start.select("node_id", "up", F.col("node_id").alias("low"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("c", F.lit(0)).alias("c")), "tree")
+    most = max(1, start.count()).bit_length() + 1
+    sums, cyclic = _subtree_sums(start, most)
+    if cyclic:
+        # so far up, all that is left stands on a cycle; the ways went round it, so low is its least node
+        ends = sums.where("up is not null").select(F.col("up").alias("node_id")).distinct()
+        rings = written(sums.join(ends, "node_id", "left_semi").select("node_id", F.col("low").alias("ring")), "rings")
+        cut = start.join(rings, "node_id", "left").withColumn("up", F.when(F.col("ring").isNull(), F.col("up"))).drop("ring")
+        sums, _ = _subtree_sums(cut, most)
+        on_ring = sums.join(rings, "node_id")
+        whole = on_ring.groupBy("ring").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+        whole = looked_up(rings, whole, "ring", F.col("node_id")).select("node_id", "s", "c")
+        sums = sums.select("node_id", "s", "c").join(rings, "node_id", "left_anti").unionByName(whole)
+    n, v = F.coalesce(F.col("visit_count"), F.lit(0)), F.coalesce(F.col("value_estimate"), F.lit(0.0))
+    hit = F.coalesce("c", F.lit(0)) > 0
+    out = nodes.join(sums.select("node_id", "s", "c"), "node_id", "left").withColumns(
+        {"value_estimate": F.when(hit, (v * n + F.col("s")) / (n + F.col("c"))).otherwise(F.col("value_estimate")), "visit_count": F.when(hit, n + F.col("c")).otherwise(F.col("visit_count"))}
+    )
+    return out.select(*nodes.columns)
+
+
 def backpropagate(nodes: DataFrame, path: DataFrame, reward: float) -> DataFrame:
     """Visit counts and running means along a path."""
     on = path.select("node_id", F.lit(True).alias("_on"))

@@ -15,7 +15,7 @@ from ..functions import answers as A
 from ..functions import identity as I
 from ..functions import text as T
 from ..operators import (
-    bundles, cleaning, conversations, decisions, dedup, evaluation, filtering, lifecycle, normalize, overlap, profile, quotas, rollouts, sampling, search_graph, splits,
+    bundles, cleaning, conversations, decisions, dedup, evaluation, filtering, lifecycle, normalize, overlap, profile, quotas, rollouts, sampling, search_graph, splits, surrogate,
     train_log,
 )
 from ..sources import files
@@ -683,7 +683,7 @@ def tag_similarity(spark, sf):
 def kernel_surrogate(spark, sf):
     candidates = _table(spark, sf, "nation").select(F.col("n_nationkey").alias("candidate_id"), (F.col("n_nationkey") / 25).alias("x"), (F.col("n_regionkey") / 5).alias("y"))
     samples = _table(spark, sf, "supplier").select((F.col("s_nationkey") / 25).alias("x"), (F.col("s_suppkey") % 5 / 5).alias("y"), (F.col("s_acctbal") / 1e4).alias("reward"))
-    out = search_graph.kernel_surrogate(candidates, samples, ["x", "y"])
+    out = surrogate.kernel_surrogate(candidates, samples, ["x", "y"])
     return out.select("candidate_id", F.round("support", 6).alias("support"), F.round("expected", 6).alias("expected"))
 
 
