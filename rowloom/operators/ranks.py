@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from .written import forget, written
 
 
-def placed(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``rows`` with ``_place``, 1.. within each group by ``order`` (null first), and ``_size`` of the group.
+def ranked(rows: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``_place``, 1.. within each group by ``order`` (null first); and each group's size as (keys, n).
 
     ``rows`` are computed and written once, then sorted by ranges of (keys,
     order), of any type; a row's place is its number in its range after what
@@ -26,12 +26,13 @@ def placed(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     forget(base)
     names = [*keys, "_range"]
     parts = ranged.groupBy(*names).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    group = Window.partitionBy(*keys)
-    earlier = F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = parts.select(
-        *[F.col(k).alias(f"_of_{i}") for i, k in enumerate(names)],
-        (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_shift"), F.sum("_n").over(group).alias("_size"),
-    )
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(names)], (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     same = reduce(lambda a, b: a & b, [ranged[k].eqNullSafe(starts[f"_of_{i}"]) for i, k in enumerate(names)])
     out = ranged.join(starts, same).withColumn("_place", F.col("_at") + F.col("_shift"))
-    return out.select(*rows.columns, "_place", "_size")
+    return out.select(*rows.columns, "_place"), ranged.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def placed(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows of :func:`ranked`."""
+    return ranked(rows, keys, order)[0]

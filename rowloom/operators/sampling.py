@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.identity import hash_order
 from .dedup import first_wins, last_wins
 from .quotas import capped_table
-from .ranks import placed
+from .ranks import ranked
 
 
 def take_per_group(rows: DataFrame, quotas: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -100,8 +100,8 @@ def filled(
     rest is arithmetic over a table of (bucket, tier), part of the same plan.
     """
     own = rows.select(row_id, bucket, tier).withColumn("_hash", hash_order(seed, F.col(row_id)))
-    ranked = placed(own, [bucket, tier], "_hash")
-    have = ranked.groupBy(bucket, tier).agg(F.max("_size").alias("have")).join(quotas.select(bucket, "quota"), bucket, "full").fillna(0, ["have", "quota"])
+    ranks, sizes = ranked(own, [bucket, tier], "_hash")
+    have = sizes.withColumnRenamed("n", "have").join(quotas.select(bucket, "quota"), bucket, "full").fillna(0, ["have", "quota"])
     earlier = Window.partitionBy(bucket).orderBy(tier).rowsBetween(Window.unboundedPreceding, -1)
     lack = F.greatest(F.lit(0), F.col("quota") - F.coalesce(F.sum("have").over(earlier), F.lit(0)))
     have = have.withColumn("take", F.least("have", lack))
@@ -118,7 +118,7 @@ def filled(
         extra = F.when((F.col(bucket) == name) & (F.col(tier) == F.col("_least")), mine).otherwise(extra)
         given = given + mine
     takes = have.select(bucket, tier, "take", extra.alias("extra"))
-    out = ranked.join(takes, [bucket, tier]).where(F.col("_place") <= F.col("take") + F.col("extra"))
+    out = ranks.join(takes, [bucket, tier]).where(F.col("_place") <= F.col("take") + F.col("extra"))
     return out.select(row_id, bucket, tier, F.when(F.col("_place") <= F.col("take"), "quota").otherwise("backfill").alias("taken_as"))
 
 
@@ -150,8 +150,8 @@ def round_sample(
     pool = pool.select(row_id, F.coalesce(F.nullif("difficulty", F.lit("")), F.lit("unknown")).alias("difficulty"), F.coalesce(F.nullif("module", F.lit("")), F.lit("unknown")).alias("module"))
     pool = pool.withColumn("_hash", hash_order(seed, F.col(row_id)))
     if bucket_weights is not None:
-        ranked = placed(pool, ["difficulty", "module"], "_hash")
-        sizes = ranked.groupBy("difficulty", "module").agg(F.max("_size").alias("available"))
+        ranks, sizes = ranked(pool, ["difficulty", "module"], "_hash")
+        sizes = sizes.withColumnRenamed("n", "available")
         by_bucket = sizes.groupBy("difficulty").agg(F.sum("available").alias("available")).join(bucket_weights.select("difficulty", "weight"), "difficulty")
         buckets = capped_table(by_bucket, total, "difficulty").select("difficulty", F.col("quota").alias("bucket_quota"))
         if module_weights is not None:
@@ -159,9 +159,9 @@ def round_sample(
             cells = capped_table(cells, "bucket_quota", "module", ["difficulty"]).select("difficulty", "module", "quota")
         else:
             cells = sizes.select("difficulty", "module", F.lit(0).cast("long").alias("quota"))
-        ranked = ranked.join(cells, ["difficulty", "module"], "left").withColumn("_in", F.col("_place") <= F.coalesce("quota", F.lit(0)))
-        again = placed(ranked.select(row_id, "difficulty", "module", "_in", "_hash"), ["difficulty", "_in"], "_hash")
-        used = again.where("_in").groupBy("difficulty").agg(F.max("_size").alias("_used"))
+        ranks = ranks.join(cells, ["difficulty", "module"], "left").withColumn("_in", F.col("_place") <= F.coalesce("quota", F.lit(0)))
+        again, halves = ranked(ranks.select(row_id, "difficulty", "module", "_in", "_hash"), ["difficulty", "_in"], "_hash")
+        used = halves.where("_in").select("difficulty", F.col("n").alias("_used"))
         rest = F.coalesce("bucket_quota", F.lit(0)) - F.coalesce("_used", F.lit(0))
         pool = again.join(buckets, "difficulty", "left").join(used, "difficulty", "left").withColumn("tier", F.when(F.col("_in"), 0).when(F.col("_place") <= rest, 1).otherwise(2))
     elif focus is not None:

@@ -45,12 +45,12 @@ def next_parent(nodes: DataFrame, candidates: DataFrame | None = None, fallback:
     """
     untried = F.coalesce(F.col("visit_count"), F.lit(0)) <= 0
     value = F.when(untried, 0.0).otherwise(-F.coalesce("value_estimate", F.lit(0.0)))
-    allowed = F.lit(0)
+    order = [F.when(untried, 0).otherwise(1), value, F.col("position")]
     if candidates is not None:
         mark = candidates.select("node_id", F.lit(0).alias("_allowed")).distinct()
         nodes = nodes.join(mark, "node_id", "left")
-        allowed = F.coalesce("_allowed", F.lit(1))
-    best = nodes.orderBy(allowed, F.when(untried, 0).otherwise(1), value, "position").limit(1)
+        order = [F.coalesce("_allowed", F.lit(1)), *order]
+    best = nodes.orderBy(*order).limit(1)
     # an aggregate has its row without nodes, too
     return best.agg(F.coalesce(F.max(F.nullif(F.col("node_id").cast("string"), F.lit(""))), F.lit(fallback)).alias("node_id"))
 

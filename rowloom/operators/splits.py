@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import hash_order
-from .ranks import placed
+from .ranks import ranked
 
 ROLES = ("train", "cotest", "test", "probe")
 
@@ -53,9 +53,10 @@ def existing_split(rows: DataFrame, label: str, row_id: str, test_ratio: float)
 
 def holdout_by_key(rows: DataFrame, key: str, row_id: str, test_ratio: float, seed: str = "holdout") -> DataFrame:
     """``split`` within each key: at least one row, and a tenth, are tests."""
-    tests = F.greatest(F.lit(1), F.floor(F.col("_size") * max(test_ratio, 0.1)))
-    out = placed(rows.where(F.col(key).isNotNull()).withColumn("_hash", hash_order(seed, F.col(row_id))), [key], "_hash")
-    return out.withColumn("split", F.when(F.col("_place") <= tests, "test").otherwise("train")).drop("_hash", "_place", "_size")
+    tests = F.greatest(F.lit(1), F.floor(F.col("n") * max(test_ratio, 0.1)))
+    out, sizes = ranked(rows.where(F.col(key).isNotNull()).withColumn("_hash", hash_order(seed, F.col(row_id))), [key], "_hash")
+    out = out.join(sizes.select(key, tests.alias("_tests")), key)
+    return out.withColumn("split", F.when(F.col("_place") <= F.col("_tests"), "test").otherwise("train")).select(*rows.columns, "split")
 
 
 def split_quotas(sizes: DataFrame, ratios: dict[str, float]) -> DataFrame:
@@ -98,13 +99,13 @@ def split_quotas(sizes: DataFrame, ratios: dict[str, float]) -> DataFrame:
 def stratified_split(rows: DataFrame, keys: list[str], order: str, ratios: dict[str, float]) -> DataFrame:
     """``split`` of every row: each group's first rows train, the next are cotest, and so on. Rows beyond all quotas go.
 
-    Quotas follow from a group's size alone, so they are columns of its rows
-    and nothing is joined to them. Rows with a null key belong to no group and
-    go. ``rows`` are written once: give only the columns that are needed.
+    Rows with a null key belong to no group and go. ``rows`` are computed and
+    written once, ranks and sizes come of that: give only the columns that
+    are needed.
     """
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    own = placed(rows.where(known), keys, order).withColumnRenamed("_size", "n")
-    out, role, upto = split_quotas(own, ratios), F.lit(None).cast("string"), F.lit(0)
+    own, sizes = ranked(rows.where(known), keys, order)
+    out, role, upto = own.join(split_quotas(sizes, ratios), keys), F.lit(None).cast("string"), F.lit(0)
     bounds = []
     for r in ROLES:
         upto = upto + F.col(f"n_{r}")

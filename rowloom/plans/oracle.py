@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.text import COT_MARKERS, DIFFICULTY_WORDS, GENERIC_WORDS, MODULES, PROOF_MARKERS
 from ..operators.overlap import TEST_BLOCKING, TRAIN_BLOCKING
 from ..operators.train_log import FAILURES
+from . import rounds
 
 
 def _strip(t: str) -> str:
@@ -168,6 +169,9 @@ ORACLE: dict[str, str] = {
     "filter_reasons": f"with {_judged('md5(question)')} select coalesce(reason, 'kept') as reason, count(*) as n from j group by 1",
     "filter_kept": f"with {_judged('md5(question)')} select seq, dataset from j where reason is null",
     "filter_dedup_question_answer": f"with {_judged('md5(question || chr(10) || answer)')} select coalesce(reason, 'kept') as reason, count(*) as n from j group by 1",
+    "filter_dedup_rows": """with f as (select *, case when length(text) < 100 then 'question_short' end as r from documents),
+j as (select case when r is null and row_number() over (partition by r, text, lang order by doc_id) > 1 then 'duplicate' else r end as reason from f)
+select coalesce(reason, 'kept') as reason, count(*) as n from j group by 1""",
     "flagship_curriculum": f"""with {_judged('md5(question)')}, b as (select distinct {_fuzzy('text')} as t from benchmark where text <> ''),
 k as (select seq, dataset, {_module('question')} as module from j where reason is null and {_fuzzy('question')} not in (select t from b)),
 {_split('dataset, module', 'k')} select split, module, count(*) as n from sp group by 1, 2""",
@@ -340,9 +344,9 @@ select dataset, question_id from a anti join (select * from it where state <> 'u
 h as (select distinct event_type as dataset, user_id as question_id, true as cached from events where event_id % 3 > 0 and event_id % 5 <> 0)
 select dataset, coalesce(cached, false) as cached, count(*) as n from a left join h using (dataset, question_id) group by 1, 2""",
     "shard_refs": "select i as shard_id, i * 1000 as first, (i + 1) * 1000 as end, 1 - i / 12 * 0.01::double as score from range(0, 12) r(i)",
-    "window_offsets": """with s as (select distinct source as dataset, doc_id // 20 as w from documents where lang <> 'fr' or source = 'src2'),
+    "window_offsets": """with s as (select distinct source as dataset, doc_id // 20 as w from documents where doc_id in (select doc_id from labels)),
 p as (select dataset, w, row_number() over (partition by dataset order by w) - 1 as p from s),
-m as (select source as dataset, max(doc_id) + 1 as next_row from documents where lang <> 'fr' or source = 'src2' group by 1)
+m as (select source as dataset, max(doc_id) + 1 as next_row from documents where doc_id in (select doc_id from labels) group by 1)
 select dataset, any_value(next_row) as next_row, count(*) filter (w = p) * 20 as next_offset from p join m using (dataset) group by dataset""",
     "window_reuse_score": """with c as (select source as dataset, doc_id // 100 * 100 as off, lang, count(*) as n, case lang when 'en' then 3 when 'fr' then 2 when 'de' then 1 else 0 end as need from documents group by 1, 2, 3)
 select dataset, off as "offset", sum(least(n, need) * need)::bigint as score, sum(n)::bigint as total from c group by 1, 2""",
@@ -438,3 +442,5 @@ select o_orderpriority, count(*) as n from (select * from u union all select * f
 from customer full join (select distinct o_custkey from orders) on o_custkey = c_custkey group by 1""",
     "config_overrides": "select n_nationkey, case when n_nationkey % 3 = 0 then 'other' else n_name end as n_name, n_regionkey from nation",
 }
+
+ORACLE |= rounds.ORACLE | rounds.round_sql(_module("text"))

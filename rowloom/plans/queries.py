@@ -593,7 +593,9 @@ def shard_refs(spark, sf):
 
 @_query
 def window_offsets(spark, sf):
-    items = _table(spark, sf, "documents").where("lang <> 'fr' or source = 'src2'").select(F.col("source").alias("dataset"), F.col("doc_id").alias("idx"))
+    """Rows seen are the labelled ones."""
+    seen = _table(spark, sf, "documents").join(_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    items = seen.select(F.col("source").alias("dataset"), F.col("doc_id").alias("idx"))
     return lifecycle.next_offsets(items, 20)
 
 
@@ -872,3 +874,6 @@ def verdict_merge(spark, sf):
 def config_overrides(spark, sf):
     over = _table(spark, sf, "nation").where("n_nationkey % 3 = 0").select("n_nationkey", F.lit("other").alias("n_name"))
     return overlap.with_overrides(_table(spark, sf, "nation"), over, "n_nationkey")
+
+
+from . import rounds  # noqa: E402, F401  registers its queries here

@@ -249,7 +249,7 @@ def test_walk_stops_at_cycles_and_follows_last_edges(spark):
 
 
 def test_halton():
-    assert [search_graph.halton(i, 2) for i in (1, 2, 3)] == [0.5, 0.25, 0.75]
+    assert [surrogate.halton(i, 2) for i in (1, 2, 3)] == [0.5, 0.25, 0.75]
 
 
 def test_log_summary_edges(spark):
@@ -443,12 +443,12 @@ def test_surrogate_in_blocks_is_the_same(spark):
     candidates = spark.createDataFrame(points, "candidate_id int, x double, y double")
     samples = spark.createDataFrame(seen, "x double, y double, reward double")
     for block in (1, 2, 5, 200):
-        got = {r.candidate_id: r for r in search_graph.kernel_surrogate(candidates, samples, ["x", "y"], block=block).collect()}
+        got = {r.candidate_id: r for r in surrogate.kernel_surrogate(candidates, samples, ["x", "y"], block=block).collect()}
         assert len(got) == len(points)
         for i, x, y in points:
             w = [math.exp(-((x - a) ** 2 + (y - b) ** 2) / (2 * 0.25**2)) for a, b, _ in seen]
             assert math.isclose(got[i].support, sum(w)) and math.isclose(got[i].expected, sum(v * r for v, (_, _, r) in zip(w, seen)) / sum(w))
-    assert search_graph.kernel_surrogate(candidates.limit(0), samples, ["x", "y"]).count() == 0
+    assert surrogate.kernel_surrogate(candidates.limit(0), samples, ["x", "y"]).count() == 0
 
 
 def test_reservations_end_with_the_decision(spark):
