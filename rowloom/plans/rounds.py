@@ -89,14 +89,15 @@ def _space(spark, sf):
     return templates, samples
 
 
-_AXES = [F.round(a.name, a.digits).alias(a.name) for a in surrogate.AXES]
+def _axes():
+    return [F.round(a.name, a.digits).alias(a.name) for a in surrogate.AXES]
 
 
 @_query
 def continuous_candidates(spark, sf):
     """Distinct candidates of the fourth round."""
     found = surrogate.candidates(*_space(spark, sf), default="a0", round_id=3)
-    return found.select("action_key", *_AXES, "generation", *[F.round(f"s_{a.name}", 6).alias(f"s_{a.name}") for a in surrogate.AXES])
+    return found.select("action_key", *_axes(), "generation", *[F.round(f"s_{a.name}", 6).alias(f"s_{a.name}") for a in surrogate.AXES])
 
 
 @_query
@@ -105,7 +106,7 @@ def continuous_choice(spark, sf):
     templates, samples = _space(spark, sf)
     evidence = templates.select("action_key", (F.col("position") % 5 / 100).alias("evidence"))
     best = surrogate.chosen(templates, samples, "a0", 3, evidence)
-    return best.select("place", "action_key", *_AXES, "generation", *[F.round(c, 6).alias(c) for c in ("support", "expected", "bonus", "cost", "score")], "selected")
+    return best.select("place", "action_key", *_axes(), "generation", *[F.round(c, 6).alias(c) for c in ("support", "expected", "bonus", "cost", "score")], "selected")
 
 
 _HALTON = "list_sum(list_transform(range(0, 7), lambda d: (i + 3) // ({b} ** d)::bigint % {b} / ({b}::double ** (d + 1))))"
