@@ -82,12 +82,18 @@ def _firsts(keyed: DataFrame, order: str) -> DataFrame:
 def screened(rows: DataFrame, rules: Rules, question: Column, answer: Column, order: str, carry: dict[str, Column] | None = None) -> DataFrame:
     """``order``, ``reason`` and the ``carry`` columns of every row, without its texts; see :func:`judge`.
 
-    Rules, hashes and carried columns are computed once and written.
+    Rules are computed once, hashes and carried columns for rows that pass
+    them alone (null for others), and all is written.
     """
-    own = [F.col(order), _failing(rules, question, answer).alias("reason"), *[v.alias(k) for k, v in (carry or {}).items() if k != order]]
+    passed = F.col("_reason").isNull()
+    own = {k: F.when(passed, v) for k, v in (carry or {}).items() if k != order}
+    if rules.dedup:
+        own["_key"] = F.when(passed, _key(rows, rules, question, answer, order))
+    out = rows.withColumn("_reason", _failing(rules, question, answer))
+    out = out.select(order, F.col("_reason").alias("reason"), *[v.alias(k) for k, v in own.items()])
     if not rules.dedup:
-        return rows.select(*own)
-    keyed = written(rows.select(*own, _key(rows, rules, question, answer, order).alias("_key")), "screened")
+        return out
+    keyed = written(out, "screened")
     return _marked(keyed, _firsts(keyed, order), order)
 
 
