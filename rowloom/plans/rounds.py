@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, quotas, sampling, search_graph, surrogate
+from ..sources import catalog, windows
 from .queries import _query, _table
 
 ORACLE: dict[str, str] = {}
@@ -241,3 +242,47 @@ def bucket_oversample(spark, sf):
 ORACLE["bucket_oversample"] = """with d as (select doc_id, lang, coalesce(lang = 'de', false) as own, row_number() over (partition by coalesce(lang = 'de', false) order by md5('bucket:' || doc_id)) as p from documents),
 a as (select count(*) as n from d where own and p <= 140)
 select doc_id, lang from d, a where p <= case when own then 140 else 200 - n end"""
+
+
+@_query
+def raw_window_accepted(spark, sf):
+    """From raw row 150 on, the first 400 documents of more than 300 characters that are not French."""
+    rows, facts = windows.raw_window(spark, f"{sf}/documents.parquet", 150, 400, (F.col("lang") != "fr") & (F.col("n_chars") > 300))
+    return rows.select("position", "doc_id", F.lit(facts["processed"]).cast("long").alias("processed"), F.lit(facts["exhausted"]).alias("exhausted"))
+
+
+ORACLE["raw_window_accepted"] = """with d as (select doc_id, lang, n_chars, row_number() over (order by doc_id) - 1 as position from documents),
+a as (select *, row_number() over (order by position) as k from d where position >= 150 and lang <> 'fr' and n_chars > 300),
+e as (select count(*) < 400 as exhausted, case when count(*) < 400 then (select count(*) from d) else max(position) filter (where k = 400) + 1 end as stop from a)
+select position, doc_id, stop - 150 as processed, exhausted from a, e where k <= 400"""
+
+
+@_query
+def catalog_search(spark, sf):
+    """Parts by name, type and brand; each brand asks for its first part, every other one with a word that no part has."""
+    p = _table(spark, sf, "part")
+    brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    text = F.concat_ws(" ", "p_name", "p_type")
+    first = p.groupBy("p_brand").agg(F.min_by(F.concat_ws(" ", "p_name", F.lower("p_type")), "p_partkey").alias("q"))
+    asked = first.select(F.col("p_brand").alias("query_id"), F.concat("q", F.when(brand % 2 == 0, " missing").otherwise("")).alias("query"))
+    entries = p.select(F.col("p_partkey").cast("string").alias("name"), F.col("p_partkey").alias("position"), text.alias("text"))
+    return catalog.search(entries, asked, 12)
+
+
+_STOP = ", ".join(f"'{w}'" for w in catalog.STOP_WORDS)
+ORACLE["catalog_search"] = f"""with f as (select p_brand, arg_min(p_name || ' ' || lower(p_type), p_partkey) as q from part group by 1),
+q as (select p_brand as query_id, q || case when regexp_extract(p_brand, '(\\d+)', 1)::int % 2 = 0 then ' missing' else '' end as query from f),
+k as (select *, list_filter(string_split_regex(lower(trim(query)), '\\s+'), lambda t: t <> '' and t not in ({_STOP}) and length(t) > 1) as w from q),
+v as (select query_id, list_concat([query], case when len(w) >= 2 then [array_to_string(w, ' ')] else [] end,
+  case when len(w) >= 3 then [array_to_string(w[1:2], ' '), array_to_string(w[-2:], ' ')] else [] end) as vs from k),
+u as (select query_id, i - 1 as variant, vs[i] as query from (select query_id, vs, unnest(range(1, len(vs) + 1)) as i from v) where list_position(vs, vs[i]) = i),
+e as (select p_partkey as position, string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+') as words from part),
+r as (select query_id, dense_rank() over (partition by query_id order by variant) - 1 as variant, query from u),
+h as (select query_id, variant, position, row_number() over (partition by query_id, variant order by position) as p
+  from r join e on list_has_all(e.words, list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda x: x <> ''))),
+m as (select * from h where p <= case when variant = 0 then 12 else 6 end),
+c as (select query_id, variant, coalesce(sum(count(*)) over (partition by query_id order by variant rows between unbounded preceding and 1 preceding), 0) as before,
+  min(variant) over (partition by query_id) as least from m group by query_id, variant),
+o as (select query_id, position, min(variant) as variant from m join c using (query_id, variant) where before < 12 and (least > 0 or variant = 0) group by 1, 2),
+z as (select *, row_number() over (partition by query_id order by variant, position) as place from o)
+select query_id, position::varchar as name, variant, place from z where place <= 12"""
