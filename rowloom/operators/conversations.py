@@ -20,6 +20,10 @@ SPOKEN = {
     "assistant": ("assistant", "gpt", "bot", "model", "completion", "response"),
 }
 TURNS = "array<struct<role:string,content:string>>"
+# Columns that hold conversations, in order; where a turn's speaker and text stand; lists inside an object.
+FIELDS = ("messages", "conversations", "conversation", "dialogue", "dialog", "chat", "turns", "chosen")
+ROLE_KEYS, CONTENT_KEYS = ("role", "from", "speaker"), ("content", "value", "text")
+NESTED = ("messages", "conversations", "conversation", "turns")
 
 
 def pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -84,6 +88,69 @@ def literal_turns(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("turns", F.coalesce(parsed, F.from_json(other(F.when(parsed.isNull(), F.col(column))), TURNS)))
 
 
+_MAP = "map<string,string>"
+
+
+def _listed(text: Column) -> Column:
+    """Turns of JSON as texts: the items of a list, or of the first list that an object has under a known name."""
+    held = lambda inner: F.coalesce(*[F.from_json(F.try_element_at(inner, F.lit(k)), "array<string>") for k in NESTED])
+    return F.coalesce(F.from_json(text, "array<string>"), T.once(F.from_json(text, _MAP), held))
+
+
+def said(items: Column) -> Column:
+    """(role, content) of turns as texts: objects by their speaker and text, others without a role."""
+
+    def turn(item: Column, keys: Column) -> Column:
+        get = lambda k: F.try_element_at(keys, F.lit(k))
+        role = F.lower(T.strip(F.coalesce(*[get(k) for k in ROLE_KEYS], F.lit(""))))
+        body = F.coalesce(*[F.nullif(T.strip(get(k)), F.lit("")) for k in CONTENT_KEYS], F.lit(""))
+        loose = keys.isNull() & ~F.startswith(F.ltrim(item), F.lit("["))
+        return F.struct(F.when(keys.isNull(), "").otherwise(role).alias("role"), F.when(loose, T.strip(item)).when(keys.isNull(), "").otherwise(body).alias("content"))
+
+    return F.transform(F.filter(items, lambda x: x.isNotNull()), lambda item: T.once(F.from_json(item, _MAP), lambda keys: turn(item, keys)))
+
+
+def chosen_pair(turns: Column) -> Column:
+    """(question, answer): first user and last assistant text of turns (role, content), null without.
+
+    Without both sides, the first and last of at least two texts that have no
+    known speaker. Blank texts do not count.
+    """
+    of = lambda ts, test: F.transform(F.filter(ts, lambda t: test(t["role"]) & (t["content"] != "")), lambda t: t["content"])
+    sides = lambda ts: F.struct(
+        of(ts, lambda r: r.isin(*SPOKEN["user"])).alias("user"), of(ts, lambda r: r.isin(*SPOKEN["assistant"])).alias("model"),
+        of(ts, lambda r: ~r.isin(*SPOKEN["user"], *SPOKEN["assistant"])).alias("other"),
+    )
+    pair = lambda a, b: F.struct(F.get(a, 0).alias("question"), F.try_element_at(b, F.lit(-1)).alias("answer"))
+    pick = lambda s: F.when((F.size(s["user"]) > 0) & (F.size(s["model"]) > 0), pair(s["user"], s["model"])).when(F.size(s["other"]) >= 2, pair(s["other"], s["other"]))
+    return T.once(turns, lambda ts: T.once(sides(ts), pick))
+
+
+_SPEAKER = rf"(?im)^\s*({'|'.join(r for names in SPOKEN.values() for r in names)})\s*:"
+
+
+def transcript_pair(text: Column) -> Column:
+    """The pair of a text in which lines begin with both sides' names, null for others; those are told by one search."""
+    return F.when(text.rlike(_SPEAKER), chosen_pair(transcript_turns(T.strip(text))))  # its turns all have a side
+
+
+def conversation_pair(rows: DataFrame, column: str, literals: bool = True) -> Column:
+    """The pair of a column that holds a transcript, JSON, a Python literal, or a list or object of turns.
+
+    Only texts that open like a literal and are no JSON go to Python.
+    """
+    from pyspark.sql.types import StringType
+
+    if not isinstance(rows.schema[column].dataType, StringType):
+        return chosen_pair(said(_listed(F.to_json(column)))) if rows.schema[column].dataType.typeName() in ("array", "struct", "map") else F.lit(None).cast("struct<question:string,answer:string>")
+    text = T.strip(F.col(column))
+    own = _listed(text)
+    if literals:
+        other = F.pandas_udf(lambda s: pd.Series([_literal(x) for x in s]), StringType())
+        own = F.coalesce(own, _listed(other(F.when(own.isNull() & text.rlike(r"^[\[({]"), text))))
+    return F.coalesce(transcript_pair(text), chosen_pair(said(own)))
+
+
 def sft_samples(rows: DataFrame, questions: list[str], answers: list[str], template: str = "", keep: list[str] | None = None) -> DataFrame:
     """instruction and output from columns joined by line feeds; rows with a blank side go.
 

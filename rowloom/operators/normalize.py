@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import identity as I
 from ..functions import text as T
+from . import conversations
 
 # Column names that hold no text of a question or answer.
 METADATA_NAMES = (
@@ -30,7 +31,12 @@ TEMPLATE_MARKS = (
 
 @dataclass(frozen=True)
 class Fields:
-    """Which columns play which part; empty names are unknown."""
+    """Which columns play which part; empty names are unknown.
+
+    ``kind``: flat (no conversations are looked for), conversation (in every
+    column) or empty (in every column if one of the named ones is a usual
+    place of conversations). ``conversation`` names their column.
+    """
 
     question: str
     answer: str = ""
@@ -40,6 +46,8 @@ class Fields:
     row_id: str = ""
     style: str = ""
     method: str = "gold"
+    conversation: str = ""
+    kind: str = ""
 
 
 def _has(text: Column, marks: tuple[str, ...]) -> Column:
@@ -60,34 +68,78 @@ def without_fallback_schemas(questions: DataFrame, reason: str, usable: str) ->
     return questions.where(~bad)
 
 
+def _metadata(name: str) -> bool:
+    return name.strip().lower() in METADATA_NAMES
+
+
+def said_pair(rows: DataFrame, fields: Fields, skip: tuple[str, ...] = ()) -> Column:
+    """(question, answer) of a conversation inside a row, null if there is none.
+
+    First that of the conversation column; without one, of the first column
+    that holds a conversation, usual places first, if the schema points at
+    conversations. Then, unless the schema is flat, that of the first column
+    with a transcript. A pair needs a valid question and an answer.
+    """
+    none = F.lit(None).cast("struct<question:string,answer:string>")
+    names = [c for c in rows.columns if c not in skip]
+    low = {c: c.strip().lower() for c in names}
+    good = lambda pair: T.once(pair, lambda p: F.when(T.is_valid_question(p["question"]) & (p["answer"] != ""), p))
+    named = {n.strip().lower() for n in (fields.question, fields.answer, fields.rollout, fields.train) if n}
+    if fields.conversation:
+        spoken = good(conversations.conversation_pair(rows, fields.conversation)) if fields.conversation in names and not _metadata(fields.conversation) else none
+    elif fields.kind == "conversation" or (fields.kind != "flat" and named & set(conversations.FIELDS)):
+        usual = [c for f in conversations.FIELDS for c in names if low[c] == f]
+        usual = usual or [c for c in names if not _metadata(c) and not low[c].endswith("_id") and any(f in low[c] for f in conversations.FIELDS)]
+        order = [*usual[:1], *[c for c in names if c not in usual[:1]]]
+        first = F.coalesce(*[conversations.conversation_pair(rows, c).alias("p") for c in order], none)
+        spoken = good(first)
+    else:
+        spoken = none
+    if fields.kind == "flat":
+        return spoken
+    usual = [c for f in ("text", "prompt", "conversation", "messages") for c in names if low[c] == f][:1]
+    texts = [c for c in [*usual, *[c for c in names if c not in usual]] if not _metadata(c) and not low[c].endswith("_id") and dict(rows.dtypes)[c] == "string"]
+    return F.coalesce(spoken, good(F.coalesce(*[conversations.transcript_pair(F.col(c)) for c in texts], none)))
+
+
 def canonical(rows: DataFrame, fields: Fields, dataset: str, index: str, subset: str = "", split: str = "") -> DataFrame:
     """Question rows: one projection and one filter.
 
-    Rows go if the question is not valid, if a gold answer is due and there is
-    none or a serialized chat, or if a judged row has no output. A formal proof
-    as the gold answer makes a judged row of one with an output.
+    A conversation inside a row becomes a worked pair, see :func:`said_pair`.
+    Other rows go if the question is not valid, if a gold answer is due and
+    there is none or a serialized chat, or if a judged row has no output. A
+    formal proof as the gold answer makes a judged row of one with an output.
     """
     names = {fields.answer, fields.rollout or fields.answer, fields.train or fields.answer}
-    if fields.question in names or fields.question.strip().lower() in METADATA_NAMES:
-        rows = rows.limit(0)
+    flat = bool(fields.question) and fields.question not in names and not _metadata(fields.question)
     text = lambda c: T.strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c else F.lit("")
-    answer_is_data = fields.answer.strip().lower() not in METADATA_NAMES
+    answer_is_data = not _metadata(fields.answer)
     row_id = F.coalesce(F.nullif(text(fields.row_id), F.lit("")), F.col(index).cast("string"))
     q, a = text(fields.question), text(fields.answer)
     rollout, train = text(fields.rollout or fields.answer), text(fields.train or fields.answer)
-    base = rows.select(q.alias("q"), a.alias("a"), rollout.alias("r"), train.alias("t"), text(fields.dedup or fields.question).alias("k"), row_id.alias("id"))
-    proof = (T.is_proof_code(F.col("a")) | T.is_proof_code(F.col("r"))) & (F.col("t") != "") & F.lit("proof" in (fields.answer + fields.rollout).lower())
+    pair = said_pair(rows, fields, skip=(index,))
+    base = rows.select(q.alias("q"), a.alias("a"), rollout.alias("r"), train.alias("t"), text(fields.dedup or fields.question).alias("k"), text(fields.dedup).alias("pk"), row_id.alias("id"), pair.alias("p"))
+    said = F.col("p").isNotNull()
+    proof = ~said & (T.is_proof_code(F.col("a")) | T.is_proof_code(F.col("r"))) & (F.col("t") != "") & F.lit("proof" in (fields.answer + fields.rollout).lower())
     base = base.withColumns({"a": F.when(proof, "").otherwise(F.col("a")), "r": F.when(proof, "").otherwise(F.col("r")), "judged": proof})
     gold = F.coalesce(F.nullif("a", F.lit("")), F.col("r"))
     judged = (gold == "") & (F.col("judged") | F.lit(fields.method == "llm_judge") | (F.col("t") != ""))
-    good = T.is_valid_question(F.col("q")) & F.when(judged, F.col("t") != "").otherwise((gold != "") & ~T.is_serialized_chat(gold) & F.lit(answer_is_data))
+    good = F.lit(flat) & T.is_valid_question(F.col("q")) & F.when(judged, F.col("t") != "").otherwise((gold != "") & ~T.is_serialized_chat(gold) & F.lit(answer_is_data))
+    base = base.where(said | good).withColumns(
+        {
+            "judged": ~said & judged,
+            "k": F.when(said, F.col("pk")).otherwise(F.col("k")),
+            "q": F.when(said, F.col("p.question")).otherwise(F.col("q")),
+            **{c: F.when(said, F.col("p.answer")).otherwise(F.col(c)) for c in ("a", "r", "t")},
+        }
+    )
     other = F.coalesce(F.nullif("r", F.lit("")), F.col("a"))
-    style = T.target_style(F.col("t"), other, F.lit(fields.style or None).cast("string"))
-    return base.where(good).select(
+    style = F.when(said, "cot").otherwise(T.target_style(F.col("t"), other, F.lit(fields.style or None).cast("string")))
+    return base.select(
         T.question_id(*[F.lit(p) for p in (dataset, subset, split) if p], F.col("id")).alias("question_id"),
         F.col("q").alias("question_text"), gold.alias("gold_answer"), other.alias("rollout_gold_answer"),
         F.coalesce(F.nullif("t", F.lit("")), other).alias("train_output"), style.alias("target_style"),
-        F.when(judged, "llm_judge").otherwise("gold").alias("evaluation_method"), judged.alias("needs_judge"),
+        F.when(F.col("judged"), "llm_judge").otherwise("gold").alias("evaluation_method"), F.col("judged").alias("needs_judge"),
         F.coalesce(F.nullif("k", F.lit("")), F.col("q")).alias("dedup_key"), F.lit(dataset).alias("source_dataset_id"),
         F.lit(subset).alias("source_dataset_subset"), F.lit(split).alias("source_dataset_split"), F.col("id").alias("source_dataset_row_id"),
         I.text_hash(F.col("q")).alias("text_hash"),

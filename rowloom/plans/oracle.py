@@ -443,4 +443,4 @@ from customer full join (select distinct o_custkey from orders) on o_custkey = c
     "config_overrides": "select n_nationkey, case when n_nationkey % 3 = 0 then 'other' else n_name end as n_name, n_regionkey from nation",
 }
 
-ORACLE |= rounds.ORACLE | rounds.round_sql(_module("text"))
+ORACLE |= rounds.ORACLE | rounds.round_sql(_module("text")) | rounds.pairs_sql(_PAIRS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, quotas, sampling, search_graph, surrogate
+from ..operators import conversations, dedup, normalize, quotas, sampling, search_graph, surrogate
 from ..sources import catalog, windows
 from .queries import _query, _table
 
@@ -286,3 +286,23 @@ c as (select query_id, variant, coalesce(sum(count(*)) over (partition by query_
 o as (select query_id, position, min(variant) as variant from m join c using (query_id, variant) where before < 12 and (least > 0 or variant = 0) group by 1, 2),
 z as (select *, row_number() over (partition by query_id order by variant, position) as place from o)
 select query_id, position::varchar as name, variant, place from z where place <= 12"""
+
+
+@_query
+def repaired_conversations(spark, sf):
+    """Conversations as JSON, inside an object, as transcripts and as two columns become the same rows."""
+    c, q, a = F.col("conv_id"), F.col("question"), F.col("answer")
+    turns = lambda r, t: F.to_json(F.array(F.struct(F.lit("system").alias(r), F.lit("rules").alias(t)), F.struct(F.lit("User").alias(r), q.alias(t)), F.struct(F.lit("assistant").alias(r), a.alias(t))))
+    messages = F.when(c % 4 == 0, turns("role", "content")).when(c % 4 == 1, F.concat(F.lit('{"id": 1, "conversations": '), turns("from", "value"), F.lit("}")))
+    spoken = F.concat(F.lit("Preface\nUser: "), q, F.lit("\nGPT : "), a)
+    rows = conversations.pairs(_table(spark, sf, "conversations")).select(
+        c, messages.alias("messages"), F.when(c % 4 == 2, spoken).alias("note"), F.when(c % 4 == 3, q).alias("ask"), F.when(c % 4 == 3, a).alias("reply")
+    )
+    out = normalize.canonical(rows, normalize.Fields(question="ask", answer="reply", train="messages"), "chats", "conv_id")
+    return out.select("question_id", F.md5("question_text").alias("question_md5"), F.md5("gold_answer").alias("answer_md5"), "evaluation_method")
+
+
+def pairs_sql(pairs: str) -> dict[str, str]:
+    """SQL of the repaired conversations, given that of their pairs (p)."""
+    return {"repaired_conversations": f"""with {pairs}
+select 'chats_' || conv_id as question_id, md5(question) as question_md5, md5(answer) as answer_md5, 'gold' as evaluation_method from p"""}
