@@ -127,3 +127,27 @@ def needs_rerollout(accuracy: Column, cached: Column, age: Column, gain: float,
     """Whether labels are stale: accuracy rose by ``gain``, or they are ``every`` rounds old."""
     better = (accuracy - cached) >= gain
     return (better | (age >= every)) if every else better
+
+
+def focus_counts(failures: DataFrame, module: str = "module") -> DataFrame:
+    """Failures by module; those without a known one do not count."""
+    known = F.coalesce(F.col(module), F.lit(""))
+    return failures.where((known != "") & (known != "unknown")).groupBy(F.col(module).alias("module")).agg(F.count("*").alias("n"))
+
+
+def set_error(questions: DataFrame, verdicts: DataFrame, key: str, order: str, most: int = 50) -> DataFrame:
+    """``errors``, ``error_rate`` and ``n`` over the first ``most`` questions; one without a verdict (key, correct) is an error.
+
+    No questions make no errors.
+    """
+    first = questions.orderBy(order).limit(most).select(key)
+    one = first.join(verdicts.groupBy(key).agg(F.max("correct").alias("correct")), key, "left")
+    out = one.agg(F.count_if(~F.coalesce("correct", F.lit(False))).alias("errors"), F.count("*").alias("n"))
+    return out.select("errors", F.coalesce(F.try_divide("errors", "n"), F.lit(0.0)).alias("error_rate"), "n")
+
+
+def set_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``forgetting`` (rise of the error rate on what was known) and ``gain`` (its fall on new questions), of one-row tables (old_error, new_error)."""
+    a = before.select(F.col("old_error").alias("_o"), F.col("new_error").alias("_n"))
+    both = a.withColumn("_one", F.lit(1)).join(after.withColumn("_one", F.lit(1)), "_one")
+    return both.select(F.greatest(F.lit(0.0), F.col("old_error") - F.col("_o")).alias("forgetting"), (F.col("_n") - F.col("new_error")).alias("gain"))

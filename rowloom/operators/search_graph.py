@@ -67,6 +67,19 @@ def best_edges(edges: DataFrame, k: int, *order: Column) -> DataFrame:
     return edges.orderBy(*order).limit(k)
 
 
+def recent_edges(edges: DataFrame, n: int = 3, round_id: str = "round_id", order: str = "seq") -> DataFrame:
+    """The last ``n`` edges by round, later ones first; an edge without a round is the oldest."""
+    return edges.orderBy(F.coalesce(round_id, F.lit(-1)).desc(), F.col(order).desc()).limit(n)
+
+
+def edge_summary(edges: DataFrame, action: str = "action_key", forgetting: str = "forgetting", above: float = 0.5) -> DataFrame:
+    """Per action: edges, mean and best reward, the last round, and edges that forgot more than ``above``."""
+    return edges.where(F.coalesce(F.col(action), F.lit("")) != "").groupBy(action).agg(
+        F.count("*").alias("edges"), F.avg("reward").alias("mean_reward"), F.max("reward").alias("best_reward"), F.max("round_id").alias("last_round"),
+        F.count_if(F.col(forgetting) > above).alias("forgot"),
+    )
+
+
 def top_cards(nodes: DataFrame, edges: DataFrame, n_nodes: int, n_edges: int) -> DataFrame:
     """The best edges of the best nodes, both by value."""
     top = nodes.orderBy(F.col("value_estimate").desc(), "node_id").limit(n_nodes).select(F.col("node_id").alias("from_node_id"), "value_estimate")

@@ -2,10 +2,44 @@
 
 from __future__ import annotations
 
-from ..functions.text import COT_MARKERS, DIFFICULTY_WORDS, GENERIC_WORDS, MODULES, PROOF_MARKERS
-from ..operators.overlap import TEST_BLOCKING, TRAIN_BLOCKING
-from ..operators.train_log import FAILURES
-from . import rounds
+from . import rounds, states
+
+# Fixed values, written out again: a wrong list in the library is no longer right on both sides.
+COT_MARKERS = (
+    "<think", "</think>", "####", "step by step", "let's solve", "let us solve", "we need", "we have", "therefore", "thus", "so the answer",
+    "solution:", "reasoning", "解：", "解析", "因此", "所以",
+)
+PROOF_MARKERS = (
+    "import ", "theorem ", "lemma ", "example ", "begin", "end", ":=", "#eval", "def ", "by ", "qed", "coq", "lean", "isabelle",
+)
+GENERIC_WORDS = (
+    "huggingface", "hugging", "face", "hf", "dataset", "datasets", "data", "search", "training", "train", "task", "tasks", "improve", "enhance",
+    "increase", "ability", "abilities", "skill", "skills", "problem", "problems", "solving", "for", "with", "to", "of", "in", "the", "and",
+)
+DIFFICULTY_WORDS = (
+    "easy", "medium", "hard", "difficulty", "difficulties", "beginner", "intermediate", "advanced",
+)
+MODULES = {
+    "ratio_rate": ("per", "each", "every", "rate", "miles per", "km/h", "hour", "minute", "second"),
+    "money_cost": ("$", "dollar", "cost", "price", "rent", "paid", "buy", "sold", "profit", "percent off"),
+    "counting_combinatorics": ("how many", "ways", "arrangements", "combinations", "permutations"),
+    "geometry_measurement": ("area", "perimeter", "rectangle", "triangle", "circle", "radius", "volume", "length", "width", "height"),
+    "fraction_percent": ("fraction", "%", "percent", "half", "third", "quarter", "ratio"),
+    "work_time": ("finish", "complete", "together", "alone", "work", "days", "hours"),
+    "age_numbers": ("older", "younger", "age", "years old", "sum of", "difference"),
+}
+TRAIN_BLOCKING = (
+    "active_holdout", "probe_holdout", "external_probe",
+)
+TEST_BLOCKING = (
+    "active_holdout", "probe_holdout", "external_probe", "retired_holdout", "train_seen",
+)
+FAILURES = {
+    "cuda_oom": "(?i)out of memory",
+    'timeout': '(?i)\\btimed out\\b|\\btimeout\\b|time limit exceeded',
+    "no_loadable_model": "(?i)no loadable model|no model can be loaded|could not load .*model|cannot load .*model",
+    'not_found': '(?i)filenotfounderror|no such file or directory|(?:checkpoint|model|artifact).{0,40}\\bnot found\\b',
+}
 
 
 def _strip(t: str) -> str:
@@ -343,7 +377,9 @@ select dataset, question_id from a anti join (select * from it where state <> 'u
     "rollout_cache_split": """with a as (select distinct event_type as dataset, user_id as question_id from events),
 h as (select distinct event_type as dataset, user_id as question_id, true as cached from events where event_id % 3 > 0 and event_id % 5 <> 0)
 select dataset, coalesce(cached, false) as cached, count(*) as n from a left join h using (dataset, question_id) group by 1, 2""",
-    "shard_refs": "select i as shard_id, i * 1000 as first, (i + 1) * 1000 as end, 1 - i / 12 * 0.01::double as score from range(0, 12) r(i)",
+    "shard_refs": """with d as (select source as dataset, count(*) as n from documents group by 1),
+s as (select dataset, n, ceil(n / 30)::bigint as k, unnest(range(0, ceil(n / 30)::bigint)) as i from d)
+select dataset, i as shard_id, i * 30 as "first", least((i + 1) * 30, n) as "end", round(1 - i / k * 0.01::double, 9) as score from s""",
     "window_offsets": """with s as (select distinct source as dataset, doc_id // 20 as w from documents where doc_id in (select doc_id from labels)),
 p as (select dataset, w, row_number() over (partition by dataset order by w) - 1 as p from s),
 m as (select source as dataset, max(doc_id) + 1 as next_row from documents where doc_id in (select doc_id from labels) group by 1)
@@ -443,4 +479,4 @@ from customer full join (select distinct o_custkey from orders) on o_custkey = c
     "config_overrides": "select n_nationkey, case when n_nationkey % 3 = 0 then 'other' else n_name end as n_name, n_regionkey from nation",
 }
 
-ORACLE |= rounds.ORACLE | rounds.round_sql(_module("text")) | rounds.pairs_sql(_PAIRS)
+ORACLE |= rounds.ORACLE | rounds.round_sql(_module("text")) | rounds.pairs_sql(_PAIRS) | states.ORACLE | states.module_sql(_module("text"))

@@ -473,10 +473,11 @@ def metadata_columns(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def _registry(spark, sf, of="o_orderstatus is not null"):
-    """Every order that ``of`` holds for is an event of its customer's question."""
+def _registry(spark, sf, of="true"):
+    """Every order is an event of its customer's question; those that ``of`` does not hold for are released."""
     status = F.element_at(F.array(*[F.lit(s) for s in dedup.STATUS_RANK]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return _table(spark, sf, "orders").where(of).select(
+    status = F.when(F.expr(of), status).otherwise("released")
+    return _table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority")).alias("source_dataset_id"),
         F.lit(None).cast("string").alias("source_dataset_subset"), F.lit(None).cast("string").alias("source_dataset_split"),
         F.col("o_custkey").cast("string").alias("source_dataset_row_id"), F.concat(F.lit("doc_"), "o_custkey").alias("question_id"),
@@ -588,7 +589,8 @@ def rollout_cache_split(spark, sf):
 
 @_query
 def shard_refs(spark, sf):
-    return files.shards(spark, 12, 1000)
+    sizes = _table(spark, sf, "documents").groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("n"))
+    return files.shards(sizes, 30).withColumn("score", F.round("score", 9))
 
 
 @_query
@@ -876,4 +878,4 @@ def config_overrides(spark, sf):
     return overlap.with_overrides(_table(spark, sf, "nation"), over, "n_nationkey")
 
 
-from . import rounds  # noqa: E402, F401  registers its queries here
+from . import rounds, states  # noqa: E402, F401  register their queries here

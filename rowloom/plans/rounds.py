@@ -269,7 +269,7 @@ def catalog_search(spark, sf):
     return catalog.search(entries, asked, 12)
 
 
-_STOP = ", ".join(f"'{w}'" for w in catalog.STOP_WORDS)
+_STOP = "'a', 'an', 'the', 'and', 'or', 'of', 'in', 'to', 'for', 'with', 'is', 'on', 'at', 'by'"
 ORACLE["catalog_search"] = f"""with f as (select p_brand, arg_min(p_name || ' ' || lower(p_type), p_partkey) as q from part group by 1),
 q as (select p_brand as query_id, q || case when regexp_extract(p_brand, '(\\d+)', 1)::int % 2 = 0 then ' missing' else '' end as query from f),
 k as (select *, list_filter(string_split_regex(lower(trim(query)), '\\s+'), lambda t: t <> '' and t not in ({_STOP}) and length(t) > 1) as w from q),

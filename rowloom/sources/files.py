@@ -33,10 +33,12 @@ def window_facts(dataset: str, split: str, offset: int, limit: int, loaded: int)
     return {"window_id": f"{dataset}:{split}:{offset}:{limit}", "offset": offset, "limit": limit, "exhausted": loaded < limit}
 
 
-def shards(spark: SparkSession, n: int, size: int) -> DataFrame:
-    """References to ``n`` shards with falling scores."""
-    i = F.col("id")
-    return spark.range(n).select(i.alias("shard_id"), (i * size).alias("first"), ((i + 1) * size).alias("end"), (1 - i / n * 0.01).alias("score"))
+def shards(sizes: DataFrame, size: int, key: str = "dataset", rows: str = "n") -> DataFrame:
+    """References to the shards of ``size`` rows that tables (key, rows) are cut into, with falling scores."""
+    n = F.ceil(F.col(rows) / size)
+    i = F.col("shard_id")
+    cut = sizes.where(F.col(rows) > 0).select(key, rows, n.alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("shard_id"))
+    return cut.select(key, "shard_id", (i * size).alias("first"), F.least((i + 1) * size, F.col(rows)).alias("end"), (1 - i / F.col("_n") * 0.01).alias("score"))
 
 
 def search_catalog(catalog: DataFrame, queries: list[str], limit: int, name: str = "name", order: str = "position") -> DataFrame:
