@@ -5,7 +5,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rowloom.operators import conversations, dedup, evaluation, filtering, lifecycle, overlap, quotas, rollouts, sampling, search_graph, splits, train_log
+from rowloom.operators import (
+    conversations, dedup, evaluation, filtering, lifecycle, overlap, quotas, rollouts, sampling, search_graph, splits, surrogate, train_log,
+)
 from rowloom.sources import files
 from rowloom.streaming import items
 
