@@ -285,7 +285,7 @@ c as (select query_id, variant, coalesce(sum(count(*)) over (partition by query_
   min(variant) over (partition by query_id) as least from m group by query_id, variant),
 o as (select query_id, position, min(variant) as variant from m join c using (query_id, variant) where before < 12 and (least > 0 or variant = 0) group by 1, 2),
 z as (select *, row_number() over (partition by query_id order by variant, position) as place from o)
-select query_id, position::varchar as name, variant, place from z where place <= 12"""
+select query_id, position::varchar as name, variant::integer as variant, place::integer as place from z where place <= 12"""
 
 
 @_query
