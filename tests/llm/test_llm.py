@@ -230,9 +230,7 @@ def test_templates_catch_new_parameters(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for most in (10**6, 0):
         got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs, bench, most=most).collect()}
-        assert got == {(1, 0): "exact", (2, 0): "reparameterised", (3, 0): "exact", (8, 0): "exact"} or got == {
-            (1, 0): "exact", (2, 0): "reparameterised", (3, 0): "exact"
-        }
+        assert got == {(1, 0): "exact", (2, 0): "reparameterised", (3, 0): "exact"}
     assert plain(decontaminate.decontaminate(docs, bench), "doc_id")[:2] == [(4,), (5,)]
 
 

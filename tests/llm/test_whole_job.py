@@ -251,3 +251,78 @@ def test_an_index_is_opened_again(spark, tmp_path):
         assert got == {i: v for i, v in whole.items() if i % 3 == 2}
     with pytest.raises(ValueError):
         substring_dedup.FingerprintIndex(spark, 7, 3, path=path)
+
+
+def _one_edit(item, own):
+    """Whether some words of ``own`` in a row are ``item`` but for one word."""
+    n = len(item)
+    for a in range(len(own)):
+        for m in (n - 1, n, n + 1):
+            x = own[a : a + m]
+            p = next((i for i, (u, v) in enumerate(zip(item, x)) if u != v), min(n, len(x)))
+            if x == item or len(x) == m and item[p + (m <= n) :] == x[p + (m >= n) :]:
+                return True
+    return False
+
+
+def test_edits_of_short_items_equal_brute_force(spark):
+    rnd = random.Random(11)
+    names = ["".join(rnd.choice("bcdfghklmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(900)]
+    items = {n: rnd.sample(names, n) for n in range(4, 30)}
+    docs = []
+    for n, words in items.items():
+        for k in range(40):
+            own = list(words)
+            for _ in range(k % 4):
+                at, way = rnd.randrange(len(own)), rnd.randrange(3)
+                own[at : at + (way != 1)] = [] if way == 2 else ["zzzz" + rnd.choice("abcd")]
+            before, after = ([f"y{c}{rnd.choice('abc')}" for c in "stuvw"[: rnd.randrange(6)]] for _ in range(2))
+            docs.append((len(docs), before + own + after))
+    want = set()
+    for d, own in docs:
+        have = {tuple(own[i : i + 8]) for i in range(len(own) - 7)}
+        for n, words in items.items():
+            windows = [tuple(words[i : i + 8]) for i in range(max(1, n - 7))]
+            kept = sum(w in have or n < 8 and any(tuple(own[i : i + n]) == w for i in range(len(own))) for w in windows)
+            if 2 * kept >= len(windows) or 9 <= n < 24 and _one_edit(words, own):
+                want.add((d, n))
+    rows = spark.createDataFrame([(d, " ".join(own)) for d, own in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(words)) for n, words in items.items()], "item_id long, text string")
+    for most in (10**6, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(rows, bench, most=most).collect()} == want
+
+
+def test_one_changed_word_at_any_place_of_the_benchmark(spark):
+    rnd = random.Random(9)
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    docs, asked = [], []
+    for r in bench.collect():
+        words = r.text.split()
+        if len(words) >= 9:
+            for at in range(len(words)):
+                for way, edited in enumerate(([*words[:at], "other", *words[at + 1 :]], [*words[:at], "more", *words[at:]], [*words[:at], *words[at + 1 :]])):
+                    around = ["filler" + rnd.choice("abcdefgh") for _ in range(12)]
+                    asked.append((len(docs), r.item_id, len(words), way, 4 * at // len(words)))
+                    docs.append((len(docs), " ".join([*around[:6], *edited, *around[6:]])))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    missed, of = {}, {}
+    for d, item, n, way, place in asked:
+        for group in ((n, way), (place, way)):
+            of[group] = of.get(group, 0) + 1
+            missed[group] = missed.get(group, 0) + ((d, item) not in got)
+    assert all(missed[g] <= 0.1 * of[g] for g in of), {g: (missed[g], of[g]) for g in of if missed[g]}
+    print("missed", sum(missed.values()) // 2, "of", len(docs))
+
+
+def test_numbers_change_beside_one_word_and_ends_at_texts_borders(spark):
+    item = "If Tom has 12 apples and 5 pears how many does he have"
+    rows = {
+        1: item.replace("12", "31").replace("5", "8"), 2: item.replace("12", "31").replace("many", "few"),
+        3: item.replace("If Tom", "Since Ann").replace("12", "31").replace("many", "few"), 4: item.rsplit(" ", 1)[0], 5: item.split(" ", 1)[1],
+        6: item.replace("has", "buys").replace("does", "can"), 7: item.replace("12", "5"), 8: " ".join(item.split()[:7]),
+    }
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    for most in (10**6, 0):
+        got = {r.doc_id: r.kind for r in decontaminate.leaks(docs, bench, most=most).collect()}
+        assert got == {1: "reparameterised", 2: "reparameterised", 4: "exact", 5: "exact", 7: "exact"}
