@@ -87,14 +87,68 @@ def top_cards(nodes: DataFrame, edges: DataFrame, n_nodes: int, n_edges: int) ->
     return edges.join(top, "from_node_id").withColumn("place", place).where(F.col("place") <= n_edges)
 
 
+#: Similarities 1/d at which queries are tried, before those without enough nodes meet all that share a tag.
+_LEVELS = (2, 5, None)
+
+
+def _by_rarity(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """``tags`` with ``rare``: the same, rarest first."""
+    ranked = looked_up(sets.select("tags", F.explode("tags").alias("tag")), counts, "tag", F.col("tag"))
+    one = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tag")
+    return ranked.groupBy("tags").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["tag"]).alias("rare"))
+
+
+def _alike(asked: DataFrame, sets: DataFrame, d: int | None) -> DataFrame:
+    """Pairs (asked_tags, tags) that may have a Jaccard similarity of 1/d; of any similarity for None.
+
+    Sets that are so alike share one of their first tags by rarity, as many as
+    may be missing and one more; and neither has d times as many tags as the other.
+    """
+
+    def first(name):
+        size = F.size("rare")
+        most = size if d is None else size - F.expr(f"(size(rare) + {d - 1}) div {d}").cast("int") + 1
+        return F.explode(F.slice("rare", 1, most)).alias(name)
+
+    left = asked.select(F.col("tags").alias("asked_tags"), first("tag"))
+    pairs = left.join(sets.select("tags", first("tag")), "tag")
+    if d is not None:
+        a, b = F.size("asked_tags"), F.size("tags")
+        pairs = pairs.where((a <= d * b) & (b <= d * a))
+    return pairs.select("asked_tags", "tags").distinct()
+
+
 def tag_similarity(queries: DataFrame, nodes: DataFrame, k: int, tags: str = "tags") -> DataFrame:
-    """The ``k`` nodes most alike each query by Jaccard of their tags; nodes meet by shared tags."""
-    left = queries.select("query_id", F.explode(F.array_distinct(tags)).alias("tag"), F.size(F.array_distinct(tags)).alias("nq"))
-    right = nodes.select("node_id", F.explode(F.array_distinct(tags)).alias("tag"), F.size(F.array_distinct(tags)).alias("nn"))
-    both = left.join(right, "tag").groupBy("query_id", "node_id").agg(F.count("*").alias("both"), F.first("nq").alias("nq"), F.first("nn").alias("nn"))
-    scored = both.withColumn("similarity", F.col("both") / (F.col("nq") + F.col("nn") - F.col("both")))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "node_id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "node_id", "similarity", "place")
+    """The ``k`` nodes most alike each query by Jaccard of their tags, the lesser id on ties; none without a shared tag.
+
+    Equal sets of tags meet once, by their rarest tags at falling
+    similarities, so that a tag that most nodes have pairs few of them: only
+    queries without ``k`` nodes at one level go on to the next. Null tags are
+    none.
+    """
+    own = F.array_sort(F.array_distinct(F.filter(tags, lambda x: x.isNotNull())))
+    asked = queries.select("query_id", own.alias("asked_tags")).where(F.size("asked_tags") > 0)
+    named = nodes.select("node_id", own.alias("tags")).where(F.size("tags") > 0)
+    sizes = written(named.groupBy("tags").agg(F.count("*").alias("n_nodes")), "tag-sets")
+    counts = sizes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    sets = written(_by_rarity(sizes.select("tags"), counts), "tags-by-rarity")
+    left = written(_by_rarity(asked.select(F.col("asked_tags").alias("tags")).distinct(), counts), "asked-by-rarity")
+    done = []
+    for d in _LEVELS:
+        both = F.size(F.array_intersect("asked_tags", "tags"))
+        either = F.size("asked_tags") + F.size("tags") - both
+        close = both * d >= either if d is not None else both > 0
+        hits = _alike(left, sets, d).where(close).withColumn("similarity", both / either)
+        hits = written(hits.join(sizes, "tags"), "alike")
+        enough = hits.groupBy("asked_tags").agg(F.sum("n_nodes").alias("n")).where(F.col("n") >= k if d is not None else F.lit(True))
+        done.append(hits.join(enough.select("asked_tags"), "asked_tags", "left_semi"))
+        left = written(left.join(enough, left["tags"] == enough["asked_tags"], "left_anti"), "asked-still")
+    found = done[0].unionByName(done[1]).unionByName(done[2])
+    least = F.row_number().over(Window.partitionBy("tags").orderBy("node_id"))  # no set gives more than k of its nodes
+    members = named.withColumn("_least", least).where(F.col("_least") <= k).select("tags", "node_id")
+    place = F.row_number().over(Window.partitionBy("asked_tags").orderBy(F.col("similarity").desc(), "node_id"))
+    best = found.join(members, "tags").withColumn("place", place).where(F.col("place") <= k)
+    return asked.join(best, "asked_tags").select("query_id", "node_id", "similarity", "place")
 
 
 def parents(edges: DataFrame) -> DataFrame:
