@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rounds, states
+from . import nested, rounds, states
 
 # Fixed values, written out again: a wrong list in the library is no longer right on both sides.
 COT_MARKERS = (
@@ -479,4 +479,4 @@ from customer full join (select distinct o_custkey from orders) on o_custkey = c
     "config_overrides": "select n_nationkey, case when n_nationkey % 3 = 0 then 'other' else n_name end as n_name, n_regionkey from nation",
 }
 
-ORACLE |= rounds.ORACLE | rounds.round_sql(_module("text")) | rounds.pairs_sql(_PAIRS) | states.ORACLE | states.module_sql(_module("text"))
+ORACLE |= nested.ORACLE | rounds.ORACLE | rounds.round_sql(_module("text")) | rounds.pairs_sql(_PAIRS) | states.ORACLE | states.module_sql(_module("text"))

@@ -878,4 +878,4 @@ def config_overrides(spark, sf):
     return overlap.with_overrides(_table(spark, sf, "nation"), over, "n_nationkey")
 
 
-from . import rounds, states  # noqa: E402, F401  register their queries here
+from . import nested, rounds, states  # noqa: E402, F401  register their queries here
