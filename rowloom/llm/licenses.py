@@ -12,6 +12,16 @@ order, and those that it puts between. Up to ``DIFFERENT`` of the template's
 words may differ, but no version number and no word that tells variants apart.
 A block that its template confirms only as a whole is returned whole.
 
+Names with their versions (``MIT License``, ``CC BY-SA 4.0``), whatever their
+case, and identifiers behind ``SPDX-License-Identifier:``, each of an
+expression, are templates of a few words, all of which must be there. They are
+looked for by their first words, compressed with what they cover, and returned
+as ``<id>-name`` and ``<id>-spdx`` where no confirmed notice holds them; of
+names that start at one word, the longest. A name of a few bytes may have no
+reduction; its words alone confirm it. Short templates are also part of
+longer ones (the first words of BSD-3-Clause-full are BSD-3-Clause): both are
+returned.
+
 Places are code points, end exclusive. Null and empty texts have no blocks,
 blocks that no template confirms are not returned. Templates that shorten a
 block equally go by name. Repeated rows get equal results, an empty table
@@ -37,7 +47,7 @@ from ._shared import small_batches
 
 GAP = 2
 DIFFERENT = 0.15
-_TRIGGER = r"(?i)licen[cs]e|copyright|permission is hereby|redistribution|warrant(?:y|ies)|all rights reserved|public domain"
+_TRIGGER = r"(?i)licen[cs]e|copyright|permission is hereby|redistribution|warrant(?:y|ies)|all rights reserved|public domain|\bcc[ -](?:by|0)|\bcc0\b|creative commons|\b[al]?gpl"
 
 # Wording of public license notices, by SPDX identifier.
 _MIT = (
@@ -148,6 +158,41 @@ TEMPLATES |= {
     for k, name in _CC.items()
     for v, scope in _CC_VERSIONS.items()
 }
+# Usual names of licenses, by identifier.
+_NAMES = {
+    "MIT": ["MIT License", "MIT Licence"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache License v2.0", "Apache Software License 2.0", "Apache 2.0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause"],
+    "ISC": ["ISC License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL-2.0", "MPL 2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0", "Eclipse Public License - v 2.0", "EPL-2.0"],
+    "Unlicense": ["The Unlicense"],
+    "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"],
+    "Zlib": ["zlib License"],
+    "CC0-1.0": ["CC0 1.0", "CC0-1.0"],
+}
+# Names, short names and versions of the GNU licenses; versions of Creative Commons.
+_GNU_NAMES = {
+    "GPL": ("GNU General Public License", ("1.0", "2.0", "3.0")), "LGPL": ("GNU Lesser General Public License", ("2.1", "3.0")),
+    "AGPL": ("GNU Affero General Public License", ("3.0",)),
+}
+_CC_ALL = ("1.0", "2.0", "2.5", "3.0", "4.0")
+for _short, (_long, _all) in _GNU_NAMES.items():
+    for _v in _all:
+        _forms = {_v, _v.removesuffix(".0")}
+        _NAMES[f"{_short}-{_v}"] = [
+            x
+            for v in sorted(_forms)
+            for x in (f"{_long} v{v}", f"{_long} {v}", f"{_long} version {v}", f"{_long} as published by the Free Software Foundation version {v}",
+                      f"{_short}v{v}", f"{_short} v{v}", f"{_short}-{v}", f"{_short} {v}", f"{_short} version {v}")
+        ]
+for _part, _long in _CC.items():
+    for _v in _CC_ALL:
+        _NAMES[f"CC-{_part}-{_v}"] = [f"CC {_part} {_v}", f"CC-{_part} {_v}", f"CC-{_part}-{_v}", f"Creative Commons {_long} {_v}"]
+_TAG = "spdx-license-identifier"
+#: Identifiers of tags, in lower case.
+_TAGGED = {k.lower(): k for k in (*_NAMES, "MIT-0", *(f"{k}-{x}" for k in _NAMES if "GPL" in k for x in ("only", "or-later")))}
 #: Words that no difference may touch: versions of a template's, and what tells variants apart.
 _VERSION = re.compile(r"v?\d{1,2}(?:\.\d+)*")
 _VARIANT = re.compile(r"sharealike|noncommercial|noderiv|lesser|affero|(?:^|-)(?:nc|nd|sa)(?:-|$)")
@@ -239,6 +284,51 @@ def _extra(step: tuple) -> int:
     return (step[4] - step[3]) - (step[2] - step[1])
 
 
+@lru_cache(maxsize=1)
+def _by_first() -> dict[str, list[tuple[list[str], str]]]:
+    """Words and identifiers of names by their first word, longer names first."""
+    out: dict[str, list[tuple[list[str], str]]] = {}
+    for k, names in _NAMES.items():
+        for words in map(_words, names):
+            out.setdefault(words[0], []).append((words, k))
+    return {w: sorted(names, key=lambda x: (-len(x[0]), x[1])) for w, names in out.items()}
+
+
+@lru_cache(maxsize=1024)
+def _shortening(template: str) -> zstandard.ZstdCompressor:
+    raw = zstandard.ZstdCompressionDict(template.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=3, dict_data=raw)
+
+
+def _named(text: str, places: list[tuple[int, int]], low: list[str]) -> list[tuple[int, int, str, float, int, int, str]]:
+    """Names and tags among some words of a text."""
+    plain, found = _compressors()[0], []
+
+    def keep(i: int, j: int, name: str, template: list[str]) -> None:
+        a, b = places[i][0], places[j - 1][1]
+        raw = " ".join(low[i:j]).encode()
+        found.append((a, b, name, 1 - len(_shortening(" ".join(template)).compress(raw)) / len(plain.compress(raw)), j - i, 0, ""))
+
+    i = 0
+    while i < len(low):
+        if low[i] == _TAG:
+            start, j = i, i + 1
+            while j < len(low) and "\n" not in text[places[j - 1][1] : places[j][0]]:
+                if low[j] in _TAGGED:
+                    keep(start, j + 1, f"{_TAGGED[low[j]]}-spdx", [_TAG, low[j]] if start == i else [low[j]])
+                j += 1
+                if j >= len(low) or low[j] not in ("or", "and", "with"):
+                    break
+                start = j = j + 1
+            i = max(j, i + 1)
+            continue
+        hit = next(((w, k) for w, k in _by_first().get(low[i], ()) if low[i : i + len(w)] == w), None)
+        if hit:
+            keep(i, i + len(hit[0]), f"{hit[1]}-name", hit[0])
+        i += len(hit[0]) if hit else 1
+    return found
+
+
 def notices(text: str) -> list[tuple[int, int, str, float, int, int, str]]:
     """Confirmed templates of a text with their places."""
     _, by, wording = _compressors()
@@ -252,12 +342,13 @@ def notices(text: str) -> list[tuple[int, int, str, float, int, int, str]]:
             wide[-1][1] = max(hi, wide[-1][1])
         else:
             wide.append([lo, hi])
-    found = []
+    found, named = [], []
     for first, last in wide:
         if first == last:
             continue
         low = [text[a:b].lower() for a, b in places[first:last]]
         counts = Counter(low)
+        named += _named(text, places[first:last], low)
         for _, name in _ranked(text[places[first][0] : places[last - 1][1]]):
             todo = [(first, last)] if _can_hold(wording[name], counts) else []
             while todo:
@@ -274,7 +365,8 @@ def notices(text: str) -> list[tuple[int, int, str, float, int, int, str]]:
                 if confirmed and reduction > 0:
                     found.append((a, b, name, reduction, *confirmed))
     whole = [(a, b, *v) for a, b in spans for v in judge(text[a:b])]
-    return found + [x for x in whole if not any(y[2] == x[2] and y[0] < x[1] and x[0] < y[1] for y in found)]
+    found += [x for x in whole if not any(y[2] == x[2] and y[0] < x[1] and x[0] < y[1] for y in found)]
+    return found + [x for x in named if not any(y[0] <= x[0] and x[1] <= y[1] for y in found)]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
