@@ -9,7 +9,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import ranked
 
 # Passes out of eight that make a question easy or medium, before and from round 5.
 THRESHOLDS = {"early": (5, 2), "late": (8, 4)}
@@ -118,17 +119,10 @@ def accuracy(predictions: DataFrame, *by: str) -> DataFrame:
 
 
 def shard(rows: DataFrame, order: str, shards: int) -> DataFrame:
-    """``shard`` 0.. of contiguous rows of nearly equal number.
+    """``shard`` 0.. of contiguous rows of nearly equal number, null ``order`` last.
 
-    Ranks are taken within ranges of ``order``, whose sizes the driver adds up, so no task sees all rows.
+    Places come from ranges that are cut and written once (:func:`ranks.ranked`): ranges cut again are others.
     """
-    sliced = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    sizes = {r[0]: r[1] for r in sliced.groupBy("_part").count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    if not total:
-        return rows.withColumn("shard", F.lit(0).cast("long"))
-    start = F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)])
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + start[F.col("_part")]
-    return sliced.withColumn("shard", F.floor(place * shards / total).cast("long")).drop("_part")
+    placed, sizes = ranked(rows.withColumn("_by", F.struct(F.col(order).isNull(), F.col(order))), [], "_by")
+    out = placed.crossJoin(F.broadcast(sizes.withColumnRenamed("n", "_total"))).withColumn("shard", F.expr(f"(_place - 1) * {int(shards)} div _total"))
+    return out.select(*rows.columns, "shard")

@@ -102,6 +102,20 @@ def test_shards_are_balanced(spark):
     assert [r[1] for r in got] == [26, 26, 26, 25] and [r[2] for r in got] == [0, 26, 52, 78]
 
 
+def test_shards_of_more_rows_than_a_sample_of_ranges(spark):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    ids = spark.range(0, 60_000, 1, 3).select((F.col("id") * 7919 % 60_000).alias("id"), F.lit(1).alias("n"))
+    spark.conf.set(setting, "false")  # ranges of few rows would be one
+    try:
+        got = rollouts.shard(ids, "id", 7)
+        assert got.columns == ["id", "n", "shard"] and got.where(F.col("shard") != F.expr("id * 7 div 60000")).isEmpty() and got.count() == 60_000
+    finally:
+        spark.conf.unset(setting)
+    few = spark.createDataFrame([(None,), (4,), (2,), (2,)], "id int")
+    assert sorted(map(tuple, rollouts.shard(few, "id", 2).collect()), key=repr) == [(2, 0), (2, 0), (4, 1), (None, 1)]
+    assert rollouts.shard(few.limit(0), "id", 2).count() == 0
+
+
 @given(st.dictionaries(st.sampled_from("abcdef"), st.floats(-1, 9), max_size=6), st.integers(0, 60), st.lists(st.integers(0, 30), min_size=6, max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_capped_quotas(weights, total, supply):
