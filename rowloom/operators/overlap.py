@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions import text as T
+from .batches import small_batches
 
 GRAM = 13
 #: Benchmark grams that are sent to the executors at most.
@@ -43,6 +44,7 @@ def gram_overlap(
     the benchmark has at most ``most`` grams, rows keep only grams that it
     has before they are joined.
     """
+    small_batches(rows.sparkSession)
     n = F.lit(width)
     items = bench.where(F.coalesce(F.col(text), F.lit("")) != "").select(
         F.col(item_id).alias("_item"), F.explode(T.char_grams(T.fuzzy(F.col(text)), n)).alias("gram")
@@ -83,8 +85,9 @@ def min_signature(text: Column, width: int = GRAM) -> Column:
 
 
 def signature_split(rows: DataFrame, bench: DataFrame, text: str = "text", width: int = GRAM, hits: bool = False) -> DataFrame:
-    """Rows whose least gram hash no item has; with ``hits``, the others."""
-    least = F.array_min(T.char_grams(T.fuzzy(F.coalesce(F.col(text), F.lit(""))), F.lit(width)))
+    """Rows whose least gram hash no item has; with ``hits``, the others. A worker returns one hash of a text."""
+    small_batches(rows.sparkSession)
+    least = T.least_gram(T.fuzzy(F.coalesce(F.col(text), F.lit(""))), F.lit(width))
     known = bench.select(least.alias("_least")).where(F.col("_least").isNotNull()).distinct()
     return rows.withColumn("_least", least).join(known, "_least", "left_semi" if hits else "left_anti").drop("_least")
 

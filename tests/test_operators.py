@@ -491,3 +491,18 @@ def test_pauses_end_and_are_cleared(spark):
     cleared = spark.createDataFrame([("c", 5.5), ("a", 5.0)], "dataset string, at double")
     assert names(now=6.5, wait=3.0, cleared=cleared) == {"b": 0.5, "c": 2.5}
     assert names(now=6.5, wait=3.0, after=2, cleared=cleared) == {}
+
+
+def test_signatures_come_from_one_hash_a_text_in_small_batches(spark, monkeypatch):
+    from rowloom.functions import text as T
+    from rowloom.operators import batches
+
+    monkeypatch.setattr(T, "_SLICE", 10)  # slices of a text meet no gram twice and leave none out
+    texts = ["", "x" * 12, "x" * 13, "the quick brown fox jumps over the lazy dog é漢字", "0123456789" * 5]
+    assert [T.least_hash(t, 13) for t in [None, *texts]] == [min(T.gram_hashes(t, 13).tolist(), default=None) for t in [None, *texts]]
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(setting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = overlap.signature_split(docs, docs.where("doc_id = 3"))
+    assert rows(out, "doc_id") == [(0,), (1,), (2,), (4,)] and int(spark.conf.get(setting)) <= batches.ROWS
+    assert "char_grams" not in out._jdf.queryExecution().toString()
