@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from .batches import small_batches
 
 Cleaner = Callable[[dict, dict], dict | None]
 CLEANERS: dict[str, Cleaner] = {}
@@ -36,7 +37,8 @@ def _identity(record: dict, context: dict) -> dict:
 
 
 def clean(rows: DataFrame, name: str, context: dict | None = None, position: str = "seq") -> DataFrame:
-    """SCHEMA for every row that the cleaner keeps or fails on; ``error`` tells failures apart."""
+    """SCHEMA for every row that the cleaner keeps or fails on; ``error`` tells failures apart. Rows come in small batches."""
+    small_batches(rows.sparkSession)
     cleaner, own = CLEANERS[name], dict(context or {})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,6 +74,7 @@ def readiness(cleaned: DataFrame) -> DataFrame:
 
 def predict(rows: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], out: str = "prediction") -> DataFrame:
     """``rows`` with a model's texts; the callable gets a batch of prompts."""
+    small_batches(rows.sparkSession)
 
     @F.pandas_udf(StringType())
     def run(prompts: pd.Series) -> pd.Series:

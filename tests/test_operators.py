@@ -506,3 +506,15 @@ def test_signatures_come_from_one_hash_a_text_in_small_batches(spark, monkeypatc
     out = overlap.signature_split(docs, docs.where("doc_id = 3"))
     assert rows(out, "doc_id") == [(0,), (1,), (2,), (4,)] and int(spark.conf.get(setting)) <= batches.ROWS
     assert "char_grams" not in out._jdf.queryExecution().toString()
+
+
+def test_python_gets_few_rows_at_once(spark):
+    from rowloom.operators import batches, cleaning
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(setting)
+    df = spark.range(0, 3_000, 1, 1).select("id", F.concat(F.lit("why "), "id").alias("question_text"), F.lit("x").alias("gold_answer"))
+    assert cleaning.clean(df, "identity", position="id").where("error is null").count() == 3_000 and int(spark.conf.get(setting)) <= batches.ROWS
+    spark.conf.unset(setting)
+    sizes = cleaning.predict(df, "question_text", lambda prompts: [str(len(prompts))] * len(prompts)).select(F.col("prediction").cast("int"))
+    assert sizes.agg(F.max("prediction"), F.count("*")).first() == (batches.ROWS, 3_000)
