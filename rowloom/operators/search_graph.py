@@ -252,8 +252,13 @@ def backpropagate(nodes: DataFrame, path: DataFrame, reward: float) -> DataFrame
 
 
 def retained(rounds: DataFrame, recent: int = 3) -> DataFrame:
-    """Candidates to keep: the champion and the last rounds that were not promoted; the others are reported."""
-    place = F.row_number().over(Window.partitionBy("decision_group").orderBy(F.col("round_id").desc()))
-    grouped = rounds.withColumn("decision_group", F.when(F.col("decision") == "promote", "promote").otherwise("other"))
-    kept = F.when(F.col("decision_group") == "promote", place <= 1).otherwise(place <= recent)
-    return grouped.withColumn("keep", kept).drop("decision_group")
+    """Candidates to keep: the champion and the last rounds that were not promoted; the others are reported.
+
+    ``rounds`` are written once with an id of each row. Every task sends on
+    its own last rounds alone, so that no group meets in one task.
+    """
+    base = written(rounds.withColumn("_id", F.monotonically_increasing_id()), "rounds")
+    champion = F.coalesce(F.col("decision") == "promote", F.lit(False))
+    last = [base.where(c).orderBy(F.col("round_id").desc()).limit(n).select("_id") for c, n in ((champion, 1), (~champion, recent))]
+    kept = last[0].unionByName(last[1]).withColumn("keep", F.lit(True))
+    return base.join(F.broadcast(kept), "_id", "left").withColumn("keep", F.coalesce("keep", F.lit(False))).select(*rounds.columns, "keep")

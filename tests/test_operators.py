@@ -518,3 +518,13 @@ def test_python_gets_few_rows_at_once(spark):
     spark.conf.unset(setting)
     sizes = cleaning.predict(df, "question_text", lambda prompts: [str(len(prompts))] * len(prompts)).select(F.col("prediction").cast("int"))
     assert sizes.agg(F.max("prediction"), F.count("*")).first() == (batches.ROWS, 3_000)
+
+
+def test_no_task_sees_all_candidates(spark):
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(["promote", "hold", None, "promote", "hold", "reject", "hold"])] + [(6, "hold"), (None, "promote")], "round_id int, decision string")
+    out = search_graph.retained(df, 3)
+    assert out.columns == ["round_id", "decision", "keep"] and out.count() == 9
+    kept = sorted(map(tuple, out.where("keep").select("round_id", "decision").collect()))
+    assert kept == [(3, "promote"), (5, "reject"), (6, "hold"), (6, "hold")]
+    assert "Window" not in out._jdf.queryExecution().toString()
+    assert search_graph.retained(df.limit(0)).count() == 0
