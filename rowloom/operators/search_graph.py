@@ -175,35 +175,53 @@ def ancestors(edges: DataFrame, start: str, most: int = 100) -> DataFrame:
     return walk
 
 
-def _jumped(step: DataFrame) -> DataFrame:
-    """``step`` (node_id, up, low, s, c) over twice the way.
+#: Nodes with more pointers to them are sent to the tasks; there is at most one for so many pointers.
+_MANY = 100_000
 
-    ``up`` is the ancestor so many levels above, ``low`` the least node on the
-    way there; ``s`` and ``c`` are sums over the nodes that are fewer levels
-    below. A node that very many have above them is asked for through salts.
-    """
-    below = step.where("up is not null").groupBy(F.col("up").alias("node_id")).agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"))
-    above = step.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"))
-    out = looked_up(step, above, "up", F.col("node_id")).join(below, "node_id", "left")
-    return out.select(
-        "node_id", F.col("_up").alias("up"), F.least("low", "_low").alias("low"),
-        (F.col("s") + F.coalesce("_s", F.lit(0.0))).alias("s"), (F.col("c") + F.coalesce("_c", F.lit(0))).alias("c"),
-    )
 
+def _jumped(step: DataFrame, many: int) -> DataFrame:
+    """``step`` (node_id, up, s, c) over twice the way.
 
-def _subtree_sums(step: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    ``up`` is the ancestor so many levels above; ``s`` and ``c`` are sums over
+    the nodes that are fewer levels below. Pointers to a node that very many
+    have above them meet it where they are; the others are joined.
+    """
+    moving = step.where("up is not null")
+    below = moving.groupBy(F.col("up").alias("node_id")).agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"), F.count("*").alias("_n"))
+    own = step.select(F.col("node_id").alias("up"), F.col("up").alias("_up"))
+    often = below.where(F.col("_n") > many).select(F.col("node_id").alias("up"))
+    hubs = written(own.join(F.broadcast(often), "up", "left_semi"), "hubs")
+    there = F.broadcast(hubs)
+    names = ["node_id", F.col("_up").alias("up"), "s", "c"]
+    far = moving.join(there, "up").select(*names).unionByName(moving.join(there, "up", "left_anti").join(own, "up", "left").select(*names))
+    out = far.unionByName(step.where("up is null")).join(below, "node_id", "left")
+    return out.select("node_id", "up", (F.col("s") + F.coalesce("_s", F.lit(0.0))).alias("s"), (F.col("c") + F.coalesce("_c", F.lit(0))).alias("c"))
+
+
+def _subtree_sums(step: DataFrame, most: int, many: int) -> tuple[DataFrame, bool]:
     """:func:`_jumped` until no node has anything above, or ``most`` times; whether some still have."""
     step = written(step, "step")
     for _ in range(most):
         if step.where("up is not null").isEmpty():
             return step, False
-        further = written(_jumped(step), "step")
+        further = written(_jumped(step, many), "step")
         forget(step)
         step = further
     return step, not step.where("up is not null").isEmpty()
 
 
-def backpropagated(nodes: DataFrame, edges: DataFrame, rewards: DataFrame) -> DataFrame:
+def _rings(on: DataFrame) -> DataFrame:
+    """(node_id, ring): the least node of each node's cycle; ``on`` (node_id, up) has nodes of cycles alone."""
+    step = written(on.select("node_id", "up", F.col("node_id").alias("ring")), "rings")
+    for _ in range(max(1, step.count()).bit_length()):
+        above = step.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("ring").alias("_ring"))
+        further = written(step.join(above, "up").select("node_id", F.col("_up").alias("up"), F.least("ring", "_ring").alias("ring")), "rings")
+        forget(step)
+        step = further
+    return step.select("node_id", "ring")
+
+
+def backpropagated(nodes: DataFrame, edges: DataFrame, rewards: DataFrame, many: int = _MANY) -> DataFrame:
     """``nodes`` after all ``rewards`` (node_id, reward) have gone up: visit counts and running means.
 
     A reward counts for its node and everything above, each node once, up to
@@ -212,21 +230,22 @@ def backpropagated(nodes: DataFrame, edges: DataFrame, rewards: DataFrame) -> Da
     its descendants 2**k levels below have gathered, and its pointer jumps as
     far, so the rounds are the logarithm of the depth and no pairs of node and
     ancestor are made. Cycles are found by pointers that never end; they are
-    cut, and each of their nodes gets the sum of all.
+    cut, and each of their nodes gets the sum of all. Nodes with over ``many``
+    pointers to them at a time are sent to the tasks.
     """
     own = rewards.where(F.col("reward").isNotNull()).groupBy("node_id").agg(F.sum(F.col("reward").cast("double")).alias("s"), F.count("*").alias("c"))
     known = nodes.select("node_id").distinct()
     up = parents(edges).join(known.withColumnRenamed("node_id", "up"), "up", "left_semi")
     start = known.join(up, "node_id", "left").join(own, "node_id", "left")
-    start = written(start.select("node_id", "up", F.col("node_id").alias("low"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("c", F.lit(0)).alias("c")), "tree")
+    start = written(start.select("node_id", "up", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("c", F.lit(0)).alias("c")), "tree")
     most = max(1, start.count()).bit_length() + 1
-    sums, cyclic = _subtree_sums(start, most)
+    sums, cyclic = _subtree_sums(start, most, many)
     if cyclic:
-        # so far up, all that is left stands on a cycle; the ways went round it, so low is its least node
+        # so far up, all that is left stands on a cycle
         ends = sums.where("up is not null").select(F.col("up").alias("node_id")).distinct()
-        rings = written(sums.join(ends, "node_id", "left_semi").select("node_id", F.col("low").alias("ring")), "rings")
+        rings = _rings(start.join(ends, "node_id", "left_semi"))
         cut = start.join(rings, "node_id", "left").withColumn("up", F.when(F.col("ring").isNull(), F.col("up"))).drop("ring")
-        sums, _ = _subtree_sums(cut, most)
+        sums, _ = _subtree_sums(cut, most, many)
         on_ring = sums.join(rings, "node_id")
         whole = on_ring.groupBy("ring").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
         whole = looked_up(rings, whole, "ring", F.col("node_id")).select("node_id", "s", "c")

@@ -111,6 +111,20 @@ def test_rewards_of_all_rounds(spark, shape):
     assert all(rows[k][0] == v and rows[k][1] == pytest.approx(x) for k, (v, x) in want.items())
 
 
+@pytest.mark.parametrize("shape", ["tree", "any", "star"])
+def test_rewards_past_nodes_that_are_sent(spark, shape):
+    rng, n = random.Random(shape), 60
+    above = {"tree": lambda i: i // 4, "any": lambda i: rng.randint(0, 9), "star": lambda i: 0}[shape]
+    edges = [(f"n{above(i)}", f"n{i}", i) for i in range(1, n)] + [("n5", "n0", 0)] * (shape == "star")
+    nodes, rewards = [(f"n{i}", 1, 0.5) for i in range(n)], [(f"n{rng.randint(0, n)}", 0.5 * rng.randint(0, 2)) for _ in range(90)]
+    got = search_graph.backpropagated(
+        spark.createDataFrame(nodes, "node_id string, visit_count long, value_estimate double"),
+        spark.createDataFrame(edges, "from_node_id string, to_node_id string, seq long"), spark.createDataFrame(rewards, "node_id string, reward double"), many=3,
+    )
+    want, rows = _walked(nodes, edges, rewards), {r.node_id: (r.visit_count, r.value_estimate) for r in got.collect()}
+    assert set(rows) == set(want) and all(rows[k] == (v, pytest.approx(x)) for k, (v, x) in want.items())
+
+
 def test_parents_to_branch_from(spark):
     nodes = spark.createDataFrame([("a", 1, 0.3, 0), ("b", 2, 0.9, 1), ("c", 0, None, 2), ("d", None, 0.1, 3)], "node_id string, visit_count int, value_estimate double, position int")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "node_id string")
