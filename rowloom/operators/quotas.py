@@ -33,7 +33,8 @@ def bounded(weights: dict[str, float], low: float = 0.05, high: float = 0.80) ->
     for full in range(n):
         free = order[full:]
         rest, mass = max(0.0, 1 - full * high - len(free) * low), sum(good[k] for k in free)
-        more = {k: rest * good[k] / mass if mass else rest / len(free) for k in free}
+        of = lambda w: rest * w / mass if mass > 1e-290 else rest * (w / mass)  # noqa: E731  products of the least numbers are 0
+        more = {k: of(good[k]) if mass else rest / len(free) for k in free}
         if low + max(more.values()) <= high + 1e-12:
             return {k: low + more[k] if k in more else high for k in good}
     return normalized(dict.fromkeys(good, high))

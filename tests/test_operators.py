@@ -528,3 +528,8 @@ def test_no_task_sees_all_candidates(spark):
     assert kept == [(3, "promote"), (5, "reject"), (6, "hold"), (6, "hold")]
     assert "Window" not in out._jdf.queryExecution().toString()
     assert search_graph.retained(df.limit(0)).count() == 0
+
+
+def test_bounded_weights_of_the_least_numbers():
+    got = quotas.bounded({"easy": 0.0, "medium": 1.0, "hard": 5e-324})
+    assert got == pytest.approx({"easy": 0.05, "medium": 0.8, "hard": 0.15})
