@@ -410,6 +410,22 @@ def test_cells_beyond_the_bound_go_to_their_parents(spark):
     assert max(map(len, (k for k, _ in found.values()))) <= 300 and sum(int(n.sum()) for _, n in found.values()) == sum(n for _, n in rows)
 
 
+def test_scores_do_not_depend_on_the_bound_of_cells(spark):
+    """Every spelling cell is modelled, whether the driver or executors seat it; words that are not known, too."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, n)))
+    rows = [(i, " ".join(word(8) for _ in range(rnd.randrange(20)))) for i in range(80)] + [(80, None), (81, "zz qqq " + word(99))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.where("doc_id % 3 > 0")
+    got = []
+    for frequent, most in ((pitman_yor.FREQUENT, pitman_yor.MOST_CELLS), (pitman_yor.FREQUENT, 40), (4, 0)):
+        model = pitman_yor.fit(train, frequent=frequent, most_cells=most)
+        assert (model.rest is None) == (most == pitman_yor.MOST_CELLS) and max(map(len, model.spelling.cost[2:])) <= most
+        got.append({r.doc_id: (r.score, r.n_known, r.base_score) for r in pitman_yor.score(docs, model).collect()})
+    for other in got[1:]:
+        assert all(np.allclose(other[i], got[0][i], rtol=1e-6, atol=1e-6) for i in got[0])
+
+
 def test_language_model_of_odd_rows(spark, odd):
     got = pitman_yor.score(odd, pitman_yor.fit(odd)).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
