@@ -359,6 +359,26 @@ def test_scores_do_not_depend_on_partitions(spark, sf_dir):
     assert all(abs(one[i] - many[i]) < 1e-9 * abs(one[i]) for i in one)
 
 
+def test_pairs_and_words_are_sent_by_parts(spark):
+    """Counts against a plain count; few rows are shuffled, not one for each pair or word."""
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(["a", "b", "é" * rnd.randrange(1, 4), str(rnd.randrange(40))]) for _ in range(rnd.randrange(90))) for _ in range(60)] + [None, "", " "]
+    tokens = [_tokens(t) for t in texts]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = {r.word: r.c for r in pitman_yor.vocabulary(docs).collect()}
+    assert words == {k.strip("\n"): n for k, n in Counter(w for ts in tokens for w in ts).items()}
+    name = {r.h: r.word for r in pitman_yor.vocabulary(docs).collect()}
+    want = {k: n for k, n in Counter((u.strip("\n"), w.strip("\n")) for ts in tokens for u, w in zip(["\n", *ts], ts, strict=False)).items() if n > 1}
+    ranked = np.array([h for h, w in name.items() if len(w) < 2], np.int64).view(np.uint64)
+    common = spark.sparkContext.broadcast(ranked)
+    for bits in (0, 3):
+        sent = docs.mapInArrow(pitman_yor._pairs(common, bits), pitman_yor._PARTS)
+        assert sent.count() <= 3 * 2**bits < len(want)
+        got = sent.groupBy("part").applyInArrow(pitman_yor._merged(common), "u long, w long, c long, easy boolean").collect()
+        assert {(name[r.u], name[r.w]): r.c for r in got} == want and len(got) == len(want)
+        assert all(r.easy == (len(name[r.u]) < 2 and len(name[r.w]) < 2) for r in got)
+
+
 def test_seating_is_within_bounds():
     c = np.array([0, 1, 2, 1000, 10**9])
     t = pitman_yor._seat(c, np.full(5, 0.5), 0.5, np.arange(5, dtype=np.uint64), 3)
